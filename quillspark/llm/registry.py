@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from quillspark.llm.chat_format import OP1_SQL, op1_chat_format
+from quillspark.llm.pii import op2_pii
 from quillspark.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_pii": op2_pii,
     "op7_url_filter": op7_url_filter,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op7_url_filter": OP7_SQL}
