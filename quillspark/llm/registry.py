@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillspark.llm.bpe import op8_bpe
 from quillspark.llm.chat_format import OP1_SQL, op1_chat_format
 from quillspark.llm.pii import op2_pii
 from quillspark.llm.url_filter import OP7_SQL, op7_url_filter
@@ -10,5 +11,6 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_pii": op2_pii,
     "op7_url_filter": op7_url_filter,
+    "op8_bpe": op8_bpe,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op7_url_filter": OP7_SQL}
