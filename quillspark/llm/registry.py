@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from quillspark.llm.bpe import op8_bpe
 from quillspark.llm.chat_format import OP1_SQL, op1_chat_format
+from quillspark.llm.decontaminate import OP5_SQL, op5_decontaminate
 from quillspark.llm.pii import op2_pii
+from quillspark.llm.quality_rules import OP3_SQL, op3_quality_rules
 from quillspark.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_pii": op2_pii,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_decontaminate": op5_decontaminate,
     "op7_url_filter": op7_url_filter,
     "op8_bpe": op8_bpe,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op7_url_filter": OP7_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_url_filter": OP7_SQL}
