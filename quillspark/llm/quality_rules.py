@@ -44,7 +44,7 @@ class Rule:
 RULES = (
     Rule("word_length", "word_chars", "n_words", 4, 500, both_sides=True),
     Rule("symbols", "n_symbols", "n_words", 4, 50),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 4, 75),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 4, 150),
     Rule("repeats", "n_repeat_words", "n_words", 4, 75),
 )
 
