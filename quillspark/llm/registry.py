@@ -6,6 +6,7 @@ from quillspark.llm.bpe import op8_bpe
 from quillspark.llm.chat_format import OP1_SQL, op1_chat_format
 from quillspark.llm.decontaminate import OP5_SQL, op5_decontaminate
 from quillspark.llm.language_id import op10_language_id
+from quillspark.llm.near_dedup import op9_near_dedup
 from quillspark.llm.pii import op2_pii
 from quillspark.llm.quality_classifier import op4_quality_classifier
 from quillspark.llm.quality_rules import OP3_SQL, op3_quality_rules
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
     "op8_bpe": op8_bpe,
+    "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_url_filter": OP7_SQL}
