@@ -320,12 +320,12 @@ def frequent_chunks(documents: DataFrame, most: int) -> list[str]:
 class Encoder:
     """Encodes and decodes whole texts; keeps what it has worked out for recent chunks.
 
-    An entry of a chunk is (number of ids, ids joined by commas, bytes decoded from the ids).
+    An entry of a chunk is (number of ids, ids joined by commas, bytes decoded from the ids, ids as 32-bit numbers).
     """
 
     def __init__(self, table_: MergeTable, lexicon: Transducer | None):
         self.table, self.lexicon = table_, lexicon
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
+        self.cache: dict[str, tuple[int, str, bytes, bytes]] = {}
         self.pieces: dict[str, list[int]] = {}
 
     def _learn(self, chunks: Iterable[str]) -> None:
@@ -348,9 +348,9 @@ class Encoder:
         for c, parts in cut.items():
             self.cache[c] = self._entry(known[parts[0]] if len(parts) == 1 else [i for p in parts for i in known[p]])
 
-    def _entry(self, ids: list[int]) -> tuple[int, str, bytes]:
+    def _entry(self, ids: list[int]) -> tuple[int, str, bytes, bytes]:
         of = self.table.bytes_of
-        return len(ids), ",".join(map(str, ids)), b"".join([of[i] for i in ids])
+        return len(ids), ",".join(map(str, ids)), b"".join([of[i] for i in ids]), array("i", ids).tobytes()
 
     def cut(self, text: str) -> list[str]:
         """Chunks that are encoded independently of each other; special tokens stand alone."""
@@ -370,9 +370,9 @@ class Encoder:
             head, *rest = text.split(" ")
         return [head, *[" " + p for p in rest]]
 
-    def entries(self, texts: list[str]) -> Iterator[list[tuple[int, str, bytes]]]:
+    def entries(self, texts: list[str]) -> Iterator[list[tuple[int, str, bytes, bytes]]]:
         """The entries of each text's chunks."""
-        special = {s: (1, str(i), self.table.bytes_of[i]) for s, i in self.table.special.items()}
+        special = {s: self._entry([i]) for s, i in self.table.special.items()}
         done = 0
         while done < len(texts):
             size, upto = 0, done
@@ -427,8 +427,7 @@ def encode_documents(documents: DataFrame, vocabulary: str | None = None, lexico
         for texts in batches:
             rows = []
             for found in encoder.entries([t or "" for t in texts]):
-                ids = [int(i) for e in found for i in e[1].split(",")]
-                rows.append((ids, b"".join([e[2] for e in found]).decode("utf-8", "replace")))
+                rows.append((np.frombuffer(b"".join([e[3] for e in found]), np.int32), b"".join([e[2] for e in found]).decode("utf-8", "replace")))
             yield pd.DataFrame(rows, columns=["ids", "decoded"])
 
     kept = [c for c in documents.columns if c not in ("ids", "decoded")]

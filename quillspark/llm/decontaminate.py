@@ -83,10 +83,18 @@ def _item_digest(ids: list) -> str:
     return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
 
 
-def _by_broadcast(documents: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+def _broadcast_index(documents: DataFrame, benchmark: DataFrame, window: int):
     items = [(r.item_id, words_of(r.text)) for r in benchmark.select("item_id", "text").collect()]
     index = PrefixIndex(items, word_frequencies(documents, {w for _, words in items for w in words}), window)
-    held = documents.sparkSession.sparkContext.broadcast(index)
+    return documents.sparkSession.sparkContext.broadcast(index)
+
+
+def _is_contaminated(hit: int, words: int) -> bool:
+    return hit > 0 and 20 * hit >= words
+
+
+def _by_broadcast(documents: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    held = _broadcast_index(documents, benchmark, window)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = held.value
@@ -96,7 +104,7 @@ def _by_broadcast(documents: DataFrame, benchmark: DataFrame, window: int) -> Da
                 words = words_of(text)
                 hit, found = index.hits(words)
                 ids = {index.items[k][0] for k in found}
-                rows.append((len(words), hit, len(ids), _item_digest(ids), hit > 0 and 20 * hit >= len(words)))
+                rows.append((len(words), hit, len(ids), _item_digest(ids), _is_contaminated(hit, len(words))))
             out = pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
@@ -144,16 +152,29 @@ def _by_shuffle(documents: DataFrame, benchmark: DataFrame, window: int) -> Data
         F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 20 >= n_words)).alias("contaminated"))
 
 
+def _fits_broadcast(benchmark: DataFrame, broadcast_chars: int) -> bool:
+    return (benchmark.agg(F.sum(F.length("text")).alias("n")).first().n or 0) <= broadcast_chars
+
+
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_chars: int = 4_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row a document."""
-    chars = benchmark.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    return (_by_broadcast if chars <= broadcast_chars else _by_shuffle)(documents, benchmark, window)
+    return (_by_broadcast if _fits_broadcast(benchmark, broadcast_chars) else _by_shuffle)(documents, benchmark, window)
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_chars: int = 4_000_000) -> DataFrame:
+    """The documents that are not contaminated, with all their columns; a larger benchmark needs unique doc_ids."""
+    if not _fits_broadcast(benchmark, broadcast_chars):
+        bad = _by_shuffle(documents, benchmark, window).filter("contaminated").select("doc_id")
+        return documents.join(bad, "doc_id", "left_anti")
+    held = _broadcast_index(documents, benchmark, window)
 
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            cut = [words_of(t) for t in texts]
+            yield pd.Series([not _is_contaminated(held.value.hits(words)[0], len(words)) for words in cut], dtype=bool)
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, with all their columns; doc_id has to be unique."""
-    bad = find_contamination(documents, benchmark, window).filter("contaminated").select("doc_id")
-    return documents.join(bad, "doc_id", "left_anti")
+    return documents.filter(clean("text"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
