@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that are neither digits, letters nor part of a non-ASCII character, for benchmark words.
@@ -39,17 +39,20 @@ def labelled_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(folds)
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int, strata: list[str]) -> DataFrame:
-    """At most `most` rows of each stratum, those with the smallest hash of `key`; the same at every run.
+def bounded_sample(rows: DataFrame, key: str, most: int, stratum: str) -> DataFrame:
+    """key, stratum of at most `most` rows of each stratum: those with the smallest hash of the key, the same at every run.
 
-    Spark keeps only the first `most` of a stratum while it ranks (a group limit below the
-    exchange), so a stratum never meets whole in one task.
+    The strata have to be few (labels, languages): they are counted first, and the hash that about
+    three times `most` rows stay below thins each of them before the rows are ranked.
     """
-    from pyspark.sql import Window
-
-    order = F.xxhash64(F.col(key))
-    w = Window.partitionBy(*strata).orderBy(order, F.col(key))
-    return rows.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= most).drop("__rank")
+    keys = rows.select(key, stratum)
+    share = [x for r in keys.groupBy(stratum).count().collect() for x in (F.lit(r[0]), F.lit(min(1.0, 3 * most / r["count"]))) if r[0] is not None]
+    if not share:
+        return keys.limit(0)
+    order = F.xxhash64(F.col(key)).bitwiseAND(F.lit(2**63 - 1))
+    thin = keys.filter(order < F.element_at(F.create_map(*share), F.col(stratum)) * float(2**63))
+    w = Window.partitionBy(stratum).orderBy(order, F.col(key))
+    return thin.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= most).drop("__rank")
 
 
 def ascii_words(data: bytes) -> list[bytes]:

@@ -79,12 +79,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60
     return w
 
 
-def fit_quality(labelled: DataFrame, rows_a_class: int = 1_500, dictionary_bytes: int = 65_536) -> CompressionModel:
-    """From doc_id, text, quality (0 or 1)."""
-    usable = labelled.filter(F.col("quality").isin(0, 1)).select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+def fit_quality(documents: DataFrame, labels: DataFrame, rows_a_class: int = 1_500, dictionary_bytes: int = 65_536) -> CompressionModel:
+    """From documents (doc_id, text) and labels (doc_id, quality 0 or 1); the sample's ids are few enough to broadcast."""
+    usable = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     shares = {r.quality: r.n for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     prior = shares.get(1, 0) / sum(shares.values()) if shares else 0.5
-    some = bounded_sample(usable.filter(F.length("text") > 0), "doc_id", rows_a_class, ["quality"])
+    ids = bounded_sample(usable, "doc_id", rows_a_class, "quality")
+    some = documents.filter(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     kept: dict[int, list[str]] = {0: [], 1: []}
     for r in some.toLocalIterator():
         kept[r.quality].append(r.text)
@@ -137,6 +138,6 @@ def score_quality(documents: DataFrame, model: CompressionModel, good_from: floa
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     train = table(spark, sf_dir, "labels").filter(labelled_fold(F.col("doc_id"), 5) != 0).select("doc_id", "quality")
-    model = fit_quality(documents.select("doc_id", "text").join(train, "doc_id"))
+    model = fit_quality(documents, train)
     return score_quality(documents, model).select(
         "doc_id", (labelled_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
