@@ -7,8 +7,10 @@ members with its smallest id only. An odd sketch, the samples folded into 512 pa
 a pair's similarity from the population count of an XOR; pairs estimated well below the threshold
 (by 0.2, about five deviations) go, the others are confirmed on full sets. 4. Connected components
 of the confirmed links. 5. Buckets that still hold several components are compared in blocks, sketch
-against sketch, across components only; what the sketches let through is confirmed too. So the
-components are those of all confirmed candidate pairs, though no bucket's pairs are all emitted.
+against sketch, across components only; members with a near sketch elsewhere are compared on full
+sets, again in blocks, through an inverted index, and one link comes out for each two components
+that meet. So the components are those of all confirmed candidate pairs, though no bucket's pairs are
+all emitted.
 
 Links, components and signatures stay in tables of the shared folder; nothing of them is collected.
 
@@ -39,7 +41,7 @@ LEAST = 75
 #: A pair is confirmed on full sets if its estimate is at most this far below the threshold.
 SLACK = 0.20
 #: Most members of a block that is compared in memory.
-BLOCK = 1_500
+BLOCK = 500
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -192,38 +194,80 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _across_components(members: DataFrame, sketches: DataFrame, roots: DataFrame, cut: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose sketches are near; none with the bucket's hub."""
-    rooted = (
-        members.filter("n > 2").join(roots, F.col("id") == F.col("node"), "left")
-        .select("key", "id", "n", F.coalesce("root", "id").alias("root"), F.col("hub"))
-    )
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("key", "m")
-    rest = rooted.join(mixed, "key").filter("id <> hub").select("key", "id", "root", "m")
-    # members of a bucket in blocks, every two blocks of it meet in one group
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (key, m, id, ...) of a bucket in blocks; every two blocks of it meet in one group (key, i, j)."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = (
-        rest.join(sketches, "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return (
+        rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "sketch")
+        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
     )
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            words = np.stack(right["sketch"].to_numpy())
-            ids, roots_ = right["id"].to_numpy(), right["root"].to_numpy()
-            for a, root, sketch in zip(left["id"], left["root"], left["sketch"]):
-                far = np.bitwise_count(words ^ sketch).sum(1, dtype=np.int64)
-                hit = ids[(far <= cut) & (roots_ != root) & ((ids < a) if i == j else (ids != a))]
-                out_a.append(np.full(len(hit), a))
-                out_b.append(hit)
-        both = (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"a": np.maximum(*both), "b": np.minimum(*both)}).astype("int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(near, "a long, b long").distinct()
+def _near_others(pdf: pd.DataFrame, cut: int) -> pd.DataFrame:
+    """The members of two blocks whose sketch is near one of another component."""
+    left, right = pdf[pdf["block"] == pdf["i"].iloc[0]], pdf[pdf["block"] == pdf["j"].iloc[0]]
+    hit_left, hit_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    if len(left) and len(right):
+        words, roots = np.stack(right["sketch"].to_numpy()), right["root"].to_numpy()
+        for k, (root, sketch) in enumerate(zip(left["root"], left["sketch"])):
+            near = (np.bitwise_count(words ^ sketch).sum(1, dtype=np.int64) <= cut) & (roots != root)
+            hit_left[k] = near.any()
+            hit_right |= near
+    return pd.concat([left[hit_left], right[hit_right]])[["key", "m", "id", "root"]]
+
+
+def _links_in_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between components of two blocks, one for each two components that meet, by exact intersections.
+
+    The right block's shingles form an inverted index; a text of the left one counts its
+    intersections with all of them at once.
+    """
+    left, right = pdf[pdf["block"] == pdf["i"].iloc[0]], pdf[pdf["block"] == pdf["j"].iloc[0]]
+    found: list[tuple[int, int]] = []
+    if len(left) and len(right) and pdf["root"].nunique() > 1:
+        sets = [shingles(normal_words(t)) for t in right["text"]]
+        sizes, ids, roots = np.array([len(x) for x in sets]), right["id"].to_numpy(), right["root"].to_numpy().copy()
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        largest = pdf["root"].mode().iloc[0]
+        mine = left["root"].to_numpy().copy()
+        # a pair of different components has a member outside the largest; within one block that one is on the left
+        rows = np.flatnonzero(mine != largest) if pdf["i"].iloc[0] == pdf["j"].iloc[0] else np.arange(len(left))
+        left_ids, texts = left["id"].to_numpy(), left["text"].to_numpy()
+        for k in rows:
+            if (roots == mine[k]).all():
+                continue
+            own = shingles(normal_words(texts[k]))
+            lo, hi = np.searchsorted(every, own), np.searchsorted(every, own, side="right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            linked = 100 * both >= LEAST * (len(own) + sizes - both)
+            while (open_ := linked & (roots != mine[k])).any():
+                hit = int(np.flatnonzero(open_)[0])
+                found.append((left_ids[k], ids[hit]))
+                old, new = roots[hit], mine[k]
+                roots[roots == old], mine[mine == old] = new, new
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": pairs.max(1, initial=-(2**63)), "b": pairs.min(1, initial=2**63 - 1)})
+
+
+def _across_components(members: DataFrame, sketches: DataFrame, roots: DataFrame, texts: DataFrame, cut: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket."""
+    rooted = (
+        members.filter("n > 2").join(roots, F.col("id") == F.col("node"), "left")
+        .select("key", "id", F.coalesce("root", "id").alias("root"))
+    )
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("key", "m")
+    rest = _dealt(rooted.join(mixed, "key").join(sketches, "id"))
+    near = materialized(rest.groupBy("key", "i", "j").applyInPandas(
+        lambda pdf: _near_others(pdf, cut), "key long, m long, id long, root long").distinct(), "dedup-near")
+    left = near.groupBy("key").agg(F.count("*").alias("m"))
+    dealt = _dealt(near.select("key", "id", "root").join(left, "key").join(texts, "id"))
+    return dealt.groupBy("key", "i", "j").applyInPandas(_links_in_blocks, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, slack: float = SLACK) -> DataFrame:
@@ -249,7 +293,7 @@ def near_duplicates(documents: DataFrame, slack: float = SLACK) -> DataFrame:
     )
     links = materialized(confirm(near, texts).distinct(), "dedup-links")
     roots = components(links, "dedup-stars")
-    more = materialized(confirm(_across_components(members, sketches, roots, cut), texts).distinct(), "dedup-links")
+    more = materialized(_across_components(members, sketches, roots, texts, cut), "dedup-links")
     if not more.isEmpty():
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = components(stars.unionByName(more), "dedup-stars")
