@@ -70,10 +70,12 @@ class Analysis:
         self.spark, self.config = spark, config
         self.ontology = skills.load_ontology(spark) if ontology is None else ontology
         self.forms = skills.surface_forms(self.ontology).cache()
-        self.documents = parse_documents(documents, config)
+        # every consumer below reads these; kept, they are parsed once, and filters are not copied into their long expressions
+        self.documents = parse_documents(documents, config).persist()
         self.with_job = postings is not None
         if self.with_job:
             self.jobs, self.job_skills = jobs.parse_jobs(postings, self.forms)
+            self.jobs = self.jobs.persist()
             # a stated set of pairs, or every document with every posting (the postings are the small side)
             self.pairs = pairs if pairs is not None else self.documents.select("doc_id").crossJoin(self.jobs.select("job_id"))
         self.keys = ["doc_id", "job_id"] if self.with_job else ["doc_id"]
