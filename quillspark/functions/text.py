@@ -60,10 +60,9 @@ def content_tokens(text: Column) -> Column:
 
 
 def with_bigrams(tokens: Column) -> Column:
-    """Tokens, then neighbours joined by an underscore."""
+    """Tokens, then neighbours joined by an underscore. Pass a column, not a long expression: it is used several times."""
     n = F.size(tokens)
-    pairs = F.when(n < 2, F.array().cast("array<string>")).otherwise(F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws("_", F.get(tokens, i - 1), F.get(tokens, i))))
+    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws("_", a, b))
     return F.concat(tokens, pairs)
 
 

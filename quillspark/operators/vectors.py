@@ -14,29 +14,43 @@ from quillspark.functions import text as T
 BIGRAM_WEIGHT = 0.6
 
 
-def terms_of(text: Column) -> Column:
-    return T.with_bigrams(T.content_tokens(text))
+def _exploded(rows: DataFrame, keys: list[str], array: Column, name: str) -> DataFrame:
+    """One row an element. explode_outer, as Spark copies explode's expression into an inferred filter and computes it twice."""
+    return rows.select(*keys, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
-def units_of(text: Column) -> Column:
-    """Lines of 15 characters or more, bullets stripped; the whole text if there is none."""
-    rows = F.filter(F.transform(T.lines(text), lambda x: F.when(T.is_bullet(x), T.strip_bullet(x)).otherwise(T.strip(x))), lambda x: F.length(x) >= 15)
-    return F.when(F.size(rows) > 0, rows).otherwise(F.filter(F.array(T.strip(text)), lambda x: x != ""))
+def terms(texts: DataFrame, keys: list[str], text: str = "text", distinct: bool = False) -> DataFrame:
+    """keys, term: content words and their neighbours."""
+    tokens = texts.select(*keys, T.content_tokens(F.col(text)).alias("__t"))
+    both = tokens.select(*keys, T.with_bigrams(F.col("__t")).alias("__t"))
+    return _exploded(both, keys, F.array_distinct("__t") if distinct else F.col("__t"), "term")
+
+
+def with_units(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, units: lines of 15 characters or more, bullets stripped; the whole text if there is none."""
+    rows = texts.select(*keys, F.col(text).alias("__text"), F.filter(F.transform(
+        T.lines(F.col(text)), lambda x: F.when(T.is_bullet(x), T.strip_bullet(x)).otherwise(T.strip(x))), lambda x: F.length(x) >= 15).alias("__u"))
+    whole = F.filter(F.array(T.strip(F.col("__text"))), lambda x: x != "")
+    return rows.select(*keys, F.when(F.size("__u") > 0, F.col("__u")).otherwise(whole).alias("units"))
 
 
 def term_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return texts.select(key, F.explode(terms_of(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return terms(texts, [key], text).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def unit_frequencies(texts: DataFrame, key: str | None, text: str = "text") -> DataFrame:
     """[key,] term, df: in how many units a term occurs; without a key, over all texts."""
     keys = [key] if key else []
-    units = texts.select(*keys, F.explode(units_of(F.col(text))).alias("unit"))
-    return units.select(*keys, F.explode(F.array_distinct(terms_of(F.col("unit")))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    units = _exploded(with_units(texts, keys, text), keys, F.col("units"), "unit")
+    return terms(units, keys, "unit", distinct=True).groupBy(*keys, "term").agg(F.count("*").alias("df"))
 
 
 def unit_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return texts.select(key, F.size(units_of(F.col(text))).cast("long").alias("n_units"))
+    return with_units(texts, [key], text).select(key, F.size("units").cast("long").alias("n_units"))
+
+
+def unit_total(texts: DataFrame, text: str = "text") -> float:
+    return float(with_units(texts, [], text).agg(F.sum(F.size("units"))).first()[0] or 0)
 
 
 def idf(df: Column, total: Column) -> Column:
@@ -54,8 +68,8 @@ def normalised(weights: DataFrame, keys: list[str], weight: str = "w") -> DataFr
 
 def tfidf(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, term, w: unit-length vectors, IDF over the units of all texts (one count comes to the driver)."""
-    total = texts.select(F.sum(F.size(units_of(F.col(text))))).first()[0] or 0
-    dfs = unit_frequencies(texts, None, text).select("term", idf(F.col("df"), F.lit(float(total))).alias("idf"))
+    total = unit_total(texts, text)
+    dfs = unit_frequencies(texts, None, text).select("term", idf(F.col("df"), F.lit(total)).alias("idf"))
     rows = term_counts(texts, key, text).join(dfs, "term", "left")
     return normalised(rows.select(key, "term", raw_weight(F.col("tf"), F.col("idf"), F.col("term")).alias("w")), [key])
 

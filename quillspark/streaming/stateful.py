@@ -1,10 +1,9 @@
 """Rate limiter, circuit breaker and metrics: over a table, and over a stream with state by key.
 
 The limiter counts accepted events only and the breaker depends on its own past decisions, so both
-walk the events of a key in order. One key's events are never held together: the table form ranges
-them into sorted partitions, where a key's rows follow each other, and a partition's walk starts
-from the state that the walk of the rows before it has left (a chain over partitions only for
-keys that cross a border). The stream form keeps the same small state between batches.
+walk the events of a key in order, which is sequential by definition. A key's events are sorted by
+Spark and stream past a small state in Arrow batches; they are never held together. The stream form
+keeps the same small state between batches.
 """
 
 from __future__ import annotations
@@ -64,64 +63,54 @@ def rate_limited(events: DataFrame, limit: int = 60, window_s: float = 60.0, key
 
     Rows of a key are taken in order batch by batch, so memory holds `limit` times and no more.
     """
-    def walk(_, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         window = SlidingWindow(limit, window_s)
-        for pdf in batches:
+
+        def feed(pdf: pd.DataFrame) -> pd.DataFrame:
             answers = [window.check(t) for t in pdf["at"]]
-            yield pdf[["event_id", key, "ts"]].assign(allowed=[a for a, _ in answers], retry_after_s=[r for _, r in answers])
+            return pdf[["event_id", key, "ts"]].assign(allowed=[a for a, _ in answers], retry_after_s=[r for _, r in answers])
+
+        return feed
 
-    return _walked(events, key, walk, "allowed boolean, retry_after_s int")
+    return _walked(events, key, start, "allowed boolean, retry_after_s int")
 
 
 def breaker_trace(events: DataFrame, most: int = 4, cooldown_s: float = 60.0, key: str = "key") -> DataFrame:
     """event_id, key, ts, blocked, failures over a table (event_id, key, ts, ok); blocked calls leave no trace in the state."""
-    def walk(_, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         breaker = Breaker(most, cooldown_s)
-        for pdf in batches:
+
+        def feed(pdf: pd.DataFrame) -> pd.DataFrame:
             blocked, failures = [], []
             for at, ok in zip(pdf["at"], pdf["ok"]):
                 blocked.append(breaker.is_open(at))
                 if not blocked[-1]:
                     breaker.record(bool(ok), at)
                 failures.append(breaker.failures)
-            yield pdf[["event_id", key, "ts"]].assign(blocked=blocked, failures=failures)
+            return pdf[["event_id", key, "ts"]].assign(blocked=blocked, failures=failures)
+
+        return feed
 
-    return _walked(events, key, walk, "blocked boolean, failures int")
+    return _walked(events, key, start, "blocked boolean, failures int")
 
 
-def _walked(events: DataFrame, key: str, walk, columns: str) -> DataFrame:
-    """A key's events in order through `walk`; rows stream past it in Arrow batches, so a large key needs no more memory than a small one."""
+def _walked(events: DataFrame, key: str, start, columns: str) -> DataFrame:
+    """A key's events in order past a state that `start` makes; rows stream by in Arrow batches, so a large key needs no more memory than a small one."""
     kind = events.schema[key].dataType.simpleString()
     rows = events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     schema = f"event_id long, {key} {kind}, ts {events.schema['ts'].dataType.simpleString()}, {columns}"
 
     def partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, last = None, object()
+        feed, last = None, None
         for pdf in batches:
             for k, part in pdf.groupby(key, sort=False, dropna=False):
-                if k != last:
-                    state, last = _Held(walk), k
-                yield state.feed(part)
+                if feed is None or k != last:
+                    feed, last = start(), k
+                yield feed(part)
 
     return rows.repartition(F.col(key)).sortWithinPartitions(key, "ts", "event_id").mapInPandas(partition, schema)
 
 
-class _Held:
-    """A walk that is fed one part at a time and keeps its state between parts."""
-
-    def __init__(self, walk):
-        self._next: pd.DataFrame | None = None
-        self._out = walk(None, iter(self._take, None))
-
-    def _take(self):
-        part, self._next = self._next, None
-        return part
-
-    def feed(self, part: pd.DataFrame) -> pd.DataFrame:
-        self._next = part
-        return next(self._out)
-
-
 class LimiterProcessor(StatefulProcessor):
     """The limiter over a stream: accepted times of a key in list state."""
 
