@@ -24,8 +24,11 @@ class EngineConfig:
     fuzzy: bool = True
 
 
-_LAYOUT = {"source_format": F.lit("txt"), "page_count": None, "pages": F.array().cast("array<struct<has_extractable_text:boolean>>"), "has_tables": F.lit(False),
-           "table_count": F.lit(0), "has_multi_column_hint": F.lit(False), "has_text_in_headers_footers": F.lit(False), "is_encrypted": F.lit(False)}
+def _layout() -> dict[str, Column]:
+    """What a plain-text file says about layout: nothing."""
+    no = F.lit(False)
+    return {"source_format": F.lit("txt"), "page_count": page_count(F.col("text")), "pages": F.array().cast("array<struct<has_extractable_text:boolean>>"),
+            "has_tables": no, "table_count": F.lit(0), "has_multi_column_hint": no, "has_text_in_headers_footers": no, "is_encrypted": no}
 
 
 def from_text(documents: DataFrame, text: str = "text", config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -33,9 +36,9 @@ def from_text(documents: DataFrame, text: str = "text", config: EngineConfig = E
     cut = F.length(text) > config.max_chars
     out = documents.withColumn("warnings", F.when(cut, F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("text", F.substring(text, 1, config.max_chars))
-    for name, value in _LAYOUT.items():
+    for name, value in _layout().items():
         if name not in out.columns:
-            out = out.withColumn(name, page_count(F.col("text")) if value is None else value)
+            out = out.withColumn(name, value)
     return out
 
 

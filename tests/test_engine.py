@@ -129,7 +129,7 @@ def test_scores_alone_and_with_posting(spark):
     job = paired.jobs.first()
     assert (job.title, job.seniority, job.years.min_years) == ("Staff Backend Engineer", "staff", 8)
     gaps = {r.skill: r.priority for r in paired.gaps.collect()}
-    assert gaps == {"Terraform": "medium", "Rust": "low"}
+    assert gaps == {"Terraform": "high", "Rust": "low"}
     assert 0 < paired.overall.first().overall <= 100
     assert [r.rank for r in paired.recommendations.orderBy("rank").collect()][0] == 1
 
