@@ -209,9 +209,10 @@ def _near_others(pdf: pd.DataFrame, cut: int) -> pd.DataFrame:
     left, right = pdf[pdf["block"] == pdf["i"].iloc[0]], pdf[pdf["block"] == pdf["j"].iloc[0]]
     hit_left, hit_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
     if len(left) and len(right):
-        words, roots = np.stack(right["sketch"].to_numpy()), right["root"].to_numpy()
+        words, roots = np.stack(right["sketch"].to_numpy()).astype(np.int64), right["root"].to_numpy()
         for k, (root, sketch) in enumerate(zip(left["root"], left["sketch"])):
-            near = (np.bitwise_count(words ^ sketch).sum(1, dtype=np.int64) <= cut) & (roots != root)
+            # unsigned, as bitwise_count takes the absolute value of a signed number
+            near = (np.bitwise_count((words ^ sketch).view(np.uint64)).sum(1, dtype=np.int64) <= cut) & (roots != root)
             hit_left[k] = near.any()
             hit_right |= near
     return pd.concat([left[hit_left], right[hit_right]])[["key", "m", "id", "root"]]
