@@ -150,23 +150,31 @@ def _xor_count(a: Column, b: Column) -> Column:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; texts: id, text."""
+    """The pairs (a, b) whose full sets reach the threshold; texts: id, text.
+
+    The pairs of one b are dealt in parts of BLOCK at most; each part gets b's text once, first, and
+    then those of its a. So texts are shuffled once, and a b with many partners fills many parts.
+    """
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, None  # rows of one b often follow each other
+        part, hub = None, None
         for pdf in batches:
-            keep = []
-            for b, text_a, text_b in zip(pdf["b"], pdf["text_a"], pdf["text_b"]):
-                if b != last:
-                    last, held = b, shingles(normal_words(text_b))
-                mine = shingles(normal_words(text_a))
-                both = len(np.intersect1d(mine, held, assume_unique=True))
-                keep.append(len(mine) > 0 and 100 * both >= LEAST * (len(mine) + len(held) - both))
-            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
-
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
+            out = []
+            for b, salt, is_a, i, text in zip(pdf["b"], pdf["salt"], pdf["is_a"], pdf["id"], pdf["text"]):
+                own = shingles(normal_words(text))
+                if not is_a:
+                    part, hub = (b, salt), own
+                elif part == (b, salt):
+                    both = len(np.intersect1d(own, hub, assume_unique=True))
+                    if both and 100 * both >= LEAST * (len(own) + len(hub) - both):
+                        out.append((i, b))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    mine = pairs.join(sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("is_a"), F.col("a").alias("id"))
+    hubs = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("is_a"), F.col("b").alias("id"))
+    rows = mine.unionByName(hubs).join(texts, "id").select("b", "salt", "is_a", "id", "text")
+    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "is_a").mapInPandas(check, "a long, b long")
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
