@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,11 +61,17 @@ def ascii_words(data: bytes) -> list[bytes]:
     return data.split()
 
 
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], names: str) -> DataFrame:
+    """A few rows known beforehand, as literals of the plan."""
+    made = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names.split(), row)]) for row in rows])
+    return spark.range(1).select(F.explode(made).alias("r")).select("r.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 __all__ = [
     "LOWER_TO_SPACE", "StorageLevel", "ascii_words", "bounded_sample", "labelled_fold",
-    "materialized", "shared_dir", "table",
+    "literal_rows", "materialized", "shared_dir", "table",
 ]

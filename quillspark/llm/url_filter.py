@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import literal_rows, table
 
 
 def url_host(url: Column) -> Column:
@@ -104,7 +104,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages carry no fetch time; the query gives page n the day n * 37 mod 366 of 2024."""
     day = F.expr("date_add(DATE'2024-01-01', CAST(pmod(page_id * 37, 366) AS INT))")
     captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_on"))
-    events = spark.createDataFrame(list(LIST_EVENTS), "list string, action string, domain string, event string, dated string")
+    events = literal_rows(spark, LIST_EVENTS, "list action domain event dated")
     return filter_captures(captures, validity_intervals(events)).drop("url")
 
 
