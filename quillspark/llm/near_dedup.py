@@ -42,6 +42,8 @@ LEAST = 75
 SLACK = 0.20
 #: Most members of a block that is compared in memory.
 BLOCK = 500
+#: Bits of the filter that keeps texts of no candidate out of the shuffles.
+FILTER_BITS = 1 << 23
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -173,10 +175,24 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     mine = pairs.join(sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("is_a"), F.col("a").alias("id"))
     hubs = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("is_a"), F.col("b").alias("id"))
-    rows = mine.unionByName(hubs).join(texts, "id").select("b", "salt", "is_a", "id", "text")
+    dealt = materialized(mine.unionByName(hubs), "dedup-pairs")
+    rows = dealt.join(thinned(texts, dealt.select("id")), "id").select("b", "salt", "is_a", "id", "text")
     return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "is_a").mapInPandas(check, "a long, b long")
 
 
+def thinned(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, ...) whose id may be among `ids`; every row whose id is stays, so a join after it is unchanged.
+
+    The ids' hashes set bits of a map of FILTER_BITS, which as a table has FILTER_BITS / 64 rows at
+    most whatever the input, and is broadcast. More ids make it let more rows through.
+    """
+    hashed = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (hashed % 64).cast("int"))
+    table_ = ids.select(F.floor(hashed / 64).cast("int").alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = rows.withColumn("__word", F.floor(hashed / 64).cast("int")).join(F.broadcast(table_), "__word")
+    return marked.filter(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """node, root (smallest node reachable) for every node of a link (a, b), by alternating large and small stars."""
 
@@ -275,7 +291,7 @@ def _across_components(members: DataFrame, sketches: DataFrame, roots: DataFrame
     near = materialized(rest.groupBy("key", "i", "j").applyInPandas(
         lambda pdf: _near_others(pdf, cut), "key long, m long, id long, root long").distinct(), "dedup-near")
     left = near.groupBy("key").agg(F.count("*").alias("m"))
-    dealt = _dealt(near.select("key", "id", "root").join(left, "key").join(texts, "id"))
+    dealt = _dealt(near.select("key", "id", "root").join(left, "key").join(thinned(texts, near.select("id")), "id"))
     return dealt.groupBy("key", "i", "j").applyInPandas(_links_in_blocks, "a long, b long").distinct()
 
 
