@@ -150,24 +150,20 @@ def _stretches(text: str) -> list[tuple[int, int]]:
 
 
 def candidates(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, str, int, int]]]:
-    """Atoms of a stretch and candidate segments (first atom, after last atom, type, start, end)."""
+    """Atoms of a stretch and candidate segments (first atom, after last atom, type, start, end): all runs of at most MAX_ATOMS atoms with an outline."""
     atoms = [(m.start(), m.end()) for m in _ATOM.finditer(text, lo, hi)]
-    starts = {s: i for i, (s, _) in enumerate(atoms)}
-    ends = {e: i + 1 for i, (_, e) in enumerate(atoms)}
     found = []
-    for kind, outline in _OUTLINE.items():
-        at = lo
-        while m := outline.search(text, at, hi):
-            s, e = m.span()
-            i, j = starts.get(s), ends.get(e)
-            if i is not None and j is not None and j - i <= MAX_ATOMS:
-                found.append((i, j, kind, s, e))
-                # shorter readings of the same outline, at the ends of earlier atoms
-                for k in range(j - 1, max(i, j - 6), -1):
-                    e2 = atoms[k - 1][1]
-                    if outline.fullmatch(text, s, e2):
-                        found.append((i, k, kind, s, e2))
-            at = e
+    for i, (s, _) in enumerate(atoms):
+        for kind, outline in _OUTLINE.items():
+            if kind != "email" and text[s] not in "+(0123456789" or not (m := outline.match(text, s, hi)):
+                continue
+            # the match is the longest; every shorter reading that ends with an atom is proposed too
+            for j in range(i + 1, min(i + MAX_ATOMS, len(atoms)) + 1):
+                e = atoms[j - 1][1]
+                if e > m.end():
+                    break
+                if outline.fullmatch(text, s, e):
+                    found.append((i, j, kind, s, e))
     return atoms, found
 
 

@@ -120,6 +120,27 @@ def test_pii_model_adds_and_leaves(spark, odd):
     assert clean[0].text == "mail <email> now" and clean[0].n_chars == 16 and clean[1].text is None
 
 
+@pytest.mark.parametrize("text, want", [
+    ("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]),
+    ("(555) 123-4567 (555) 987-6543", ["(555) 123-4567", "(555) 987-6543"]),
+    ("2024-05-01 555-123-4567", ["555-123-4567"]),
+    ("4111 1111 1111 1111 2027", ["4111 1111 1111 1111"]),
+    ("12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+])
+def test_pii_beside_other_digits(text, want):
+    assert [text[s:e] for s, e, _ in pii.all_spans(text, pii.default_model())[1]] == want
+
+
+def test_pii_proposes_every_reading():
+    rnd = random.Random(4)
+    for _ in range(300):
+        text = "".join(rnd.choice("1234567890-. (+)a@") for _ in range(rnd.randrange(60)))
+        atoms, found = pii.candidates(text, 0, len(text))
+        every = [(i, j, k, atoms[i][0], atoms[j - 1][1]) for i in range(len(atoms)) for j in range(i + 1, min(i + pii.MAX_ATOMS, len(atoms)) + 1)
+                 for k, outline in pii._OUTLINE.items() if outline.fullmatch(text, atoms[i][0], atoms[j - 1][1])]
+        assert sorted(found) == sorted(every)
+
+
 def test_pii_long_runs_are_linear():
     for t in ("1" * 200_000, "a" * 200_000 + "@", "1.2" * 60_000, "+1" + "-" * 200_000):
         pii.base_spans(t)
