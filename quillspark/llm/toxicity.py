@@ -10,7 +10,13 @@ scored by logistic curves over a soft maximum and the number of toxic tokens, fi
 embeddings have not seen.
 
 The softmax is linear in the mean, so scoring keeps one number a bucket. At most `rows_a_class`
-labelled documents a class are used, chosen by a hash of the id.
+labelled documents a class are used, chosen by a hash of the id; from their clean documents training
+takes at most `most_negative` different tokens, the most frequent quarter of them first and the rest at random.
+
+A run of more than 64 characters without white space is read part by part between its punctuation,
+and a part that is still longer (a script without spaces) as pieces of 20 characters, one from every
+tenth, in training and in scoring; so all of it is read, and a word of at most 11 characters is
+whole in some piece.
 
 Defined results: null, empty and wordless texts score 0; texts of any length are scored whole;
 without training documents of both classes all scores are 0; null labels are not learned from;
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -37,14 +44,25 @@ SIZES = (3, 4, 5, 6)
 _EDGE_OPEN, _EDGE_CLOSE = 2, 3
 _PRIME, _MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
 _CACHE = 300_000
+_LONG, _PIECE, _STEP = 64, 20, 10
+_JOINTS = re.compile("[" + re.escape("".join(sorted(set(string.punctuation) - set("@!$*")))) + "]+")  # what stands for a letter joins nothing
+_AT_ONCE = 50_000  # words whose n-grams are in memory together
 
 
 def tokens_of(text: str | None) -> list[str]:
-    return text.split() if text else []
+    """Runs between white space; one of more than _LONG characters as its parts between punctuation, and those as overlapping pieces."""
+    tokens = text.split() if text else []
+    if max(map(len, tokens), default=0) <= _LONG:
+        return tokens
+    out = []
+    for t in tokens:
+        for part in [t] if len(t) <= _LONG else _JOINTS.split(t):
+            out += [part] if len(part) <= _LONG else [part[i:i + _PIECE] for i in range(0, len(part) - _PIECE + _STEP, _STEP)]
+    return out
 
 
 def _clean(token: str) -> str:
-    return token.strip(string.punctuation).lower()[:64]
+    return token.strip(string.punctuation).lower()
 
 
 def bags(words: list[str], buckets: int, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +277,7 @@ class TokenScorer:
             new = [w for w in {w for tokens in cut for w in tokens} if w not in known]
             if new:
                 clean = [_clean(w) for w in new]
-                logit = self.model.logits(clean)
+                logit = np.concatenate([self.model.logits(clean[i:i + _AT_ONCE]) for i in range(0, len(clean), _AT_ONCE)])
                 known.update(zip(new, np.where([bool(c) for c in clean], logit, -math.inf).tolist()))
             for i, tokens in enumerate(cut):
                 logits = set(map(known.__getitem__, tokens))

@@ -183,6 +183,23 @@ def test_quality_classifier(spark, odd):
     assert quality_classifier.fit_quality(odd, labels.limit(0)).prior == 0.5
 
 
+def test_toxicity_reads_unspaced_runs_whole():
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("abcdeghilmnrstuw") for _ in range(rnd.randrange(3, 9))) for _ in range(400)]
+    made = [(set(rnd.sample(words, 30)) | ({rnd.choice(("numbskull", "blockhead", "dimwit"))} if i % 4 == 0 else set()), int(i % 4 == 0)) for i in range(400)]
+    scorer = toxicity.TokenScorer(toxicity.fit_documents(made))
+    for joint in ("", "_", "/", ".", "-"):
+        clean = joint.join(words[:80])
+        for at in (200, 211, len(clean)):
+            low, high = scorer.scores([clean, clean[:at] + joint + "numbskull" + joint + clean[at:]])
+            assert len(clean) > 200 and high > low + 0.2, (joint, at)
+    assert {"d!mw1t", "n@me"} <= set(toxicity.tokens_of("/".join(words[:80] + ["d!mw1t", "n@me"])))
+    run = "".join(rnd.choice("abcdef") for _ in range(1_003))
+    for n in (65, 66, 79, 80, 81, 95, 96, 97, 1_003):
+        pieces = toxicity.tokens_of("short " + run[:n])[1:]
+        assert all(any(run[i:i + 11] in p for p in pieces) for i in range(n - 10)) and max(map(len, pieces)) <= 64
+
+
 def test_toxicity(spark, odd):
     assert held_out(spark, "/root/testdata/sf0.01", QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.01"), "toxic") > 0.93
     rnd = random.Random(1)
