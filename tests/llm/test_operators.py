@@ -378,6 +378,36 @@ def test_kneser_ney_sums_to_one(spark):
     assert all(np.isfinite(v) for v in bits.values()) and bits["n"] < bits["b"]
 
 
+def test_language_models_use_all_grams(spark):
+    import numpy as np
+
+    texts = [("en", "banana band bandana"), ("en", "ban an and nan"), ("zz", "qwrt")]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    models = language_id.fit_models(df)
+    assert models.langs == ["en", "zz"]
+    for k, lang in enumerate(models.langs):
+        pad = lambda w: "\x02" * 3 + w + "\x03"
+        grams = Counter(pad(w)[i:i + 4] for x, t in texts if x == lang for w in t.split() for i in range(len(w) + 1))
+        levels = {4: grams}
+        for n in (3, 2, 1):
+            levels[n] = Counter(g[1:] for g in levels[n + 1])
+
+        def p(gram):
+            if not gram:
+                return 1 / (len(levels[1]) + 1)
+            level = levels[len(gram)]
+            n1, n2 = (sum(v == i for v in level.values()) for i in (1, 2))
+            d = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+            same = [v for g, v in level.items() if g[:-1] == gram[:-1]]
+            if not same:
+                return p(gram[1:])
+            return max(level[gram] - d, 0) / sum(same) + d * len(same) / sum(same) * p(gram[1:])
+
+        for word in ("bandan", "qwr", "nab"):
+            want = -sum(np.log2(p(pad(word)[i:i + 4])) for i in range(len(word) + 1))
+            assert abs(models.bits([word])[0][0, k] - want) < 1e-4
+
+
 def test_bounded_sample(spark):
     df = spark.range(0, 2_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("y"))
     some = bounded_sample(df, "doc_id", 50, "y")
