@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from typing import BinaryIO
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,9 +24,11 @@ LOWER_TO_SPACE = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine (master local), a new one if that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -35,6 +42,25 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@functools.lru_cache(maxsize=1)
+def _staging() -> str:
+    """The driver's own folder, from which executors fetch files; it goes when the driver ends."""
+    folder = tempfile.mkdtemp(prefix="quillspark-files-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def staged(name: str) -> BinaryIO:
+    """A new file of the driver, to be filled and then given to `share_file`."""
+    return open(os.path.join(_staging(), f"{name}-{uuid.uuid4().hex}"), "wb")
+
+
+def share_file(spark: SparkSession, path: str) -> str:
+    """Sends a driver's file to each executor, once; its name for `SparkFiles.get` there. Its workers can map it into memory."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def labelled_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.crc32(doc_id.cast("string")) % F.lit(folds)
@@ -73,5 +99,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 __all__ = [
     "LOWER_TO_SPACE", "StorageLevel", "ascii_words", "bounded_sample", "labelled_fold",
-    "literal_rows", "materialized", "shared_dir", "table",
+    "literal_rows", "materialized", "share_file", "shared_dir", "staged", "table",
 ]
