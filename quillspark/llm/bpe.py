@@ -3,9 +3,10 @@
 The corpus is counted once (a mergeable heavy-hitter summary per task, summed by word); the most
 frequent words, encoded with the public merge table, are compiled into a minimal acyclic automaton
 whose arcs carry word counts, so that a path's sum is the word's place in one array of ids. Its
-bytes (bounded by `lexicon_words`) are broadcast and memory-mapped by each Python worker. A chunk
-of text that the automaton does not hold is cut by the tokenizer's pattern and its pieces are
-merged pair by pair in rank order, exactly. The lexicon changes speed only, never ids.
+file (bounded by `lexicon_words`) goes to each executor once and is memory-mapped by all Python workers there.
+The different chunks of some texts walk the automaton together, a byte a step; those that it does not
+accept are cut by the tokenizer's pattern and their pieces merged pair by pair in rank order, exactly.
+The lexicon changes speed only, never ids.
 
 Defined results: null text is empty text and has no ids; special tokens' strings in a text become
 their ids, as the tokenizers library does it; repeated rows are separate; texts of any length are
@@ -20,18 +21,20 @@ import hashlib
 import json
 import mmap
 import re
-import tempfile
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import share_file, staged, table
 
 #: How byte-level BPE cuts text (fixed by the public tokenizer's own pattern).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,11 +42,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _UNEVEN = re.compile(r"^\s| \s|\s |\s$")
 #: A single space between visible characters always starts a new piece.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_CACHE = 250_000
 #: Longest word in the lexicon, in bytes.
 LONGEST = 40
 _NONE = np.int32(2**31 - 1)
-#: Texts that are encoded together: their unseen words are merged in one go.
+#: Characters of the texts that are encoded together; their different chunks are looked up and merged in one go.
 _TOGETHER = 2_000_000
 
 
@@ -61,6 +63,54 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(shifted)) for b in range(256)]
 
 
+def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all stretches, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+@dataclass
+class Lists:
+    """Many lists of numbers in one array."""
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, values: np.ndarray | None = None) -> Lists:
+        sizes = sizes.astype(np.int64)
+        return cls(np.cumsum(sizes) - sizes, sizes, np.zeros(int(sizes.sum()), np.int32) if values is None else values)
+
+    def take(self, which: np.ndarray) -> Lists:
+        sizes = self.sizes[which]
+        return Lists.of(sizes, self.values[_stretches(self.starts[which], sizes)])
+
+    def joined(self, counts: np.ndarray) -> Lists:
+        """So many of the lists in turn as one."""
+        owner = np.repeat(np.arange(len(counts)), counts)
+        return Lists.of(np.bincount(owner, self.sizes, len(counts)), self.values)
+
+    def each(self) -> Iterator[np.ndarray]:
+        for at, n in zip(self.starts.tolist(), self.sizes.tolist()):
+            yield self.values[at:at + n]
+
+
+def decimals(lists: Lists) -> Lists:
+    """The lists' numbers as text (bytes), each with a comma behind it."""
+    values = lists.values
+    digits = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        digits += values >= 10 ** k
+    out = Lists.of(digits + 1, np.full(int(digits.sum()) + len(values), ord(","), np.uint8))
+    last, left = out.starts + digits - 1, values.copy()
+    for k in range(int(digits.max(initial=0))):
+        on = digits > k
+        out.values[last[on] - k] = 48 + left[on] % 10
+        left //= 10
+    return out.joined(lists.sizes)
+
+
 class MergeTable:
     """Ids and ranks of a byte-level BPE file; merges single words exactly."""
 
@@ -82,6 +132,7 @@ class MergeTable:
         for piece, i in self.special.items():
             self.bytes_of[i] = piece.encode()
         self._byte_ids = np.array(self.of_byte, np.uint32)
+        self._spelled = Lists.of(np.array([len(x) for x in self.bytes_of]), np.frombuffer(b"".join(self.bytes_of), np.uint8))
         pairs = sorted((a << 16 | b, rank) for (a, b), (rank, _) in self.pairs.items())
         self._keys, self._key_ranks = np.array([k for k, _ in pairs], np.uint32), np.array([r for _, r in pairs], np.int32)
         self._joined = np.zeros(len(spec["model"]["merges"]), np.uint32)
@@ -132,19 +183,19 @@ class MergeTable:
                     heapq.heappush(heap, (f[0], x, ids[x], ids[y], f[1]))
         return [x for x in ids if x >= 0]
 
-    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+    def merge_all(self, words: list[bytes]) -> Lists:
         """`merge` of many words at once: words of one length are the rows of a matrix, one pair a row is joined in each step."""
-        out: list[list[int]] = [[]] * len(words)
-        by_size: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_size.setdefault(len(w), []).append(i)
-        for size, rows in by_size.items():
-            if size > 40 or len(rows) < 8:
-                for i in rows:
-                    out[i] = self.merge(words[i])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            if not len(rows):
                 continue
-            place = np.array(rows)
-            raw = np.frombuffer(b"".join([words[i] for i in rows]), np.uint8).reshape(len(rows), size)
+            if lengths[rows[0]] > LONGEST or len(rows) < 8:
+                done += [(rows[i:i + 1], np.array([self.merge(words[r])], np.int32)) for i, r in enumerate(rows.tolist())]
+                continue
+            place = rows
+            raw = np.frombuffer(b"".join([words[i] for i in rows.tolist()]), np.uint8).reshape(len(rows), -1)
             ids = self._byte_ids[raw]
             ranks = self._ranks(ids[:, :-1], ids[:, 1:])
             while True:
@@ -155,8 +206,7 @@ class MergeTable:
                     best = ranks[np.arange(len(ids)), at]
                     going = best < _NONE
                 if not going.all():
-                    for i, row in zip(place[~going].tolist(), ids[~going].tolist()):
-                        out[i] = row
+                    done.append((place[~going], ids[~going].astype(np.int32)))
                     if not going.any():
                         break
                     place, ids, ranks, at, best = place[going], ids[going], ranks[going], at[going], best[going]
@@ -171,6 +221,12 @@ class MergeTable:
                     ranks[line[has], at[has] - 1] = self._ranks(ids[line[has], at[has] - 1], ids[line[has], at[has]])
                     has = at < width - 2
                     ranks[line[has], at[has]] = self._ranks(ids[line[has], at[has]], ids[line[has], at[has] + 1])
+        sizes = np.zeros(len(words), np.int64)
+        for place, ids in done:
+            sizes[place] = ids.shape[1]
+        out = Lists.of(sizes)
+        for place, ids in done:
+            out.values[out.starts[place][:, None] + np.arange(ids.shape[1])] = ids
         return out
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -179,6 +235,10 @@ class MergeTable:
         found[found == len(self._keys)] = 0
         return np.where(self._keys[found] == key, self._key_ranks[found], _NONE)
 
+    def spell(self, ids: Lists) -> Lists:
+        """The bytes of each list of ids."""
+        return self._spelled.take(ids.values).joined(ids.sizes)
+
     def encode_chunk(self, chunk: str) -> list[int]:
         out: list[int] = []
         for piece in self.find_pieces(chunk):
@@ -239,20 +299,22 @@ def build_transducer(entries: dict[bytes, list[int]]) -> bytes:
 
 
 class Transducer:
-    """The block of `build_transducer`, memory-mapped."""
-
-    def __init__(self, block: bytes):
-        with tempfile.TemporaryFile() as f:
-            f.write(block)
-            f.flush()
-            mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        self.root, n_states, n_arcs, n_words, n_ids = np.frombuffer(mapped, np.uint32, 5).tolist()
+    """The block of `build_transducer`, in memory or in a memory-mapped file."""
+
+    def __init__(self, block):
+        self.root, n_states, n_arcs, n_words, n_ids = np.frombuffer(block, np.uint32, 5).tolist()
         at, parts = 20, []
         for size in (n_arcs, n_arcs, n_arcs, n_words + 1, n_ids):
-            parts.append(np.frombuffer(mapped, np.uint32, size, at))
+            parts.append(np.frombuffer(block, np.uint32, size, at))
             at += 4 * size
         self.arcs, self.targets, self.skips, self.starts, self.ids = parts
-        self.finals = np.frombuffer(mapped, np.uint8, n_states, at)
+        self.finals = np.frombuffer(block, np.uint8, n_states, at)
+
+    @classmethod
+    def mapped(cls, path: str) -> Transducer:
+        """Of a file; all workers of a node read the same pages."""
+        with open(path, "rb") as f:
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """The place of each word, -1 if it is not held; all words walk the arcs together, a byte a step."""
@@ -277,12 +339,15 @@ class Transducer:
             state, index = self.targets[arc], index[on] + self.skips[arc]
         return place
 
-    def at(self, place: int) -> list[int]:
-        return self.ids[self.starts[place]:self.starts[place + 1]].tolist()
+    def lists(self, places: np.ndarray) -> Lists:
+        """The ids of held words by their places."""
+        starts = self.starts[places].astype(np.int64)
+        sizes = self.starts[places + 1] - starts
+        return Lists.of(sizes, self.ids[_stretches(starts, sizes)].astype(np.int32))
 
     def get(self, word: bytes) -> list[int] | None:
-        place = int(self.places([word])[0])
-        return None if place < 0 else self.at(place)
+        place = self.places([word])
+        return None if place[0] < 0 else self.lists(place).values.tolist()
 
 
 # ---------------------------------------------------------------- corpus counts
@@ -318,39 +383,43 @@ def frequent_chunks(documents: DataFrame, most: int) -> list[str]:
 # ---------------------------------------------------------------- texts
 
 class Encoder:
-    """Encodes and decodes whole texts; keeps what it has worked out for recent chunks.
-
-    An entry of a chunk is (number of ids, ids joined by commas, bytes decoded from the ids, ids as 32-bit numbers).
-    """
+    """Encodes and decodes whole texts, so many together; nothing is kept from one lot to the next."""
 
     def __init__(self, table_: MergeTable, lexicon: Transducer | None):
         self.table, self.lexicon = table_, lexicon
-        self.cache: dict[str, tuple[int, str, bytes, bytes]] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        """Entries of chunks not seen before: from the lexicon, else by merging all their unseen pieces together."""
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        if len(self.pieces) > _CACHE:
-            self.pieces.clear()
-        find, known, new, cut = self.table.find_pieces, self.pieces, {}, {}
-        chunks = list(chunks)
-        places = self.lexicon.places([c.encode() for c in chunks]).tolist() if self.lexicon else [-1] * len(chunks)
-        for c, place in zip(chunks, places):
-            if place >= 0:
-                self.cache[c] = self._entry(self.lexicon.at(place))
-            else:
-                cut[c] = find(c)
-                new.update((p, None) for p in cut[c] if p not in known)
-        words = list(new)
-        known.update(zip(words, self.table.merge_all([w.encode() for w in words])))
-        for c, parts in cut.items():
-            self.cache[c] = self._entry(known[parts[0]] if len(parts) == 1 else [i for p in parts for i in known[p]])
-
-    def _entry(self, ids: list[int]) -> tuple[int, str, bytes, bytes]:
-        of = self.table.bytes_of
-        return len(ids), ",".join(map(str, ids)), b"".join([of[i] for i in ids]), array("i", ids).tobytes()
+
+    def _ids_of(self, chunks: list[str]) -> Lists:
+        """Ids of different chunks: the lexicon's, if it accepts them, else merged from their pieces, all at once."""
+        place = self.lexicon.places([c.encode("utf-8", "surrogatepass") for c in chunks]) if self.lexicon else np.full(len(chunks), -1)
+        held, rest = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        pieces = _numbering()
+        cut = list(map(self._pieces, [chunks[i] for i in rest.tolist()]))
+        number = np.fromiter(map(pieces.__getitem__, chain.from_iterable(cut)), np.int64)
+        merged = self._merged(list(pieces)).take(number).joined(np.fromiter(map(len, cut), np.int64, len(cut)))
+        known = self.lexicon.lists(place[held]) if self.lexicon else Lists.of(np.zeros(0, np.int64))
+        sizes = np.zeros(len(chunks), np.int64)
+        sizes[held], sizes[rest] = known.sizes, merged.sizes
+        out = Lists.of(sizes)
+        for which, lists in ((held, known), (rest, merged)):
+            out.values[_stretches(out.starts[which], lists.sizes)] = lists.values
+        return out
+
+    def _pieces(self, chunk: str) -> list[str]:
+        """As the tokenizer's pattern cuts the chunk; plain letters are one piece."""
+        word = chunk[1:] if chunk.startswith(" ") else chunk
+        if word.isalpha() and word.isascii() or chunk in self.table.special:
+            return [chunk]
+        return self.table.find_pieces(chunk)
+
+    def _merged(self, pieces: list[str]) -> Lists:
+        special = self.table.special
+        if not special.keys().isdisjoint(pieces):
+            # a special token is one id; pieces of plain text never spell one
+            plain = [p for p in pieces if p not in special]
+            found = iter(self.table.merge_all([p.encode() for p in plain]).each())
+            lists = [np.array([special[p]], np.int32) if p in special else next(found) for p in pieces]
+            return Lists.of(np.array([len(x) for x in lists]), np.concatenate(lists))
+        return self.table.merge_all([p.encode() for p in pieces])
 
     def cut(self, text: str) -> list[str]:
         """Chunks that are encoded independently of each other; special tokens stand alone."""
@@ -370,65 +439,61 @@ class Encoder:
             head, *rest = text.split(" ")
         return [head, *[" " + p for p in rest]]
 
-    def entries(self, texts: list[str]) -> Iterator[list[tuple[int, str, bytes, bytes]]]:
-        """The entries of each text's chunks."""
-        special = {s: self._entry([i]) for s, i in self.table.special.items()}
+    def encode(self, texts: list[str]) -> Iterator[Lists]:
+        """Ids of the texts in turn, about _TOGETHER characters at once."""
         done = 0
         while done < len(texts):
             size, upto = 0, done
             while upto < len(texts) and (upto == done or size + len(texts[upto]) <= _TOGETHER):
                 size += len(texts[upto])
                 upto += 1
-            cut = [self.cut(t) for t in texts[done:upto]]
-            if len(self.cache) > _CACHE:
-                self.cache.clear()
-            get = self.cache.get
-            unseen = {c for chunks in cut for c in chunks if get(c) is None and c not in special}
-            if unseen:
-                kept = {c: e for chunks in cut for c in chunks if (e := get(c)) is not None} if len(self.cache) + len(unseen) > _CACHE else {}
-                self._learn(sorted(unseen))
-                self.cache.update(kept)
-            cache = self.cache
-            for chunks in cut:
-                try:
-                    yield [cache[c] for c in chunks]
-                except KeyError:
-                    yield [special[c] if c in special else cache[c] for c in chunks]
+            chunks = _numbering()
+            cut = list(map(self.cut, texts[done:upto]))
+            counts = np.fromiter(map(len, cut), np.int64, len(cut))
+            number = np.fromiter(map(chunks.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+            del cut
+            yield self._ids_of(list(chunks)).take(number).joined(counts)
             done = upto
 
 
+def _numbering() -> defaultdict[str, int]:
+    """Gives each new key the next number."""
+    out: defaultdict[str, int] = defaultdict()
+    out.default_factory = out.__len__
+    return out
+
+
 def make_lexicon(documents: DataFrame, vocabulary: str, lexicon_words: int) -> bytes:
     table_ = MergeTable(vocabulary)
     words = [" " + w for w in frequent_chunks(documents, lexicon_words)]
     return build_transducer({w.encode(): table_.encode_chunk(w) for w in words if len(w.encode()) <= LONGEST})
 
 
-def _encoder(vocabulary: str, block: bytes) -> Encoder:
-    """One for each Python worker and lexicon, used again by later tasks."""
-    key = (vocabulary, hashlib.sha256(block).digest())
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(MergeTable(vocabulary), Transducer(block))
-    return _ENCODERS[key]
+def _lexicon_for(documents: DataFrame, vocabulary: str, lexicon_words: int, block: bytes | None) -> str:
+    """The name of the automaton's file on the executors."""
+    with staged("lexicon") as f:
+        f.write(block if block is not None else make_lexicon(documents, vocabulary, lexicon_words))
+    return share_file(documents.sparkSession, f.name)
 
 
-_ENCODERS: dict = {}
+def _encoder(vocabulary: str, name: str) -> Encoder:
+    return Encoder(MergeTable(vocabulary), Transducer.mapped(SparkFiles.get(name)))
 
 
 def encode_documents(documents: DataFrame, vocabulary: str | None = None, lexicon_words: int = 20_000, block: bytes | None = None) -> DataFrame:
     """All columns plus ids (array of int) and decoded (text from the ids)."""
     vocabulary = vocabulary or default_vocabulary()
-    block = block if block is not None else make_lexicon(documents, vocabulary, lexicon_words)
-    held = documents.sparkSession.sparkContext.broadcast(block)
+    name = _lexicon_for(documents, vocabulary, lexicon_words, block)
 
     @F.pandas_udf("ids array<int>, decoded string")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(vocabulary, held.value)
+        encoder = _encoder(vocabulary, name)
         for texts in batches:
-            rows = []
-            for found in encoder.entries([t or "" for t in texts]):
-                rows.append((np.frombuffer(b"".join([e[3] for e in found]), np.int32), b"".join([e[2] for e in found]).decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["ids", "decoded"])
+            ids, decoded = [], []
+            for some in encoder.encode([t or "" for t in texts]):
+                ids += some.each()
+                decoded += [x.tobytes().decode("utf-8", "replace") for x in encoder.table.spell(some).each()]
+            yield pd.DataFrame({"ids": ids, "decoded": decoded})
 
     kept = [c for c in documents.columns if c not in ("ids", "decoded")]
     return documents.select(*kept, encode("text").alias("__e")).select(*kept, "__e.ids", "__e.decoded")
@@ -437,20 +502,18 @@ def encode_documents(documents: DataFrame, vocabulary: str | None = None, lexico
 def encode_digests(documents: DataFrame, vocabulary: str | None = None, lexicon_words: int = 20_000, block: bytes | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: the same encoding, digested where it is made."""
     vocabulary = vocabulary or default_vocabulary()
-    block = block if block is not None else make_lexicon(documents, vocabulary, lexicon_words)
-    held = documents.sparkSession.sparkContext.broadcast(block)
+    name = _lexicon_for(documents, vocabulary, lexicon_words, block)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(vocabulary, held.value)
+        encoder = _encoder(vocabulary, name)
         sha = hashlib.sha256
         for pdf in batches:
-            rows = []
-            for found in encoder.entries([t or "" for t in pdf["text"]]):
-                raw = b"".join([e[2] for e in found]).decode("utf-8", "replace").encode()
-                rows.append((sum([e[0] for e in found]), sha(",".join([e[1] for e in found]).encode()).hexdigest(), sha(raw).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
+            sizes, of_ids, of_text = [], [], []
+            for some in encoder.encode([t or "" for t in pdf["text"]]):
+                sizes += some.sizes.tolist()
+                of_ids += [sha(x[:-1]).hexdigest() for x in decimals(some).each()]
+                of_text += [sha(x.tobytes().decode("utf-8", "replace").encode()).hexdigest() for x in encoder.table.spell(some).each()]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_tokens": np.array(sizes, np.int64), "ids_sha256": of_ids, "decoded_sha256": of_text})
 
     return documents.select("doc_id", "text").mapInPandas(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
