@@ -12,11 +12,18 @@ sets, again in blocks, through an inverted index, and one link comes out for eac
 that meet. So the components are those of all confirmed candidate pairs, though no bucket's pairs are
 all emitted.
 
-Links, components and signatures stay in tables of the shared folder; nothing of them is collected.
+Hashes only propose: sets are counted and compared by the words themselves (`shingle_sets` numbers
+the different words and shingles of the texts at hand), never by their hashes.
+
+No key gets more rows than a task holds: the partners of one id are dealt in parts, buckets in blocks
+of a bounded number of sketches or bytes of text, and joins on a bucket, a root or a digest have a written
+table on each side, so that Spark splits a skewed one. Links, components and signatures stay in tables
+of the shared folder; nothing of them is collected.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; texts of
 fewer than five words are one shingle; texts of any length are read whole; a doc_id that comes
-several times is one node (rows are kept); an empty table gives no rows; other columns are ignored
+several times is one node (rows are kept, each with its own n_shingles; if its texts differ, it links
+as each of them does); an empty table gives no rows; other columns are ignored
 by `near_duplicates` and kept by `drop_near_duplicates`.
 """
 
@@ -24,10 +31,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +51,14 @@ BITS = 512
 LEAST = 75
 #: A pair is confirmed on full sets if its estimate is at most this far below the threshold.
 SLACK = 0.20
-#: Most members of a block that is compared in memory.
-BLOCK = 500
+#: Most partners of an id in a part, sketches in a block, and bytes of text in a block, compared in memory.
+PART, BLOCK, BLOCK_BYTES = 500, 4_096, 2_000_000
+#: Characters of texts whose shingles are numbered together.
+_TOGETHER = 2_000_000
 #: Bits of the filter that keeps texts of no candidate out of the shuffles.
 FILTER_BITS = 1 << 23
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -56,32 +68,66 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    return tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, p, np.uint64)))) for p in (_P, _P_INVERSE))
-
-
 def normal_words(text: str | None) -> bytes:
     """The words, A-Z lower-cased, with single spaces."""
     return b" ".join(text.encode("utf-8", "surrogatepass").lower().split()) if text else b""
 
 
-def shingles(words: bytes) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of `normal_words`."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    raw = np.frombuffer(words, np.uint8)
-    up, down = _powers(max(1 << 17, 1 << (len(raw) - 1).bit_length()))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], out=total[1:])
-    spaces = np.flatnonzero(raw == 0x20)
-    starts, ends = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(raw)]))
-    if len(starts) < WORDS:
-        starts, ends = starts[:1], ends[-1:]
-    else:
-        starts, ends = starts[:len(starts) - WORDS + 1], ends[WORDS - 1:]
-    return np.unique(_mix((total[ends] - total[starts]) * down[starts]))
+@dataclass
+class ShingleSets:
+    """The distinct shingles of some texts, by owner (place of the text): each one's number and hash.
+
+    Equal numbers are equal words in equal order. Hashes are the same in every batch and only propose candidates.
+    """
+
+    owner: np.ndarray
+    number: np.ndarray
+    hash: np.ndarray
+
+    def sizes(self, texts: int) -> np.ndarray:
+        return np.bincount(self.owner, minlength=texts)
+
+
+def hash_words(words: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64)
+
+
+def shingle_sets(normal: list[bytes]) -> ShingleSets:
+    """Of texts as `normal_words` gives them. Shingles are told apart by the numbers of their words in a dictionary of the texts' words."""
+    place: defaultdict[bytes, int] = defaultdict()
+    place.default_factory = place.__len__
+    cut = [t.split(b" ") if t else [] for t in normal]
+    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+    every = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum())) + 1
+    padded = np.where(sizes > 0, np.maximum(sizes, WORDS), 0)
+    starts, from_ = np.cumsum(padded) - padded, np.cumsum(sizes) - sizes
+    words = np.zeros(int(padded.sum()), np.int64)  # 0, behind texts of fewer than WORDS, is no word
+    words[np.arange(len(every)) + np.repeat(starts - from_, sizes)] = every
+    n = np.maximum(padded - WORDS + 1, 0)
+    owner = np.repeat(np.arange(len(cut)), n)
+    at = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(n) - n), n)
+    of_word = np.concatenate((np.zeros(1, np.uint64), hash_words(place)))[words]
+    hashes = np.full(len(at), _P)
+    for i in range(WORDS):
+        hashes = _mix(hashes ^ of_word[at + i]) + _P
+    order = np.argsort(hashes)
+    other = hashes[order[1:]] != hashes[order[:-1]]
+    alike = np.flatnonzero(~other)
+    if all((words[at[order[alike + 1]] + i] == words[at[order[alike]] + i]).all() for i in range(WORDS)):
+        number = np.empty(len(at), np.int64)
+        number[order] = np.concatenate((np.zeros(min(1, len(at)), np.int64), np.cumsum(other)))
+    else:  # different shingles of one hash
+        number = _numbered([words[at + i] for i in range(WORDS)])
+    first = np.unique(owner * np.int64(number.max(initial=0) + 1) + number, return_index=True)[1]
+    return ShingleSets(owner[first], number[first], hashes[first])
+
+
+def _numbered(columns: list[np.ndarray]) -> np.ndarray:
+    """A number for each different row of the columns."""
+    number = columns[0]
+    for c in columns[1:]:
+        number = np.unique(number * np.int64(c.max(initial=0) + 1) + c, return_inverse=True)[1]
+    return number
 
 
 @functools.lru_cache(maxsize=1)
@@ -126,58 +172,109 @@ def most_differing_bits(slack: float = SLACK) -> int:
     return int(np.floor(BITS / 2 * (1 - np.exp(-4 * SAMPLES * apart / BITS))))
 
 
+def _in_turn(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about _TOGETHER bytes, with the place of their first."""
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) <= _TOGETHER):
+            size += len(texts[upto])
+            upto += 1
+        yield at, texts[at:upto]
+        at = upto
+
+
 def sign(documents: DataFrame) -> DataFrame:
-    """doc_id, digest of the words, n_shingles, keys of the bands, odd sketch: one row a document."""
+    """doc_id, digest of the words, n_shingles, n_bytes, keys of the bands, odd sketch: one row a document."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 1_000):
-                part = pdf.iloc[at:at + 1_000]
-                samples, digests, sizes = np.zeros((len(part), SAMPLES), np.uint32), [], []
-                for i, text in enumerate(part["text"]):
-                    words = normal_words(text)
-                    hashes = shingles(words)
-                    samples[i] = min_hashes(hashes)
-                    sizes.append(len(hashes))
-                    digests.append(hashlib.blake2b(words, digest_size=16).digest())
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "digest": digests, "n_shingles": np.array(sizes, np.int64),
-                                    "keys": list(band_keys(samples)), "sketch": list(odd_sketches(samples))})
+            ids, normal = pdf["doc_id"].to_numpy(), [normal_words(t) for t in pdf["text"]]
+            for at, texts in _in_turn(normal):
+                sets = shingle_sets(texts)
+                sizes, hashes = sets.sizes(len(texts)), sets.hash
+                ends = np.cumsum(sizes)
+                samples = np.stack([min_hashes(hashes[e - n:e]) for e, n in zip(ends, sizes)])
+                yield pd.DataFrame({
+                    "doc_id": ids[at:at + len(texts)], "digest": [hashlib.blake2b(t, digest_size=16).digest() for t in texts], "n_shingles": sizes,
+                    "n_bytes": np.fromiter(map(len, texts), np.int64, len(texts)), "keys": list(band_keys(samples)), "sketch": list(odd_sketches(samples))})
 
     return documents.select("doc_id", "text").mapInPandas(
-        scan, "doc_id long, digest binary, n_shingles long, keys array<long>, sketch array<long>")
+        scan, "doc_id long, digest binary, n_shingles long, n_bytes long, keys array<long>, sketch array<long>")
 
 
-def _xor_count(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def deal(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, n) in parts: rows (b, parts, salt, is_a, id), one for b in each part and one for each of its a.
 
+    n bounds the partners that b has in one bucket, so a part has PART of them for each of b's bands at most.
+    """
+    sized = pairs.groupBy("a", "b").agg(F.ceil(F.max("n") / PART).cast("int").alias("parts"))
+    mine = sized.select("b", "parts", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("is_a"), F.col("a").alias("id"))
+    hubs = sized.select("b", "parts").distinct().select(
+        "b", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("is_a"), F.col("b").alias("id"))
+    return mine.unionByName(hubs)
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; texts: id, text.
 
-    The pairs of one b are dealt in parts of BLOCK at most; each part gets b's text once, first, and
-    then those of its a. So texts are shuffled once, and a b with many partners fills many parts.
-    """
+def meet(dealt: DataFrame, own: DataFrame, linked: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """(a, b, parts) of those pairs of `deal` that `linked` marks among the rows of its parts, b's rows first; own: id and what to compare."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, hub = None, None
+        rest: pd.DataFrame | None = None
         for pdf in batches:
-            out = []
-            for b, salt, is_a, i, text in zip(pdf["b"], pdf["salt"], pdf["is_a"], pdf["id"], pdf["text"]):
-                own = shingles(normal_words(text))
-                if not is_a:
-                    part, hub = (b, salt), own
-                elif part == (b, salt):
-                    both = len(np.intersect1d(own, hub, assume_unique=True))
-                    if both and 100 * both >= LEAST * (len(own) + len(hub) - both):
-                        out.append((i, b))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    mine = pairs.join(sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("is_a"), F.col("a").alias("id"))
-    hubs = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("is_a"), F.col("b").alias("id"))
-    dealt = materialized(mine.unionByName(hubs), "dedup-pairs")
-    rows = dealt.join(thinned(texts, dealt.select("id")), "id").select("b", "salt", "is_a", "id", "text")
-    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "is_a").mapInPandas(check, "a long, b long")
+            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            part = rest[["b", "parts", "salt"]]
+            last = (part == part.iloc[-1]).all(axis=1).to_numpy() if len(rest) else np.zeros(0, bool)
+            yield found(rest[~last])
+            rest = rest[last]
+            if len(rest) > 2 * PART:  # b's rows stay for those to come
+                yield found(rest)
+                rest = rest[rest["is_a"] == 0]
+        if rest is not None:
+            yield found(rest)
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.reset_index(drop=True)
+        hit = rows[linked(rows)] if len(rows) else rows
+        return pd.DataFrame({"a": hit["id"], "b": hit["b"], "parts": hit["parts"]})
+
+    rows = dealt.join(own, "id")
+    return rows.repartition("b", "parts", "salt").sortWithinPartitions("b", "parts", "salt", "is_a").mapInPandas(check, "a long, b long, parts int")
+
+
+def _parts_of(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of b's rows and of its partners' rows, part by part."""
+    part = rows[["b", "parts", "salt"]].to_numpy()
+    edges = np.flatnonzero((part[1:] != part[:-1]).any(1)) + 1
+    is_a = rows["is_a"].to_numpy() == 1
+    for places in np.split(np.arange(len(rows)), edges):
+        yield places[~is_a[places]], places[is_a[places]]
+
+
+def _near_sketches(rows: pd.DataFrame, cut: int) -> np.ndarray:
+    words = np.stack(rows["sketch"].to_numpy()).astype(np.int64)
+    out = np.zeros(len(rows), bool)
+    for hubs, mine in _parts_of(rows):
+        for h in hubs:
+            # unsigned, as bitwise_count takes the absolute value of a signed number
+            out[mine] |= np.bitwise_count((words[mine] ^ words[h]).view(np.uint64)).sum(1, dtype=np.int64) <= cut
+    return out
+
+
+def _same_sets(rows: pd.DataFrame) -> np.ndarray:
+    """Which partners reach the threshold with one of b's texts, on full sets."""
+    out, texts = np.zeros(len(rows), bool), rows["text"].to_numpy()
+    for hubs, mine in _parts_of(rows):
+        first = [normal_words(t) for t in texts[hubs]]
+        for at, some in _in_turn([normal_words(t) for t in texts[mine]]):
+            sets = shingle_sets(first + some)
+            sizes, k = sets.sizes(len(first) + len(some)), len(first)
+            for h in range(k):
+                hub = np.zeros(int(sets.number.max(initial=0)) + 1, bool)
+                hub[sets.number[sets.owner == h]] = True
+                both = np.bincount(sets.owner, hub[sets.number], minlength=len(sizes))
+                linked = (both > 0) & (100 * both >= LEAST * (sizes + sizes[h] - both))
+                out[mine[at:at + len(some)]] |= linked[k:]
+    return out
 
 
 def thinned(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -201,6 +298,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         if not large:
             both = both.filter("b < a")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")) if large else both.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialized(least, f"{name}-least")  # a root has all its component's edges: both sides are tables, so that Spark splits it
         met = both.join(least, "a")
         if large:
             return met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -213,16 +311,15 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     edges = materialized(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
     before, now = None, mark(edges)
     while now != before:
-        edges = materialized(star(star(edges, True), False), name)
+        edges = materialized(star(materialized(star(edges, True), name), False), name)
         before, now = now, mark(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows (key, m, id, ...) of a bucket in blocks; every two blocks of it meet in one group (key, i, j)."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (key, blocks, id, ...) of a bucket in its number of blocks; every two blocks of it meet in one group (key, i, j)."""
     return (
-        rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
     )
@@ -239,7 +336,7 @@ def _near_others(pdf: pd.DataFrame, cut: int) -> pd.DataFrame:
             near = (np.bitwise_count((words ^ sketch).view(np.uint64)).sum(1, dtype=np.int64) <= cut) & (roots != root)
             hit_left[k] = near.any()
             hit_right |= near
-    return pd.concat([left[hit_left], right[hit_right]])[["key", "m", "id", "root"]]
+    return pd.concat([left[hit_left], right[hit_right]])[["key", "id", "root", "n_bytes"]]
 
 
 def _links_in_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -251,26 +348,29 @@ def _links_in_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     left, right = pdf[pdf["block"] == pdf["i"].iloc[0]], pdf[pdf["block"] == pdf["j"].iloc[0]]
     found: list[tuple[int, int]] = []
     if len(left) and len(right) and pdf["root"].nunique() > 1:
-        sets = [shingles(normal_words(t)) for t in right["text"]]
-        sizes, ids, roots = np.array([len(x) for x in sets]), right["id"].to_numpy(), right["root"].to_numpy().copy()
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        every = np.concatenate(sets)
-        order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        sets = shingle_sets([normal_words(t) for t in (right["text"] if same else pd.concat([right["text"], left["text"]]))])
+        n_right = len(right)
+        sizes, ends = sets.sizes(n_right if same else n_right + len(left)), np.searchsorted(sets.owner, np.arange(n_right + len(left)), side="right")
+        ids, roots = right["id"].to_numpy(), right["root"].to_numpy().copy()
+        in_right = sets.owner < n_right
+        order = np.argsort(sets.number[in_right], kind="stable")
+        every, owner = sets.number[in_right][order], sets.owner[in_right][order]
         largest = pdf["root"].mode().iloc[0]
         mine = left["root"].to_numpy().copy()
         # a pair of different components has a member outside the largest; within one block that one is on the left
-        rows = np.flatnonzero(mine != largest) if pdf["i"].iloc[0] == pdf["j"].iloc[0] else np.arange(len(left))
-        left_ids, texts = left["id"].to_numpy(), left["text"].to_numpy()
+        rows = np.flatnonzero(mine != largest) if same else np.arange(len(left))
+        left_ids = left["id"].to_numpy()
         for k in rows:
             if (roots == mine[k]).all():
                 continue
-            own = shingles(normal_words(texts[k]))
+            place = k if same else n_right + k
+            own = sets.number[ends[place] - sizes[place]:ends[place]]
             lo, hi = np.searchsorted(every, own), np.searchsorted(every, own, side="right")
             n = hi - lo
             at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            both = np.bincount(owner[at], minlength=len(sets))
-            linked = 100 * both >= LEAST * (len(own) + sizes - both)
+            both = np.bincount(owner[at], minlength=n_right)
+            linked = (both > 0) & (100 * both >= LEAST * (len(own) + sizes[:n_right] - both))
             while (open_ := linked & (roots != mine[k])).any():
                 hit = int(np.flatnonzero(open_)[0])
                 found.append((left_ids[k], ids[hit]))
@@ -280,19 +380,22 @@ def _links_in_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs.max(1, initial=-(2**63)), "b": pairs.min(1, initial=2**63 - 1)})
 
 
-def _across_components(members: DataFrame, sketches: DataFrame, roots: DataFrame, texts: DataFrame, cut: int) -> DataFrame:
-    """Links (a, b) between different components that share a bucket."""
-    rooted = (
+def _across_components(members: DataFrame, signed: DataFrame, roots: DataFrame, texts_of: Callable[[DataFrame], DataFrame], cut: int) -> DataFrame | None:
+    """Links (a, b) between different components that share a bucket; None if no bucket holds two."""
+    rooted = materialized(
         members.filter("n > 2").join(roots, F.col("id") == F.col("node"), "left")
-        .select("key", "id", F.coalesce("root", "id").alias("root"))
-    )
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("key", "m")
-    rest = _dealt(rooted.join(mixed, "key").join(sketches, "id"))
+        .select("key", "id", F.coalesce("root", "id").alias("root")), "dedup-rooted")
+    mixed = materialized(
+        rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        .filter("lo <> hi").select("key", "blocks"), "dedup-mixed")
+    if mixed.isEmpty():
+        return None
+    rest = _blocks(rooted.join(mixed, "key").join(signed.select("id", "sketch", "n_bytes"), "id"))
     near = materialized(rest.groupBy("key", "i", "j").applyInPandas(
-        lambda pdf: _near_others(pdf, cut), "key long, m long, id long, root long").distinct(), "dedup-near")
-    left = near.groupBy("key").agg(F.count("*").alias("m"))
-    dealt = _dealt(near.select("key", "id", "root").join(left, "key").join(thinned(texts, near.select("id")), "id"))
-    return dealt.groupBy("key", "i", "j").applyInPandas(_links_in_blocks, "a long, b long").distinct()
+        lambda pdf: _near_others(pdf, cut), "key long, id long, root long, n_bytes long").distinct(), "dedup-near")
+    sizes = materialized(near.groupBy("key").agg(F.ceil(F.sum("n_bytes") / BLOCK_BYTES).cast("int").alias("blocks")), "dedup-sizes")
+    dealt = _blocks(near.drop("n_bytes").join(sizes, "key").join(texts_of(near.select("id")), "id"))
+    return materialized(dealt.groupBy("key", "i", "j").applyInPandas(_links_in_blocks, "a long, b long").distinct(), "dedup-links")
 
 
 def near_duplicates(documents: DataFrame, slack: float = SLACK) -> DataFrame:
@@ -300,32 +403,37 @@ def near_duplicates(documents: DataFrame, slack: float = SLACK) -> DataFrame:
     cut = most_differing_bits(slack)
     signed = materialized(sign(documents), "dedup-signatures")
     filled = signed.filter("n_shingles > 0")
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    one_each = materialized(
-        filled.join(classes, "digest").filter(F.col("doc_id") == F.col("class_id"))
-        .select(F.col("doc_id").alias("id"), "keys", "sketch"), "dedup-classes")
+    classes = materialized(
+        filled.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min_by(F.struct("keys", "sketch", "n_bytes"), "doc_id").alias("own")), "dedup-classes")
+    one_each = classes.select(F.col("class_id").alias("id"), "own.*")
+    placed = materialized(
+        signed.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "class_id"), "digest", "left")
+        .select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("class_id")), "doc_id").alias("class_id")), "dedup-placed")
+    repeated = materialized(
+        placed.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("class_id").alias("b")).filter("rows > 1").drop("rows"), "dedup-repeated")
+    # a doc_id with several texts ties their classes
+    ties = placed.filter("n_shingles > 0").join(repeated, "doc_id").select(F.col("class_id").alias("a"), "b").filter("a <> b")
+
     banded = one_each.select("id", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    hubs = materialized(banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "dedup-hubs")
     members = materialized(banded.join(hubs, "key"), "dedup-buckets")
     sketches = one_each.select("id", "sketch")
+    pairs = members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "n")
+    near = materialized(meet(deal(pairs), sketches, lambda rows: _near_sketches(rows, cut)).distinct(), "dedup-near")
     texts = documents.select(F.col("doc_id").alias("id"), "text")
+    dealt = materialized(deal(near.select("a", "b", (F.col("parts") * PART).alias("n"))), "dedup-pairs")
+    unique = repeated.isEmpty()
 
-    pairs = members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    near = (
-        pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-        .join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        .filter(_xor_count(F.col("sketch_a"), F.col("sketch_b")) <= cut).select("a", "b")
-    )
-    links = materialized(confirm(near, texts).distinct(), "dedup-links")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        found = thinned(texts, ids)
+        return found if unique else found.distinct()  # an id repeated with the same text counts once
+
+    links = materialized(meet(dealt, texts_of(dealt.select("id")), _same_sets).select("a", "b").unionByName(ties).distinct(), "dedup-links")
     roots = components(links, "dedup-stars")
-    more = materialized(_across_components(members, sketches, roots, texts, cut), "dedup-links")
-    if not more.isEmpty():
+    more = _across_components(members, one_each, roots, texts_of, cut)
+    if more is not None and not more.isEmpty():
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = components(stars.unionByName(more), "dedup-stars")
-    placed = (
-        signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("class_id")), "doc_id").alias("class_id"))
-    )
     component = F.coalesce("root", "class_id")
     return placed.join(roots, F.col("class_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", "class_id", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -270,10 +270,14 @@ def test_bpe_equals_library(spark, docs, odd):
     texts = ["", " ", "a  b", "\n\n a\tb ", "x<|endoftext|>y", "it's  we'll", "日本語 🎉", "a" * 5_000, "12345 " * 200, "<|endoftext|>", "\x1ca \x1d"]
     texts += ["".join(rnd.choice(" \n\tab'sé1!<|>　🎉.") for _ in range(rnd.randrange(30))) for _ in range(3_000)]
     texts += [r.text or "" for r in docs.select("text").collect()]
-    for t, want, got in zip(texts, library.encode_batch(texts, add_special_tokens=False), encoder.entries(texts)):
-        ids = [int(i) for e in got for i in e[1].split(",")]
-        assert ids == want.ids
-        assert b"".join(e[2] for e in got).decode("utf-8", "replace") == library.decode(want.ids, skip_special_tokens=False)
+    lots = list(encoder.encode(texts))
+    got = [x.tolist() for some in lots for x in some.each()]
+    spelled = [x.tobytes() for some in lots for x in table.spell(some).each()]
+    written = [x.tobytes() for some in lots for x in bpe.decimals(some).each()]
+    assert len(got) == len(spelled) == len(written) == len(texts)
+    for t, want, ids, raw, text in zip(texts, library.encode_batch(texts, add_special_tokens=False), got, spelled, written):
+        assert ids == want.ids and text[:-1] == ",".join(map(str, ids)).encode()
+        assert raw.decode("utf-8", "replace") == library.decode(want.ids, skip_special_tokens=False)
     out = bpe.encode_documents(odd, lexicon_words=50).collect()
     assert len(out) == 9 and all(r.decoded == (r.text or "") for r in out)
     digests = {r.doc_id: r.ids_sha256 for r in bpe.encode_digests(odd, lexicon_words=50).collect()}
@@ -319,7 +323,8 @@ def brute_components(texts):
 
 
 def test_near_duplicates_against_brute_force(spark, docs, odd, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    for name, value in (("BLOCK", 7), ("PART", 5), ("BLOCK_BYTES", 3_000), ("_TOGETHER", 20_000)):
+        monkeypatch.setattr(near_dedup, name, value)
     rnd = random.Random(9)
     texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     base = [f"w{rnd.randrange(300)}" for _ in range(120)]
@@ -336,6 +341,31 @@ def test_near_duplicates_against_brute_force(spark, docs, odd, monkeypatch):
     assert near_dedup.near_duplicates(odd).count() == 9 and near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_links_are_of_words_not_of_hashes(spark, monkeypatch):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]  # a hash that is a polynomial modulo 2^64 takes these two for one
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    df = spark.createDataFrame([(1, a), (2, b), (3, "another word")], "doc_id long, text string")
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()} == {(1, 1, 1, True), (2, 1, 2, True), (3, 1, 3, True)}
+
+    import numpy as np
+
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randrange(40))) for _ in range(50)]
+    want = [brute_components([(0, t)])[0][0] for t in texts]
+    monkeypatch.setattr(near_dedup, "hash_words", lambda words: np.zeros(len(words), np.uint64))  # all words of one hash
+    sets = near_dedup.shingle_sets([near_dedup.normal_words(t) for t in texts])
+    assert sets.sizes(len(texts)).tolist() == want
+
+
+def test_repeated_ids_with_different_texts(spark):
+    rnd = random.Random(12)
+    a, b, c = (" ".join(f"{k}{rnd.randrange(400)}" for _ in range(60)) for k in "xyz")
+    rows = [(1, a), (1, b), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (5, c), (5, c), (6, c + " more"), (7, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 4), (7, 7)]
+
+
 def test_odd_sketch_estimates_high_similarity():
     rnd = random.Random(3)
     off = []
@@ -368,14 +398,43 @@ def test_language_id(spark, docs, odd):
 
 
 def test_kneser_ney_sums_to_one(spark):
+    import numpy as np
+
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["banana band", "bandana ban", "an and nan"] * 3)], "doc_id long, text string, lang string")
     models = language_id.fit_models(df)
-    letters = sorted({c for t in ("bananabandandn",) for c in t})
+    letters = sorted(set("bandn"))
+    # over the letters seen, the word's end and one symbol for all unseen ones, of which the floor takes one share
+    for start in ("ba", "n", "band", "dd", ""):
+        p = [2 ** -_next_bits(models, start, c) for c in [*letters, "\x03", "\u00ff"]]
+        assert abs(sum(p) - 1) < 1e-5, (start, sum(p))
+    assert np.isfinite(models.bits(["zzz"])[0]).all()
+
+
+def _next_bits(models, start, symbol):
+    """Bits of one symbol after the letters of a word's start, from the tables of the models."""
     import numpy as np
 
-    # P(next | "ba") over all symbols seen, word end included, plus the floor of unseen ones
-    bits = {c: models.bits(["ba" + c])[0][0, 0] - models.bits(["ba"])[0][0, 0] for c in letters}
-    assert all(np.isfinite(v) for v in bits.values()) and bits["n"] < bits["b"]
+    gram = 0
+    for c in ("\x02" * 3 + start + symbol)[-4:]:
+        gram = gram << 16 | ord(c)
+    p = models.floor[0]
+    for n in range(1, 5):
+        key = np.array([gram & ((1 << 16 * n) - 1)], np.uint64)
+        on, back = models._find(n, language_id.CONTEXT, (key >> np.uint64(16)).view(np.int64))
+        p = p * (back[0, 0] if on[0] else 1)
+        on, found = models._find(n, language_id.GRAM, key.view(np.int64))
+        p = p + (found[0, 0] if on[0] else 0)
+    return -np.log2(p)
+
+
+def test_language_left_out_is_rejected_and_others_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    langs = sorted(r.lang for r in docs.select("lang").distinct().collect() if r.lang)
+    for out in langs[:2]:
+        models = language_id.fit_models(language_id.training_rows(docs.filter(F.col("lang") != out)))
+        rows = language_id.identify(docs, models).join(docs.select("doc_id", "lang"), "doc_id").filter("lang_pred <> 'und'").collect()
+        foreign, own = [r.rejected for r in rows if r.lang == out], [r.rejected for r in rows if r.lang != out]
+        assert sum(foreign) / len(foreign) > 0.9 and sum(own) / len(own) < 0.02
 
 
 def test_language_models_use_all_grams(spark):
