@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import share_file, staged, table
+from quillspark.llm.common import share_file, small_batches, staged, table
 
 #: How byte-level BPE cuts text (fixed by the public tokenizer's own pattern).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -46,7 +46,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 LONGEST = 40
 _NONE = np.int32(2**31 - 1)
 #: Characters of the texts that are encoded together; their different chunks are looked up and merged in one go.
-_TOGETHER = 2_000_000
+_TOGETHER = 1_000_000
 
 
 def default_vocabulary() -> str:
@@ -66,7 +66,9 @@ def byte_letters() -> list[str]:
 def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of all stretches, one after the other."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.repeat(starts - (ends - sizes), sizes)
+    out += np.arange(len(out))
+    return out
 
 
 @dataclass
@@ -372,7 +374,7 @@ def frequent_chunks(documents: DataFrame, most: int) -> list[str]:
         yield pd.DataFrame({"word": list(found), "n": [*found.values()]}, columns=["word", "n"]).astype({"word": object, "n": "int64"})
 
     top = (
-        documents.select("text").mapInPandas(summary, "word string, n long")
+        small_batches(documents.select("text")).mapInPandas(summary, "word string, n long")
         .filter((F.length("word") > 0) & (F.length("word") <= 40) & ~F.col("word").rlike(r"^\s|\s$"))
         .groupBy("word").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "word").limit(most)
@@ -496,7 +498,7 @@ def encode_documents(documents: DataFrame, vocabulary: str | None = None, lexico
             yield pd.DataFrame({"ids": ids, "decoded": decoded})
 
     kept = [c for c in documents.columns if c not in ("ids", "decoded")]
-    return documents.select(*kept, encode("text").alias("__e")).select(*kept, "__e.ids", "__e.decoded")
+    return small_batches(documents).select(*kept, encode("text").alias("__e")).select(*kept, "__e.ids", "__e.decoded")
 
 
 def encode_digests(documents: DataFrame, vocabulary: str | None = None, lexicon_words: int = 20_000, block: bytes | None = None) -> DataFrame:
@@ -515,7 +517,7 @@ def encode_digests(documents: DataFrame, vocabulary: str | None = None, lexicon_
                 of_text += [sha(x.tobytes().decode("utf-8", "replace").encode()).hexdigest() for x in encoder.table.spell(some).each()]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_tokens": np.array(sizes, np.int64), "ids_sha256": of_ids, "decoded_sha256": of_text})
 
-    return documents.select("doc_id", "text").mapInPandas(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(documents.select("doc_id", "text")).mapInPandas(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

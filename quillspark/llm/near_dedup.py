@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialized, table
+from quillspark.llm.common import materialized, small_batches, table
 
 WORDS = 5
 SAMPLES, BANDS = 128, 32
@@ -54,7 +54,7 @@ SLACK = 0.20
 #: Most partners of an id in a part, sketches in a block, and bytes of text in a block, compared in memory.
 PART, BLOCK, BLOCK_BYTES = 500, 4_096, 2_000_000
 #: Characters of texts whose shingles are numbered together.
-_TOGETHER = 2_000_000
+_TOGETHER = 1_000_000
 #: Bits of the filter that keeps texts of no candidate out of the shuffles.
 FILTER_BITS = 1 << 23
 
@@ -189,7 +189,7 @@ def sign(documents: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, normal = pdf["doc_id"].to_numpy(), [normal_words(t) for t in pdf["text"]]
+            ids, normal = pdf["doc_id"].to_numpy(), list(map(normal_words, pdf["text"]))
             for at, texts in _in_turn(normal):
                 sets = shingle_sets(texts)
                 sizes, hashes = sets.sizes(len(texts)), sets.hash
@@ -199,7 +199,7 @@ def sign(documents: DataFrame) -> DataFrame:
                     "doc_id": ids[at:at + len(texts)], "digest": [hashlib.blake2b(t, digest_size=16).digest() for t in texts], "n_shingles": sizes,
                     "n_bytes": np.fromiter(map(len, texts), np.int64, len(texts)), "keys": list(band_keys(samples)), "sketch": list(odd_sketches(samples))})
 
-    return documents.select("doc_id", "text").mapInPandas(
+    return small_batches(documents.select("doc_id", "text")).mapInPandas(
         scan, "doc_id long, digest binary, n_shingles long, n_bytes long, keys array<long>, sketch array<long>")
 
 
@@ -237,7 +237,7 @@ def meet(dealt: DataFrame, own: DataFrame, linked: Callable[[pd.DataFrame], np.n
         hit = rows[linked(rows)] if len(rows) else rows
         return pd.DataFrame({"a": hit["id"], "b": hit["b"], "parts": hit["parts"]})
 
-    rows = dealt.join(own, "id")
+    rows = small_batches(dealt.join(own, "id"))
     return rows.repartition("b", "parts", "salt").sortWithinPartitions("b", "parts", "salt", "is_a").mapInPandas(check, "a long, b long, parts int")
 
 

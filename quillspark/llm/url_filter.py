@@ -3,14 +3,15 @@
 Everything is DataFrame functions. `validity_intervals` turns add/remove events into half-open
 intervals; `filter_captures` looks up the host of a capture and its parent domains, keeps the
 intervals that hold at fetch time, and lets the most specific one decide (allow wins a tie).
-The lookup is an equi-join on the domain with at most one row a domain on the list side, so a
-host with a third of all captures makes no extra rows, and AQE can split its partition.
+Each different host is judged once a day on which it was fetched, so a host with a third of all captures
+makes as few rows as any; the verdicts, a written table, are joined back on host and day, and Spark
+broadcasts it while it is small and splits a skewed host otherwise.
 
 Defined results: a null, empty or hostless URL has no host and is never blocked; host case and
-ports are ignored; a null fetch time matches no interval; repeated events count once; an add while
-active and a remove while inactive change nothing; events of one day apply add first, then
-remove; pages with equal page_id are separate captures; empty tables give no rows, an empty
-list blocks nothing; other columns are ignored.
+ports are ignored, an IPv6 address in brackets is a host of its own; a null fetch time matches no interval; repeated
+events count once; an add while active and a remove while inactive change nothing; events of one day apply add first, then
+remove; equally specific entries tie, and allow wins; a URL of any length is read whole; pages with equal page_id are separate
+captures; empty tables give no rows, an empty list blocks nothing; other columns are kept, but for those of the result's own names.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import literal_rows, table
+from quillspark.llm.common import literal_rows, materialized, table
 
 
 def url_host(url: Column) -> Column:
     """Lower-case host of a URL, without user, port and trailing dot; null if there is none."""
-    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]*\]|[^/?#:@\[\]]+)", 1)
     return F.nullif(F.regexp_replace(host, r"\.$", ""), F.lit(""))
 
 
@@ -51,34 +52,36 @@ def validity_intervals(events: DataFrame) -> DataFrame:
     )
 
 
-def filter_captures(captures: DataFrame, intervals: DataFrame) -> DataFrame:
-    """capture columns plus host, n_active, lists, blocked. Needs columns url and fetched_on (date)."""
-    mine = [c for c in captures.columns if c not in ("host", "n_active", "lists", "blocked")]
-    keyed = captures.select(*mine).withColumn("host", url_host(F.col("url"))).withColumn(
-        "__row", F.monotonically_increasing_id())
+def judge_hosts(visits: DataFrame, intervals: DataFrame) -> DataFrame:
+    """host, fetched_on, n_active, lists, blocked of those (host, fetched_on) that an entry was active for."""
     by_domain = intervals.groupBy("domain").agg(F.collect_set(
-        F.struct("list", "action", "valid_from", "valid_to")).alias("__spans"))
+        F.struct("list", "action", "valid_from", "valid_to")).alias("spans"))
     looked_up = (
-        keyed.filter(F.col("host").isNotNull()).select("__row", "fetched_on", F.posexplode(domains_of(F.col("host"))).alias("__depth", "domain"))
+        visits.filter(F.col("host").isNotNull() & F.col("fetched_on").isNotNull()).select("host", "fetched_on").distinct()
+        .select("host", "fetched_on", F.posexplode(domains_of(F.col("host"))).alias("depth", "domain"))
         .join(by_domain, "domain")
-        .select("__row", "__depth", F.filter("__spans", lambda s: (s["valid_from"] <= F.col("fetched_on")) & (
+        .select("host", "fetched_on", "depth", F.filter("spans", lambda s: (s["valid_from"] <= F.col("fetched_on")) & (
             s["valid_to"].isNull() | (F.col("fetched_on") < s["valid_to"]))).alias("on"))
         .filter(F.size("on") > 0)
     )
-    verdicts = looked_up.groupBy("__row").agg(
-        F.sum(F.size("on")).alias("n_active"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(
-            F.transform("on", lambda s: s["list"]))))), ",").alias("lists"),
-        F.min(F.struct("__depth", F.exists("on", lambda s: s["action"] == "allow").cast("int").__neg__().alias("no"))).alias("first"),
-    )
-    return keyed.join(verdicts, "__row", "left").select(
-        *mine, "host",
-        F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
-        F.coalesce("lists", F.lit("")).alias("lists"),
-        F.coalesce(F.col("first.no") == 0, F.lit(False)).alias("blocked"),
-    )
+    return looked_up.groupBy("host", "fetched_on").agg(
+        F.sum(F.size("on")).cast("long").alias("n_active"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("on", lambda s: s["list"]))))), ",").alias("lists"),
+        (~F.min_by(F.exists("on", lambda s: s["action"] == "allow"), "depth")).alias("blocked"))
+
 
+def filter_captures(captures: DataFrame, intervals: DataFrame) -> DataFrame:
+    """capture columns plus host, n_active, lists, blocked. Needs columns url and fetched_on (date)."""
+    mine = [c for c in captures.columns if c not in ("host", "n_active", "lists", "blocked")]
+    keyed = captures.select(*mine, url_host(F.col("url")).alias("host"))
+    verdicts = materialized(judge_hosts(keyed, intervals), "url-verdicts")
+    return keyed.join(verdicts, ["host", "fetched_on"], "left").select(
+        *mine, "host", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
+        F.coalesce("lists", F.lit("")).alias("lists"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
 
+
+#: Domains of the registered query's long list.
+HISTORY = 100_000
 #: The dated list of the registered query: list, action, domain, event, day.
 LIST_EVENTS = (
     ("gambling", "block", "casino-win.example.net", "add", "2024-02-01"),
@@ -101,16 +104,26 @@ LIST_EVENTS = (
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages carry no fetch time; the query gives page n the day n * 37 mod 366 of 2024."""
+    """Pages carry no fetch time; the query gives page n the day n * 37 mod 366 of 2024. The list is a short one and one of HISTORY domains."""
     day = F.expr("date_add(DATE'2024-01-01', CAST(pmod(page_id * 37, 366) AS INT))")
     captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_on"))
-    events = literal_rows(spark, LIST_EVENTS, "list action domain event dated")
-    return filter_captures(captures, validity_intervals(events)).drop("url")
+    events = literal_rows(spark, LIST_EVENTS, "list action domain event dated").withColumn("dated", F.col("dated").cast("date"))
+    return filter_captures(captures, validity_intervals(events.unionByName(history(spark)))).drop("url")
+
+
+def history(spark: SparkSession) -> DataFrame:
+    """A long list: HISTORY domains, each put on and taken off once or twice."""
+    n = spark.range(HISTORY).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0), F.pmod("id", F.lit(2)) * 2 + 1)).alias("i"))
+    day = F.expr("date_add(DATE'2024-01-01', CAST(n % 100 + i * 60 AS INT))")
+    return n.select(F.lit("long").alias("list"), F.lit("block").alias("action"), F.concat(F.lit("site"), F.col("n").cast("string"), F.lit(".example.org")).alias("domain"),
+                    F.when(F.col("i") % 2 == 0, "add").otherwise("remove").alias("event"), day.alias("dated"))
 
 
 OP7_SQL = r"""
 WITH events(list, action, domain, event, dated) AS (VALUES
-  """ + ",\n  ".join("('%s','%s','%s','%s',DATE '%s')" % row for row in LIST_EVENTS) + r"""
+  """ + ",\n  ".join("('%s','%s','%s','%s',DATE '%s')" % row for row in LIST_EVENTS) + rf"""
+  UNION ALL SELECT 'long', 'block', 'site' || n || '.example.org', CASE WHEN i % 2 = 0 THEN 'add' ELSE 'remove' END, CAST(DATE '2024-01-01' + CAST(n % 100 + i * 60 AS INTEGER) AS DATE)
+    FROM (SELECT n, unnest(range(0, n % 2 * 2 + 2)) AS i FROM range({HISTORY}) t(n))
 ), numbered AS (
   SELECT *, coalesce(lag(event) OVER w, 'remove') AS before
   FROM (SELECT DISTINCT * FROM events) WINDOW w AS (PARTITION BY list, action, domain ORDER BY dated, event)
@@ -120,12 +133,14 @@ WITH events(list, action, domain, event, dated) AS (VALUES
 ), spans AS (SELECT * FROM changes WHERE event = 'add' AND (valid_to IS NULL OR valid_to > dated)),
 captures AS (
   SELECT row_number() OVER () AS rid, page_id, CAST(DATE '2024-01-01' + CAST(((page_id * 37 % 366) + 366) % 366 AS INTEGER) AS DATE) AS fetched_on,
-    nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', ''), '') AS host
+    nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]*\]|[^/?#:@\[\]]+)', 1), '\.$', ''), '') AS host
   FROM pages
+), parents AS (
+  SELECT rid, fetched_on, array_to_string(labels[i:], '.') AS domain
+  FROM (SELECT rid, fetched_on, labels, unnest(range(1, greatest(len(labels), 2))) AS i FROM (SELECT rid, fetched_on, string_split(host, '.') AS labels FROM captures WHERE host IS NOT NULL))
 ), hits AS (
   SELECT c.rid, s.list, s.action, len(s.domain) AS size
-  FROM captures c JOIN spans s ON (c.host = s.domain OR ends_with(c.host, '.' || s.domain))
-    AND s.dated <= c.fetched_on AND (s.valid_to IS NULL OR c.fetched_on < s.valid_to)
+  FROM parents c JOIN spans s ON c.domain = s.domain AND s.dated <= c.fetched_on AND (s.valid_to IS NULL OR c.fetched_on < s.valid_to)
 ), best AS (SELECT rid, max(size) AS size FROM hits GROUP BY rid),
 verdicts AS (
   SELECT h.rid, count(*) AS n_active, string_agg(DISTINCT h.list, ',' ORDER BY h.list) AS lists,
