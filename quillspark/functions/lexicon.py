@@ -63,6 +63,7 @@ HEADINGS = {
     "contact": ("contact", "contact information", "personal details", "personal information"),
 }
 SECTION_KINDS = ("contact", *[k for k in HEADINGS if k != "contact"], "other")
+# Sections that every document should have.
 CORE_SECTIONS = ("education", "experience", "skills")
 
 # Which context a section's text is for skills, and how much the context counts.
@@ -114,9 +115,39 @@ ORG_HINTS = (
     "systems", "labs", "group", "gmbh", "plc", "pvt", "consulting", "partners", "holdings", "bank", "university",
     "hospital", "agency",
 )
-MONTHS = {m: i for i, names in enumerate((
-    ("jan", "january"), ("feb", "february"), ("mar", "march"), ("apr", "april"), ("may",), ("jun", "june"), ("jul", "july"),
-    ("aug", "august"), ("sep", "sept", "september"), ("oct", "october"), ("nov", "november"), ("dec", "december")), 1) for m in names}
+# Names of months.
+MONTHS = {
+    "jan": 1, "january": 1, "feb": 2, "february": 2, "mar": 3, "march": 3, "apr": 4, "april": 4, "may": 5, "jun": 6, "june": 6,
+    "jul": 7, "july": 7, "aug": 8, "august": 8, "sep": 9, "sept": 9, "september": 9, "oct": 10, "october": 10, "nov": 11,
+    "november": 11, "dec": 12, "december": 12,
+}
+
+# Patterns of dates.
+MONTH = "|".join(sorted(MONTHS, key=len, reverse=True))
+DATE_POINT = rf"(?:(?:{MONTH})\.?\s*,?\s*\d{{4}}|\d{{1,2}}[/.\-]\d{{4}}|\d{{4}})"
+PRESENT = r"present|current|now|to date|ongoing|till date"
+DATE_RANGE = rf"(?i)\b({DATE_POINT})(?:\s*(?:-|–|—|to|until|through)\s*)({DATE_POINT}|{PRESENT})\b"
+
+# Patterns of a document's head.
+CONTACT_LABEL = r"(?i)^\s*(phone|tel|telephone|mobile|cell|e-?mail|mail|address|location|linkedin|github|portfolio|website|web)\s*[:\-|]\s*"
+CONTACT_PHONE = r"((?<![\d\-])(?:\+?\d{1,3}[\s.\-]?)?(?:\(\d{2,4}\)[\s.\-]?)?\d{3,5}[\s.\-]?\d{3,4}(?:[\s.\-]?\d{2,4})?(?![\d\-]))"
+PLACE = r"\b([A-Z][\w'’\-]+(?:[ ][A-Z][\w'’\-]+){0,2}),\s*([A-Z]{2}|[A-Z][a-z]+(?:[ ][A-Z][a-z]+)?)\b(?:\s+\d{5}(?:-\d{4})?)?"
+URL = r"((?:https?://)?(?:www\.)?[A-Za-z0-9\-]+\.[A-Za-z]{2,}(?:/[^\s,;)]*)?)"
+PERSON_NAME = r"^[A-Z][A-Za-z'’.\-]+(?:\s+[A-Z][A-Za-z'’.\-]+){1,3}$"
+
+# Patterns of entries of experience and education.
+HEADER_SEPARATOR = r"(?i)\s*(?:\||•|·|—|–|\s-\s|,\s|\bat\b|\bfor\b)\s*"
+EDGE = r"^[ ,|\-–—•·]+|[ ,|\-–—•·]+$"
+DEGREE = (r"(?i)\b(ph\.?\s?d|doctorate|d\.?phil|m\.?b\.?a|m\.?sc?|master(?:'s)?(?:\s+of\s+\w+)?|b\.?sc?|b\.?a|b\.?e|b\.?tech|m\.?tech|"
+          r"bachelor(?:'s)?(?:\s+of\s+\w+)?|associate(?:'s)?|a\.?a\.?s|diploma|high school|secondary school)\b")
+INSTITUTION = r"(?i)\b([\w.'&\- ]*?(?:university|college|institute|institution|academy|school|polytechnic)[\w.'&\- ]*)\b"
+FIELD_OF_STUDY = r"(?i)\b(?:in|of)\s+([A-Z][\w&\-]*(?:\s+(?:and\s+)?[A-Z&][\w&\-]*){0,4})"
+GRADE = r"(?i)\b(?:gpa|cgpa|grade point average)\b[^0-9]{0,12}(\d\.\d{1,2})(?:\s*/\s*(\d\.?\d?))?"
+
+# Patterns of postings.
+YEARS_ASKED = r"(?i)(\d{1,2})\s*(?:\+|plus)?\s*(?:-|–|to)?\s*(\d{1,2})?\s*\+?\s*years?\b[^.]{0,40}?\b(?:experience|exp\b|working)"
+DEGREE_ASKED = r"(?i)\b(bachelor(?:'s)?|b\.?s\.?|b\.?a\.?|master(?:'s)?|m\.?s\.?|m\.?b\.?a\.?|ph\.?d|doctorate|associate(?:'s)?)\b"
+ACRONYM = r"(\b[A-Z]{2,6}(?:\d{1,2})?\b)"
 
 # Texts that try to steer a model, by kind.
 INJECTION_PATTERNS = (

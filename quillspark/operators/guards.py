@@ -31,6 +31,11 @@ def injection_kinds(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.array(*hit), lambda k: k.isNotNull())))
 
 
+def kinds_of(document: Column, posting: Column) -> Column:
+    """Sorted kinds found in either text."""
+    return F.array_sort(F.array_union(injection_kinds(document), injection_kinds(F.coalesce(posting, F.lit("")))))
+
+
 def new_nonce() -> str:
     return secrets.token_hex(8)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -19,6 +19,11 @@ def asked_and_owned(pairs: DataFrame, asked: DataFrame, owned: DataFrame, a: str
     return rows.withColumn("credit", credit)
 
 
+def sharing_a_skill(owned: DataFrame, asked: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b: pairs of a document and a posting that asks for one of its skills or more."""
+    return owned.select(a, F.col("name").alias("skill")).join(asked.select(b, "skill"), "skill").select(a, b).distinct()
+
+
 def coverage(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, counts, required_share (weighted), required_coverage (unweighted, 3 digits), matched skills."""
     need, hit = F.col("required"), F.col("credit") > 0
@@ -27,6 +32,7 @@ def coverage(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.try_divide(F.sum(F.when(need, F.col("weight") * F.col("credit"))), F.sum(F.when(need, F.col("weight")))), F.lit(0.0)).alias("required_share"),
         F.coalesce(F.round(F.try_divide(F.count_if(need & hit).cast("double"), F.count_if(need).cast("double")), 3), F.lit(1.0)).alias("required_coverage"),
         F.array_sort(F.collect_set(F.when(need & hit, F.col("skill")))).alias("matched_required"),
+        F.array_sort(F.collect_set(F.when(need & ~hit, F.col("skill")))).alias("missing_required"),
         F.array_sort(F.collect_set(F.when(~need & hit, F.col("skill")))).alias("matched_preferred"))
 
 
@@ -42,6 +48,12 @@ def gaps(rows: DataFrame, edges: DataFrame, owned: DataFrame, a: str, b: str) ->
     return out.withColumn("priority", F.when(~F.col("required"), "low").when(F.size("adjacent_owned") > 0, "medium").otherwise("high"))
 
 
+def ordered_gaps(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds rank: high before medium before low, then by name."""
+    worst = F.element_at(F.create_map(*[x for i, p in enumerate(("high", "medium", "low")) for x in (F.lit(p), F.lit(i))]), F.col("priority"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(worst, "skill")))
+
+
 def surplus(pairs: DataFrame, asked: DataFrame, owned: DataFrame, a: str, b: str, most: int = 20) -> DataFrame:
     """a, b, surplus_skills: owned, not asked."""
     rows = pairs.select(a, b).join(owned.select(a, F.col("name").alias("skill")), a).join(asked.select(b, "skill"), [b, "skill"], "left_anti")

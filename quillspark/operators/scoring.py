@@ -29,9 +29,9 @@ def dimension_scores(signals: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def overall_scores(dimensions: DataFrame, keys: list[str], with_job: bool = False) -> DataFrame:
-    """keys, overall, band: weighted mean of the rounded dimension scores."""
-    w = weight_of(F.col("dimension"), with_job)
-    total = F.round(F.coalesce(F.try_divide(F.sum(F.col("score") * w), F.sum(w)), F.lit(0.0)), 1)
+    """keys, overall, band: weighted mean of the rounded dimension scores, in decimals, so that no order of adding moves a tie."""
+    w = weight_of(F.col("dimension"), with_job).cast("decimal(4,2)")
+    total = F.round(F.coalesce(F.try_divide(F.sum(F.col("score").cast("decimal(6,1)") * w), F.sum(w)), F.lit(0)), 1).cast("double")
     return dimensions.groupBy(*keys).agg(total.alias("overall")).withColumn("band", band(F.col("overall")))
 
 

@@ -61,8 +61,12 @@ def section_body(kind: str) -> Column:
 
 
 def section_table(sectioned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, kind, heading, body, start_line, end_line, word_count: one row a section."""
-    return sectioned.select(key, F.explode("sections").alias("kind", "s")).select(key, "kind", "s.*")
+    """key, kind, heading, body, start_line, end_line, word_count: one row a section.
+
+    explode_outer here and elsewhere over parsed columns: for explode Spark infers a filter on the
+    array, and copies the parsing into it when it pushes that filter down.
+    """
+    return sectioned.select(key, F.explode_outer("sections").alias("kind", "s")).filter("kind is not null").select(key, "kind", "s.*")
 
 
 def job_heading(line: Column) -> Column:

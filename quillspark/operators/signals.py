@@ -67,16 +67,47 @@ def band(score: Column) -> Column:
     return F.when(score >= 85, "excellent").when(score >= 70, "strong").when(score >= 55, "fair").when(score >= 40, "weak").otherwise("poor")
 
 
-def signal(signal_id: str, score: Column, forced: Column | None = None, evidence: Column | None = None) -> Column:
-    """The struct of one signal; `forced` is a severity that overrides the one of the score where it isn't null."""
-    kind, s = KINDS[signal_id], T.score4(score)
-    level = severity(s) if forced is None else F.coalesce(forced, severity(s))
-    return F.struct(
-        F.lit(signal_id).alias("signal_id"), F.lit(kind.dimension).alias("dimension"), F.lit(kind.label).alias("label"),
-        s.alias("score"), F.lit(kind.weight).alias("weight"), level.alias("severity"),
-        (evidence if evidence is not None else F.array().cast("array<string>")).alias("evidence"),
-        F.when(s < 0.95, F.lit(kind.advice)).otherwise(F.lit("")).alias("recommendation"),
-        ((1 - s) * kind.weight).alias("points_lost"))
+@dataclass(frozen=True)
+class Signal:
+    """How one signal is computed from a row; `forced` is a severity that overrides the one of the score where it isn't null."""
+
+    signal_id: str
+    score: Column
+    forced: Column | None = None
+    evidence: Column | None = None
+
+
+def signal_table(rows: DataFrame, keys: list[str], kinds: list[Signal]) -> DataFrame:
+    """keys, signal_id, dimension, label, score, weight, severity, evidence, recommendation, points_lost: one row a signal.
+
+    Scores are columns of a projection of their own, since a struct's fields use each several times.
+    """
+    none = F.array().cast("array<string>")
+    scored = rows.select(*keys, *[x for i, k in enumerate(kinds) for x in (
+        T.score4(k.score).alias(f"__s{i}"), (k.forced if k.forced is not None else F.lit(None).cast("string")).alias(f"__f{i}"),
+        (k.evidence if k.evidence is not None else none).alias(f"__e{i}"))])
+
+    def made(i: int, k: Signal) -> Column:
+        kind, score = KINDS[k.signal_id], F.col(f"__s{i}")
+        return F.struct(
+            F.lit(k.signal_id).alias("signal_id"), F.lit(kind.dimension).alias("dimension"), F.lit(kind.label).alias("label"), score.alias("score"), F.lit(kind.weight).alias("weight"),
+            F.coalesce(F.col(f"__f{i}"), severity(score)).alias("severity"), F.col(f"__e{i}").alias("evidence"),
+            F.when(score < 0.95, F.lit(kind.advice)).otherwise(F.lit("")).alias("recommendation"), ((1 - score) * kind.weight).alias("points_lost"))
+
+    return scored.select(*keys, F.explode_outer(F.array(*[made(i, k) for i, k in enumerate(kinds)])).alias("s")).select(*keys, "s.*")
+
+
+def with_measures(documents: DataFrame) -> DataFrame:
+    """Adds what several signals read: __words of the text, and of the bullets of three words or more their texts, sizes and opening verbs."""
+    out = documents.withColumn("__words", T.word_count(F.col("text")))
+    return with_line_measures(out, F.col("bullets"))
+
+
+def with_line_measures(rows: DataFrame, lines: Column) -> DataFrame:
+    """Adds __lines (text, size), those of three words or more, and __verbs, their opening words."""
+    sized = rows.withColumn("__lines", F.transform(lines, lambda x: F.struct(x.alias("text"), T.word_count(x).alias("size"))))
+    kept = sized.withColumn("__lines", F.filter("__lines", lambda x: x["size"] >= 3))
+    return kept.withColumn("__verbs", F.transform("__lines", lambda x: T.lead_verb(x["text"])))
 
 
 def length_score(words: Column) -> Column:
@@ -93,26 +124,35 @@ def _count(array: Column) -> Column:
     return F.size(array).cast("double")
 
 
-def long_enough(bullets: Column) -> Column:
-    return F.filter(bullets, lambda b: T.word_count(b) >= 3)
-
-
 def share(array: Column, test) -> Column:
     return F.try_divide(_count(F.filter(array, test)), _count(array))
 
 
-def bullet_length_score(bullets: Column) -> Column:
-    return F.when(F.size(bullets) < 3, 0.5).otherwise(share(bullets, lambda b: T.word_count(b).between(10, 28)))
+def bullet_length_score(lines: Column) -> Column:
+    """Over __lines."""
+    return F.when(F.size(lines) < 3, 0.5).otherwise(share(lines, lambda x: x["size"].between(10, 28)))
+
+
+def verb_variety_score(verbs: Column) -> Column:
+    """Over __verbs."""
+    found = F.filter(verbs, lambda v: v != "")
+    ratio = F.try_divide(_count(F.array_distinct(found)), _count(found))
+    return F.when((F.size(verbs) < 5) | (F.size(found) == 0), 0.5).otherwise(F.least(F.lit(1.0), ratio / 0.75))
 
 
-def verb_variety_score(bullets: Column) -> Column:
-    verbs = F.filter(F.transform(bullets, T.lead_verb), lambda v: v != "")
-    ratio = F.try_divide(_count(F.array_distinct(verbs)), _count(verbs))
-    return F.when((F.size(bullets) < 5) | (F.size(verbs) == 0), 0.5).otherwise(F.least(F.lit(1.0), ratio / 0.75))
+def _some(array: Column, to_text=None, most: int = 4) -> Column:
+    """The first elements as evidence."""
+    return F.transform(F.slice(array, 1, most), to_text) if to_text else F.slice(array, 1, most)
 
 
-def ats_signals() -> list[Column]:
-    """Over a parsed document's columns: text, source_format, page_count, contact, sections, experience, bullets and layout flags."""
+def _said(test: Column, text: Column | str) -> Column:
+    """One line of evidence where the test holds."""
+    text = F.lit(text) if isinstance(text, str) else text
+    return F.when(test, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+
+def ats_signals() -> list[Signal]:
+    """Over the measures of a parsed document's columns: text, source_format, page_count, contact, sections, experience, bullets and layout flags."""
     pdf, has = F.col("source_format") == "pdf", lambda c: F.coalesce(F.col(c), F.lit(False))
     dead = F.size(F.filter("pages", lambda p: ~p["has_extractable_text"]))
     density = F.try_divide(F.length("text").cast("double"), F.greatest(F.col("page_count"), F.lit(1)).cast("double"))
@@ -125,19 +165,25 @@ def ats_signals() -> list[Column]:
     known, unknown = _count(F.map_keys("sections")), _count(F.col("unknown_headings"))
     headings = F.when(unknown == 0, 1.0).otherwise(F.greatest(F.lit(0.3), known / (known + unknown)))
     dated = F.when(F.size("experience") == 0, 0.4).otherwise(share(F.col("experience"), lambda e: e["dates"]["start_year"].isNotNull()))
-    bullets = F.when(F.size("bullets") > 0, 1.0).when(T.word_count(F.col("text")) < 250, 0.5).otherwise(0.3)
+    bullets = F.when(F.size("bullets") > 0, 1.0).when(F.col("__words") < 250, 0.5).otherwise(0.3)
+    lacking = F.filter(F.array(*[F.when(F.col(f"contact.{c}").isNull(), F.lit(f"No {c} found")) for c in ("name", "email", "phone", "location")]), lambda x: x.isNotNull())
+    undated = F.filter("experience", lambda e: e["dates"]["start_year"].isNull())
     return [
-        signal("ats.text_layer", layer), signal("ats.file_format", fmt), signal("ats.layout", F.when(has("has_multi_column_hint"), 0.25).otherwise(1.0)),
-        signal("ats.tables", tables), signal("ats.header_footer", F.when(has("has_text_in_headers_footers"), 0.3).otherwise(1.0)),
-        signal("ats.contact", contact, F.when(~reachable, F.lit("critical"))),
-        signal("ats.headings", headings, evidence=F.transform(F.slice("unknown_headings", 1, 5), lambda h: F.concat(F.lit("Unrecognised heading: "), h))),
-        signal("ats.dates", dated), signal("ats.encoding", encoding_score(F.col("text"))), signal("ats.bullets", bullets),
+        Signal("ats.text_layer", layer, evidence=_said(pdf & (dead > 0), F.concat(dead.cast("string"), F.lit(" page(s) without text")))),
+        Signal("ats.file_format", fmt, evidence=_said(fmt < 1, F.concat(F.lit("Format: "), F.col("source_format")))),
+        Signal("ats.layout", F.when(has("has_multi_column_hint"), 0.25).otherwise(1.0), evidence=_said(has("has_multi_column_hint"), "Many short lines on a page")),
+        Signal("ats.tables", tables, evidence=_said(has("has_tables"), F.concat(F.col("table_count").cast("string"), F.lit(" table(s)")))),
+        Signal("ats.header_footer", F.when(has("has_text_in_headers_footers"), 0.3).otherwise(1.0), evidence=_said(has("has_text_in_headers_footers"), "Text in header or footer")),
+        Signal("ats.contact", contact, F.when(~reachable, F.lit("critical")), lacking),
+        Signal("ats.headings", headings, evidence=F.transform(F.slice("unknown_headings", 1, 5), lambda h: F.concat(F.lit("Unrecognised heading: "), h))),
+        Signal("ats.dates", dated, evidence=_some(undated, lambda e: F.concat(F.lit("No dates: "), F.coalesce(e["title"], e["organization"], F.substring(e["raw"], 1, 60))))),
+        Signal("ats.encoding", encoding_score(F.col("text"))), Signal("ats.bullets", bullets, evidence=_said(F.size("bullets") == 0, "No bullet lines")),
     ]
 
 
-def structure_signals() -> list[Column]:
+def structure_signals() -> list[Signal]:
     missing = F.array_except(T.strings(L.CORE_SECTIONS), F.map_keys("sections"))
-    words = F.greatest(T.word_count(F.col("text")), T.word_count(F.col("clean")))
+    words = F.greatest(F.col("__words"), T.word_count(F.col("clean")))
     start = lambda k: F.element_at("sections", F.lit(k))["start_line"]
     order = F.when((F.col("tenure_months") >= 24) & (start("education") < start("experience")), 0.5).otherwise(1.0)
     none = F.size("experience") == 0
@@ -147,22 +193,24 @@ def structure_signals() -> list[Column]:
     summary_score = F.when(F.element_at("sections", F.lit("summary")).isNull(), 0.5).when(summary > 120, 0.6).when(summary < 15, 0.7).otherwise(1.0)
     links = F.coalesce(F.col("contact.linkedin"), F.col("contact.github"), F.col("contact.website"))
     return [
-        signal("structure.core_sections", (3 - _count(missing)) / 3, evidence=F.transform(F.array_sort(missing), lambda k: F.concat(F.lit("Missing section: "), k))),
-        signal("structure.length", length_score(words)), signal("structure.order", order),
-        signal("structure.experience_detail", detail, F.when(none, F.lit("critical"))), signal("structure.education", education),
-        signal("structure.summary", summary_score), signal("structure.links", F.when(links.isNotNull(), 1.0).otherwise(0.4)),
+        Signal("structure.core_sections", (3 - _count(missing)) / 3, evidence=F.transform(F.array_sort(missing), lambda k: F.concat(F.lit("Missing section: "), k))),
+        Signal("structure.length", length_score(words), evidence=_said(~words.between(400, 1000), F.concat(words.cast("string"), F.lit(" words")))),
+        Signal("structure.order", order, evidence=_said(order < 1, "Education stands before experience")),
+        Signal("structure.experience_detail", detail, F.when(none, F.lit("critical")), _some(
+            F.filter("experience", lambda e: F.size(e["bullets"]) < 2), lambda e: F.concat(F.coalesce(e["title"], e["organization"], F.lit("A role")), F.lit(": fewer than two bullets")))),
+        Signal("structure.education", education), Signal("structure.summary", summary_score, evidence=_said(summary > 0, F.concat(summary.cast("string"), F.lit(" words in the summary")))),
+        Signal("structure.links", F.when(links.isNotNull(), 1.0).otherwise(0.4)),
     ]
 
 
-def content_signals() -> list[Column]:
-    b = long_enough(F.col("bullets"))
+def content_signals(action_verbs: tuple[str, ...] | None = None) -> list[Signal]:
+    b, verbs = F.col("__lines"), F.col("__verbs")
     n = F.size(b)
     few = n < 3
-    verbs = F.transform(b, T.lead_verb)
-    strong = share(verbs, T.is_strong_verb)
+    strong = share(verbs, lambda v: T.is_strong_verb(v, action_verbs))
     weak = share(verbs, lambda v: v.isin(*L.WEAK_OPENERS) | (v == ""))
     action = F.when(few, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), strong + 0.25) - weak * 0.5))
-    metric = F.when(few, 0.5).otherwise(F.least(F.lit(1.0), share(b, T.has_metric) / 0.4))
+    metric = F.when(few, 0.5).otherwise(F.least(F.lit(1.0), share(b, lambda x: T.has_metric(x["text"])) / 0.4))
     low = F.lower("clean")
     filler = sum((T.occurrences(low, p) for p in L.FILLER_PHRASES), F.lit(0))
     others = F.filter(F.map_entries("sections"), lambda e: ~e["key"].isin("summary", "contact"))
@@ -174,14 +222,18 @@ def content_signals() -> list[Column]:
     past = F.flatten(F.transform(F.filter("experience", lambda e: e["dates"].isNotNull() & ~e["dates"]["is_current"]), lambda e: e["bullets"]))
     tense = F.when(few | (F.size("experience") == 0) | (F.size(past) == 0), 0.5).otherwise(1 - share(past, lambda x: x.rlike(r"(?i)^\w+ing\b")))
     return [
-        signal("content.action_verbs", action), signal("content.quantification", metric), signal("content.bullet_length", bullet_length_score(b)),
-        signal("content.filler", 1 - filler / F.greatest(n, F.lit(5))), signal("content.first_person", 1 - spoken / 8),
-        signal("content.verb_variety", verb_variety_score(b)), signal("content.buzzwords", 1 - F.lit(0.2) * praise),
-        signal("content.skills_section", listed), signal("content.tense", tense),
+        Signal("content.action_verbs", action, evidence=_some(F.transform(F.filter(F.arrays_zip(b.alias("b"), verbs.alias("v")), lambda x: ~T.is_strong_verb(x["v"], action_verbs)), lambda x: x["b"]["text"]))),
+        Signal("content.quantification", metric, evidence=_some(F.transform(F.filter(b, lambda x: ~T.has_metric(x["text"])), lambda x: x["text"]))),
+        Signal("content.bullet_length", bullet_length_score(b), evidence=_some(F.filter(b, lambda x: ~x["size"].between(10, 28)), lambda x: F.concat(x["size"].cast("string"), F.lit(" words: "), F.substring(x["text"], 1, 80)))),
+        Signal("content.filler", 1 - filler / F.greatest(n, F.lit(5)), evidence=_some(F.filter(T.strings(L.FILLER_PHRASES), lambda p: F.contains(low, p)))),
+        Signal("content.first_person", 1 - spoken / 8, evidence=_said(spoken > 0, F.concat(spoken.cast("string"), F.lit(" first-person word(s)")))),
+        Signal("content.verb_variety", verb_variety_score(verbs)),
+        Signal("content.buzzwords", 1 - F.lit(0.2) * praise, evidence=_some(F.filter(T.strings(L.BUZZWORDS), lambda p: F.contains(low, p)))),
+        Signal("content.skills_section", listed, evidence=_said(F.size(items) > 0, F.concat(F.size(items).cast("string"), F.lit(" items")))), Signal("content.tense", tense),
     ]
 
 
-def match_signals() -> list[Column]:
+def match_signals() -> list[Signal]:
     """Over a pair's row: n_required, required_share, n_preferred, preferred_hits, n_keywords, n_missing, similarity, levels and years."""
     need = F.when(F.col("n_required") == 0, 0.75).otherwise(F.col("required_share"))
     prefer = F.when(F.col("n_preferred") == 0, 1.0).otherwise(F.col("preferred_hits") / F.col("n_preferred"))
@@ -193,10 +245,8 @@ def match_signals() -> list[Column]:
     actual, least = F.round(F.col("tenure_months") / 12, 1), F.col("years.min_years")
     years = F.when(least.isNull(), 1.0).when(actual <= 0, 0.4).when(actual >= least, 1.0).otherwise(1 - (least - actual) / F.greatest(least, F.lit(1)))
     return [
-        signal("match.required_skills", need, F.when((F.col("n_required") > 0) & (need < 0.5), F.lit("critical"))), signal("match.preferred_skills", prefer),
-        signal("match.keywords", words), signal("match.similarity", F.col("similarity") / 0.45), signal("match.seniority", level), signal("match.experience", years),
+        Signal("match.required_skills", need, F.when((F.col("n_required") > 0) & (need < 0.5), F.lit("critical")), _some(F.col("missing_required"))),
+        Signal("match.preferred_skills", prefer), Signal("match.keywords", words, evidence=_some(F.col("missing_keywords"))), Signal("match.similarity", F.col("similarity") / 0.45),
+        Signal("match.seniority", level, evidence=_said(level < 1, F.concat(F.lit("Asked: "), F.col("seniority"), F.lit(", found: "), mine))),
+        Signal("match.experience", years, evidence=_said(years < 1, F.concat(actual.cast("string"), F.lit(" of "), least.cast("string"), F.lit(" years")))),
     ]
-
-
-def explode_signals(rows: DataFrame, keys: list[str], signals: str = "signals") -> DataFrame:
-    return rows.select(*keys, F.explode(signals).alias("s")).select(*keys, "s.*")

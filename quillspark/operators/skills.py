@@ -11,7 +11,6 @@ from quillspark.functions import lexicon as L
 from quillspark.functions import text as T
 
 ONTOLOGY = str(Path(__file__).parent.parent / "sources" / "ontology.json")
-LONGEST_FORM = 4
 
 
 def load_ontology(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -48,7 +47,8 @@ def contexts_of(sectioned: DataFrame, key: str = "doc_id", raw: str = "clean") -
     bodies = F.filter(F.transform(named, lambda c: c["text"]), lambda b: b.isNotNull())
     left = F.aggregate(bodies, F.col(raw), lambda t, b: F.replace(t, b, F.lit(" ")))
     every = F.concat(named, F.array(F.struct(F.lit("other").alias("context"), left.alias("text"))))
-    return sectioned.select(key, F.explode(F.filter(every, lambda c: F.coalesce(c["text"].rlike(r"\S"), F.lit(False)))).alias("c")).select(key, "c.context", "c.text")
+    filled = F.filter(every, lambda c: F.coalesce(c["text"].rlike(r"\S"), F.lit(False)))
+    return sectioned.select(key, F.explode_outer(filled).alias("c")).filter("c is not null").select(key, "c.context", "c.text")
 
 
 def scan(contexts: DataFrame, forms: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -57,11 +57,12 @@ def scan(contexts: DataFrame, forms: DataFrame, key: str = "doc_id") -> DataFram
     Token n-grams are joined with the forms (Spark broadcasts them while they are small). Claims are
     made longest first inside a context's own array of hits, not over a shuffled group of all rows.
     """
+    longest = F.lit(forms.agg(F.max("n_tokens")).first()[0] or 1)  # of a small table
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9+#.][a-z0-9+#./]*)"), F.lit(1))
     tokens = F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, r"[./]+$", "")), lambda t: t != "")
     rows = contexts.select(key, "context", "text", tokens.alias("t")).filter(F.size("t") > 0)
     grams = F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(LONGEST_FORM), F.size("t") - i)),
+        F.sequence(F.lit(1), F.least(longest, F.size("t") - i)),
         lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("t", i + 1, n), " ").alias("gram")))))
     keyed = forms.select(F.regexp_replace("surface_key", "-", " ").alias("gram"), "name", "category")
     hits = (
@@ -110,7 +111,7 @@ def typo_candidates(contexts: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, context, candidate: single words of 4 to 25 characters listed under skills or summary."""
     parts = F.transform(F.split("text", r"[,|•\n;/]"), T.normalise_surface)
     ok = F.filter(parts, lambda p: F.length(p).between(4, 25) & ~F.contains(p, F.lit(" ")))
-    return contexts.filter(F.col("context").isin("skills", "summary")).select(key, "context", F.explode(F.array_distinct(ok)).alias("candidate"))
+    return contexts.filter(F.col("context").isin("skills", "summary")).select(key, "context", F.explode_outer(F.array_distinct(ok)).alias("candidate")).filter("candidate is not null")
 
 
 def recover_typos(candidates: DataFrame, forms: DataFrame, known: DataFrame, key: str = "doc_id", least: float = 0.88) -> DataFrame:
@@ -141,3 +142,8 @@ def extract_skills(contexts: DataFrame, forms: DataFrame, key: str = "doc_id", f
 def top_skills(mentions: DataFrame, key: str = "doc_id", limit: int = 20) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc("confidence"), F.desc("count"), "name")
     return mentions.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+
+
+def category_counts(mentions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """category, n (mentioned skills), n_documents."""
+    return mentions.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_documents"))

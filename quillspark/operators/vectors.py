@@ -14,43 +14,43 @@ from quillspark.functions import text as T
 BIGRAM_WEIGHT = 0.6
 
 
-def _exploded(rows: DataFrame, keys: list[str], array: Column, name: str) -> DataFrame:
-    """One row an element. explode_outer, as Spark copies explode's expression into an inferred filter and computes it twice."""
-    return rows.select(*keys, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+#: The term of the row that counts a text's units.
+UNITS = ""
+_TF = 1 << 40
 
 
-def terms(texts: DataFrame, keys: list[str], text: str = "text", distinct: bool = False) -> DataFrame:
-    """keys, term: content words and their neighbours."""
-    tokens = texts.select(*keys, T.content_tokens(F.col(text)).alias("__t"))
-    both = tokens.select(*keys, T.with_bigrams(F.col("__t")).alias("__t"))
-    return _exploded(both, keys, F.array_distinct("__t") if distinct else F.col("__t"), "term")
+def term_table(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, term, counts: how often a content word or pair of neighbours occurs in a text, and in how many of its units.
 
+    Units are lines of 15 characters or more, or the whole text if there is none. A text is cut into
+    words once. Both counts are in one number (see `tf` and `df`), so that plans that read one or the
+    other share this table's shuffle. The row of term UNITS has the number of units.
+    """
+    lines = F.transform(T.lines(F.col(text)), lambda x: F.struct(T.content_tokens(x).alias("t"), (F.length(F.when(T.is_bullet(x), T.strip_bullet(x)).otherwise(T.strip(x))) >= 15).alias("unit")))
+    rows = texts.select(key, lines.alias("__l"), (T.strip(F.col(text)) != "").alias("__filled"))
+    rows = rows.select(key, "__filled", F.flatten(F.transform("__l", lambda x: x["t"])).alias("__all"), F.transform(F.filter("__l", lambda x: x["unit"]), lambda x: x["t"]).alias("__units"))
+    rows = rows.withColumn("__units", F.when(F.size("__units") > 0, F.col("__units")).when(F.col("__filled"), F.array("__all")).otherwise(F.array().cast("array<array<string>>")))
+    seen = F.transform(T.with_bigrams(F.col("__all")), lambda t: F.struct(t.alias("term"), F.lit(_TF).alias("n")))
+    held = F.flatten(F.transform("__units", lambda u: F.transform(F.array_distinct(T.with_bigrams(u)), lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("n")))))
+    units = F.array(F.struct(F.lit(UNITS).alias("term"), F.size("__units").cast("long").alias("n")))
+    # explode_outer, as Spark copies explode's expression into an inferred filter and computes it twice
+    every = rows.select(key, F.explode_outer(F.concat(units, seen, held)).alias("x")).select(key, "x.term", "x.n")
+    return every.groupBy(key, "term").agg(F.sum("n").alias("counts"))
 
-def with_units(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, units: lines of 15 characters or more, bullets stripped; the whole text if there is none."""
-    rows = texts.select(*keys, F.col(text).alias("__text"), F.filter(F.transform(
-        T.lines(F.col(text)), lambda x: F.when(T.is_bullet(x), T.strip_bullet(x)).otherwise(T.strip(x))), lambda x: F.length(x) >= 15).alias("__u"))
-    whole = F.filter(F.array(T.strip(F.col("__text"))), lambda x: x != "")
-    return rows.select(*keys, F.when(F.size("__u") > 0, F.col("__u")).otherwise(whole).alias("units"))
 
+def tf(counts: Column | str = "counts") -> Column:
+    return F.shiftright(counts, 40)
 
-def term_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return terms(texts, [key], text).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
+def df(counts: Column | str = "counts") -> Column:
+    return (F.col(counts) if isinstance(counts, str) else counts).bitwiseAND(F.lit(_TF - 1))
 
-def unit_frequencies(texts: DataFrame, key: str | None, text: str = "text") -> DataFrame:
-    """[key,] term, df: in how many units a term occurs; without a key, over all texts."""
-    keys = [key] if key else []
-    units = _exploded(with_units(texts, keys, text), keys, F.col("units"), "unit")
-    return terms(units, keys, "unit", distinct=True).groupBy(*keys, "term").agg(F.count("*").alias("df"))
 
-
-def unit_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return with_units(texts, [key], text).select(key, F.size("units").cast("long").alias("n_units"))
-
-
-def unit_total(texts: DataFrame, text: str = "text") -> float:
-    return float(with_units(texts, [], text).agg(F.sum(F.size("units"))).first()[0] or 0)
+def document_frequencies(terms: DataFrame) -> DataFrame:
+    """term, df, total: in how many units of all texts a term occurs, and how many units there are."""
+    found = terms.groupBy("term").agg(F.sum(df()).alias("df"))
+    total = found.filter(F.col("term") == UNITS).select(F.col("df").alias("total"))
+    return found.filter((F.col("term") != UNITS) & (F.col("df") > 0)).crossJoin(F.broadcast(total))  # one row
 
 
 def idf(df: Column, total: Column) -> Column:
@@ -67,45 +67,49 @@ def normalised(weights: DataFrame, keys: list[str], weight: str = "w") -> DataFr
 
 
 def tfidf(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, term, w: unit-length vectors, IDF over the units of all texts (one count comes to the driver)."""
-    total = unit_total(texts, text)
-    dfs = unit_frequencies(texts, None, text).select("term", idf(F.col("df"), F.lit(total)).alias("idf"))
-    rows = term_counts(texts, key, text).join(dfs, "term", "left")
-    return normalised(rows.select(key, "term", raw_weight(F.col("tf"), F.col("idf"), F.col("term")).alias("w")), [key])
-
-
-def pair_vectors(left: DataFrame, right: DataFrame, pairs: DataFrame, a: str, b: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Vectors of each side of every pair: (a, b, term, w), IDF from the units of that pair alone."""
-    sides = []
-    df_a, df_b = unit_frequencies(left, a, text).withColumnRenamed("df", "df_a"), unit_frequencies(right, b, text).withColumnRenamed("df", "df_b")
-    counted = pairs.join(unit_counts(left, a, text).withColumnRenamed("n_units", "n_a"), a).join(unit_counts(right, b, text).withColumnRenamed("n_units", "n_b"), b)
-    for own, other, mine, key in ((left, right, df_a, a), (right, left, df_b, b)):
-        tf = term_counts(own, key, text)
-        rows = counted.join(tf, key).join(df_a, [a, "term"], "left").join(df_b, [b, "term"], "left")
-        df = F.coalesce("df_a", F.lit(0)) + F.coalesce("df_b", F.lit(0))
-        known = F.when(df > 0, idf(df, F.col("n_a") + F.col("n_b")))
-        sides.append(normalised(rows.select(a, b, "term", raw_weight(F.col("tf"), known, F.col("term")).alias("w")), [a, b]))
-    return sides[0], sides[1]
-
-
-def cosines(va: DataFrame, vb: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
-    dots = va.withColumnRenamed("w", "wa").join(vb.withColumnRenamed("w", "wb"), [*keys, "term"]).groupBy(*keys).agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
+    """key, term, w: unit-length vectors, IDF over the units of all texts."""
+    terms = term_table(texts, key, text)
+    idfs = document_frequencies(terms).select("term", idf(F.col("df"), F.col("total")).alias("idf"))
+    rows = terms.filter(F.col("term") != UNITS).join(idfs, "term", "left")
+    return normalised(rows.select(key, "term", raw_weight(tf(), F.col("idf"), F.col("term")).alias("w")), [key])
+
+
+def pair_terms(left: DataFrame, right: DataFrame, pairs: DataFrame, a: str, b: str, text: str = "text") -> DataFrame:
+    """a, b, term, wa, wb: both sides' vectors of every pair (null where a side lacks the term), IDF from the units of that pair alone.
+
+    Each side's terms go to its pairs; then all of a pair is in one place, and sums over it need no further shuffle.
+    """
+    none = F.lit(0).cast("long")
+    mine = pairs.select(a, b).join(term_table(left, a, text), a).select(a, b, "term", F.col("counts").alias("ca"), none.alias("cb"))
+    theirs = pairs.select(a, b).join(term_table(right, b, text), b).select(a, b, "term", none.alias("ca"), F.col("counts").alias("cb"))
+    both = mine.unionByName(theirs).repartition(a, b).groupBy(a, b, "term").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
+    pair = Window.partitionBy(a, b)
+    total = F.sum(F.when(F.col("term") == UNITS, df("ca") + df("cb"))).over(pair)
+    counted = both.select(a, b, "term", tf("ca").alias("tfa"), tf("cb").alias("tfb"), (df("ca") + df("cb")).alias("df"), total.alias("total")).filter(F.col("term") != UNITS)
+    known = F.when(F.col("df") > 0, idf(F.col("df"), F.col("total")))
+    raw = counted.select(a, b, "term", *[F.when(F.col(f"tf{x}") > 0, raw_weight(F.col(f"tf{x}"), known, F.col("term"))).alias(f"w{x}") for x in "ab"])
+    return raw.select(a, b, "term", *[(F.col(w) / F.sqrt(F.sum(F.col(w) * F.col(w)).over(pair))).alias(w) for w in ("wa", "wb")])
+
+
+def cosines(terms: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of `pair_terms`: keys, similarity of every pair."""
+    dots = terms.groupBy(*keys).agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
     return pairs.join(dots, keys, "left").select(*keys, T.clamp(F.coalesce("s", F.lit(0.0))).alias("similarity"))
 
 
-def overlapping_terms(va: DataFrame, vb: DataFrame, keys: list[str], limit: int = 12) -> DataFrame:
+def overlapping_terms(terms: DataFrame, keys: list[str], limit: int = 12) -> DataFrame:
     """keys, rank, term, contribution (5 digits): what the pair shares most."""
-    both = va.withColumnRenamed("w", "wa").join(vb.withColumnRenamed("w", "wb"), [*keys, "term"]).select(
+    both = terms.filter("wa is not null and wb is not null").select(
         *keys, F.replace("term", F.lit("_"), F.lit(" ")).alias("term"), F.round(F.col("wa") * F.col("wb"), 5).alias("contribution"))
     w = Window.partitionBy(*keys).orderBy(F.desc("contribution"), "term")
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def missing_terms(va: DataFrame, vb: DataFrame, keys: list[str], limit: int = 15) -> DataFrame:
+def missing_terms(terms: DataFrame, keys: list[str], limit: int = 15) -> DataFrame:
     """keys, rank, term: single words of the second side that the first lacks, by weight (6 digits)."""
-    rows = vb.filter(~F.contains("term", F.lit("_")) & (F.length("term") > 2)).join(va.select(*keys, "term"), [*keys, "term"], "left_anti")
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("w", 6)), "term")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select(*keys, "rank", "term", F.round("w", 6).alias("weight"))
+    rows = terms.filter("wa is null and wb is not null").filter(~F.contains("term", F.lit("_")) & (F.length("term") > 2)).withColumn("weight", F.round("wb", 6))
+    w = Window.partitionBy(*keys).orderBy(F.desc("weight"), "term")
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select(*keys, "rank", "term", "weight")
 
 
 def centroids(vectors: DataFrame, group: str) -> DataFrame:

@@ -22,6 +22,7 @@ class EngineConfig:
     max_chars: int = 60_000
     max_posting_chars: int = 30_000
     fuzzy: bool = True
+    action_verbs: tuple[str, ...] | None = None
 
 
 def _layout() -> dict[str, Column]:
@@ -47,15 +48,24 @@ def page_count(text: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(T.word_count(text) / 500, 0).cast("int"))
 
 
-def parse_documents(documents: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Adds clean, sections, unknown_headings, contact, experience, education, bullets, tenure_months; row by row, no shuffle."""
+PARTS = ("contact", "experience", "education", "bullets", "tenure")
+
+
+def parse_documents(documents: DataFrame, config: EngineConfig = EngineConfig(), parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """Adds clean, sections, unknown_headings, and of these parts contact, experience, education, bullets, tenure_months (with experience); row by row, no shuffle."""
     as_of = F.lit(config.as_of).cast("date")
     rows = with_sections(documents.withColumn("clean", T.clean_text(F.col("text"))), "clean")
-    rows = entities.with_contact(rows, "clean")
-    rows = entities.with_experience(rows, section_body("experience"))
-    rows = entities.with_education(rows, section_body("education"))
-    every = F.filter(T.lines(F.col("clean")), T.is_bullet)
-    rows = rows.withColumn("bullets", F.transform(every, T.strip_bullet))
+    if "contact" in parts:
+        rows = entities.with_contact(rows, "clean")
+    if "experience" in parts or "tenure" in parts:
+        rows = entities.with_experience(rows, section_body("experience"))
+    if "education" in parts:
+        rows = entities.with_education(rows, section_body("education"))
+    if "bullets" in parts:
+        every = F.filter(T.lines(F.col("clean")), T.is_bullet)
+        rows = rows.withColumn("bullets", F.transform(every, T.strip_bullet))
+    if "tenure" not in parts:
+        return rows
 
     def interval(e: Column) -> Column:
         start, end = entities.month_interval(e["dates"], as_of)
@@ -79,8 +89,8 @@ class Analysis:
         if self.with_job:
             self.jobs, self.job_skills = jobs.parse_jobs(postings, self.forms)
             self.jobs = self.jobs.persist()
-            # a stated set of pairs, or every document with every posting (the postings are the small side)
-            self.pairs = pairs if pairs is not None else self.documents.select("doc_id").crossJoin(self.jobs.select("job_id"))
+            # a stated set of pairs, or each document with the postings that ask for a skill it has
+            self.pairs = pairs if pairs is not None else matching.sharing_a_skill(self.mentions, self.job_skills, "doc_id", "job_id")
         self.keys = ["doc_id", "job_id"] if self.with_job else ["doc_id"]
 
     @cached_property
@@ -89,13 +99,12 @@ class Analysis:
 
     @cached_property
     def similarity(self) -> DataFrame:
-        va, vb = self.vectors
-        return vectors.cosines(va, vb, self.pairs.select("doc_id", "job_id"), ["doc_id", "job_id"])
+        return vectors.cosines(self.vectors, self.pairs.select("doc_id", "job_id"), ["doc_id", "job_id"])
 
     @cached_property
-    def vectors(self) -> tuple[DataFrame, DataFrame]:
-        return vectors.pair_vectors(self.documents.select("doc_id", F.col("clean").alias("text")), self.jobs.select("job_id", F.col("clean").alias("text")),
-                                    self.pairs.select("doc_id", "job_id"), "doc_id", "job_id")
+    def vectors(self) -> DataFrame:
+        return vectors.pair_terms(self.documents.select("doc_id", F.col("clean").alias("text")), self.jobs.select("job_id", F.col("clean").alias("text")),
+                                  self.pairs.select("doc_id", "job_id"), "doc_id", "job_id")
 
     @cached_property
     def asked(self) -> DataFrame:
@@ -116,11 +125,11 @@ class Analysis:
 
     @cached_property
     def signals(self) -> DataFrame:
-        own = [*signals.ats_signals(), *signals.structure_signals(), *signals.content_signals()]
-        alone = signals.explode_signals(self.documents.select("doc_id", F.array(*own).alias("signals")), ["doc_id"])
+        own = [*signals.ats_signals(), *signals.structure_signals(), *signals.content_signals(self.config.action_verbs)]
+        alone = signals.signal_table(signals.with_measures(self.documents), ["doc_id"], own)
         if not self.with_job:
             return alone
-        matched = signals.explode_signals(self.match_rows.select("doc_id", "job_id", F.array(*signals.match_signals()).alias("signals")), self.keys)
+        matched = signals.signal_table(self.match_rows, self.keys, signals.match_signals())
         return alone.join(self.pairs.select("doc_id", "job_id"), "doc_id").select(*matched.columns).unionByName(matched)
 
     @cached_property
@@ -135,10 +144,15 @@ class Analysis:
     def recommendations(self) -> DataFrame:
         return scoring.recommendations(self.signals, self.keys, self.with_job)
 
+    def close(self) -> None:
+        """Gives back what is kept."""
+        for kept in (self.forms, self.documents, *([self.jobs] if self.with_job else [])):
+            kept.unpersist()
+
     def results(self) -> DataFrame:
         """One row a document (and posting): overall, band, dimensions, recommendations, strengths, headline."""
         rec = self.recommendations.groupBy(*self.keys).agg(F.array_sort(F.collect_list(F.struct(
-            "rank", "signal_id", "severity", "title", "action", "impact"))).alias("recommendations"))
+            "rank", "signal_id", "severity", "title", "action", "impact", "evidence"))).alias("recommendations"))
         dim = self.dimensions.groupBy(*self.keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "score")))).alias("dimensions"))
         out = self.overall.join(dim, self.keys).join(rec, self.keys, "left").join(scoring.strengths(self.signals, self.keys), self.keys)
         return out.join(scoring.headline(self.recommendations, self.keys), self.keys, "left")

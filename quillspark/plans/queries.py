@@ -76,15 +76,11 @@ def token_counts(spark, sf_dir):
 
 
 @query(rf"""WITH {_D}, t AS (SELECT doc_id, unnest({_CONTENT('text')}) AS term FROM d)
-SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY term HAVING count(*) >= 5""")
+SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY term""")
 def content_token_counts(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("doc_id", F.explode_outer(T.content_tokens(F.col("text"))).alias("term")).filter("term is not null")
     per_doc = rows.groupBy("doc_id", "term").agg(F.count("*").alias("k"))
-    return per_doc.groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("n_docs")).filter("n >= 5")
-
-
-def _units(text):
-    return F.filter(F.transform(T.lines(text), T.strip), lambda x: T.word_count(x) >= 3)
+    return per_doc.groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("n_docs"))
 
 
 _UNITS = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP('x')}), lambda x: len({_WORDS('x')}) >= 3)"
@@ -96,27 +92,27 @@ _LEAD = r"lower(regexp_extract(x, '^[^A-Za-z]*([A-Za-z][0-9A-Za-z_''\-]*)', 1))"
 SELECT doc_id, CAST(n_units AS BIGINT) AS n_units, CAST(len(list_distinct(verbs)) AS BIGINT) AS n_distinct,
   CASE WHEN n_units < 5 OR len(verbs) = 0 THEN 0.5 ELSE round(least(1.0, (len(list_distinct(verbs))::DOUBLE / len(verbs)) / 0.75), 4) END::DOUBLE AS score FROM v""")
 def lead_word_variety(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", _units(F.col("text")).alias("u"))
-    verbs = F.filter(F.transform("u", T.lead_verb), lambda v: v != "")
-    return rows.select("doc_id", F.size("u").cast("long").alias("n_units"), F.size(F.array_distinct(verbs)).cast("long").alias("n_distinct"),
-                       T.score4(signals.verb_variety_score(F.col("u"))).alias("score"))
+    rows = signals.with_line_measures(_docs(spark, sf_dir), T.filled_lines(F.col("text")))
+    verbs = F.filter("__verbs", lambda v: v != "")
+    return rows.select("doc_id", F.size("__lines").cast("long").alias("n_units"), F.size(F.array_distinct(verbs)).cast("long").alias("n_distinct"),
+                       T.score4(signals.verb_variety_score(F.col("__verbs"))).alias("score"))
 
 
 @query(rf"""WITH {_D}, l AS (SELECT doc_id, list_sort(list_transform({_UNITS}, lambda x: len({_WORDS('x')}))) AS n FROM d)
 SELECT doc_id, CAST(n[len(n) // 2 + 1] AS BIGINT) AS upper_median,
   CASE WHEN len(n) < 3 THEN 0.5 ELSE round(len(list_filter(n, lambda k: k BETWEEN 10 AND 28))::DOUBLE / len(n), 4) END::DOUBLE AS score FROM l""")
 def line_length_profile(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", _units(F.col("text")).alias("u"))
-    sizes = F.array_sort(F.transform("u", T.word_count))
-    return rows.select("doc_id", F.get(sizes, F.floor(F.size("u") / 2).cast("int")).cast("long").alias("upper_median"),
-                       T.score4(signals.bullet_length_score(F.col("u"))).alias("score"))
+    rows = signals.with_line_measures(_docs(spark, sf_dir), T.filled_lines(F.col("text")))
+    sizes = F.array_sort(F.transform("__lines", lambda x: x["size"]))
+    return rows.select("doc_id", F.get(sizes, F.floor(F.size("__lines") / 2).cast("int")).cast("long").alias("upper_median"),
+                       T.score4(signals.bullet_length_score(F.col("__lines"))).alias("score"))
 
 
 def _doc_signals(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", "text", _units(F.col("text")).alias("u"), T.word_count(F.col("text")).alias("n"))
-    own = [signals.signal("ats.encoding", signals.encoding_score(F.col("text"))), signals.signal("structure.length", signals.length_score(F.col("n"))),
-           signals.signal("content.bullet_length", signals.bullet_length_score(F.col("u"))), signals.signal("content.verb_variety", signals.verb_variety_score(F.col("u")))]
-    return signals.explode_signals(rows.select("doc_id", F.array(*own).alias("signals")), ["doc_id"])
+    rows = _docs(spark, sf_dir).withColumn("__words", T.word_count(F.col("text")))
+    own = [signals.Signal("ats.encoding", signals.encoding_score(F.col("text"))), signals.Signal("structure.length", signals.length_score(F.col("__words"))),
+           signals.Signal("content.bullet_length", signals.bullet_length_score(F.col("__lines"))), signals.Signal("content.verb_variety", signals.verb_variety_score(F.col("__verbs")))]
+    return signals.signal_table(signals.with_line_measures(rows, T.filled_lines(F.col("text"))), ["doc_id"], own)
 
 
 _SEV = lambda s: f"CASE WHEN {s} < 0.34 THEN 0 WHEN {s} < 0.67 THEN 1 WHEN {s} < 0.95 THEN 2 ELSE 3 END"
@@ -190,11 +186,10 @@ v AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w
 
 
 @query(rf"""WITH {_D}, {_terms_sql('a', 'doc_id', 'd')}, total AS (SELECT sum(n) AS n FROM a_n)
-SELECT term, CAST(df AS BIGINT) AS df, round(ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1, 6) AS idf FROM (SELECT term, sum(df) AS df FROM a_df GROUP BY term), total WHERE df >= 3""")
+SELECT term, CAST(df AS BIGINT) AS df, round(ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1, 6) AS idf FROM (SELECT term, sum(df) AS df FROM a_df GROUP BY term), total""")
 def idf_terms(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    total = vectors.unit_total(docs)
-    return vectors.unit_frequencies(docs, None).filter("df >= 3").select("term", "df", F.round(vectors.idf(F.col("df"), F.lit(total)), 6).alias("idf"))
+    found = vectors.document_frequencies(vectors.term_table(_docs(spark, sf_dir), "doc_id"))
+    return found.select("term", "df", F.round(vectors.idf(F.col("df"), F.col("total")), 6).alias("idf"))
 
 
 @query(rf"""WITH {_TFIDF}, r AS (SELECT doc_id, term, round(w, 6) AS weight FROM v)
@@ -219,8 +214,9 @@ def lang_centroids(spark, sf_dir):
 def _pairs(spark, sf_dir):
     """Each document with one posting (its id modulo the number of items): a stated pairs table, no cross join."""
     items = _benchmark(spark, sf_dir)
-    n = items.count()
-    return _docs(spark, sf_dir).select("doc_id", F.pmod("doc_id", F.lit(max(n, 1))).alias("job_id")).join(items.select("job_id"), "job_id", "left_semi").select("doc_id", "job_id")
+    n = items.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))  # one row
+    rows = _docs(spark, sf_dir).select("doc_id").crossJoin(F.broadcast(n)).select("doc_id", F.pmod("doc_id", F.col("n")).alias("job_id"))
+    return rows.join(items.select("job_id"), "job_id", "left_semi").select("doc_id", "job_id")
 
 
 _PAIR_SQL = "p AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS job_id FROM d WHERE doc_id % (SELECT count(*) FROM benchmark) IN (SELECT item_id FROM benchmark))"
@@ -238,30 +234,27 @@ _PAIR = rf"""{_D}, b AS (SELECT item_id AS job_id, coalesce(text, '') AS text FR
 {_pair_side('va', 'a', 'doc_id')}, {_pair_side('vb', 'b', 'job_id')}"""
 
 
-def _pair_vectors(spark, sf_dir):
-    return vectors.pair_vectors(_docs(spark, sf_dir), _benchmark(spark, sf_dir), _pairs(spark, sf_dir), "doc_id", "job_id")
+def _pair_terms(spark, sf_dir):
+    return vectors.pair_terms(_docs(spark, sf_dir), _benchmark(spark, sf_dir), _pairs(spark, sf_dir), "doc_id", "job_id")
 
 
 @query(rf"""WITH {_PAIR}, s AS (SELECT doc_id, job_id, sum(va.w * vb.w) AS s FROM va JOIN vb USING (doc_id, job_id, term) GROUP BY ALL)
 SELECT p.doc_id, p.job_id, round(least(1.0, greatest(0.0, coalesce(s, 0.0))), 6)::DOUBLE AS similarity FROM p LEFT JOIN s USING (doc_id, job_id)""")
 def doc_job_cosine(spark, sf_dir):
-    va, vb = _pair_vectors(spark, sf_dir)
-    return vectors.cosines(va, vb, _pairs(spark, sf_dir), ["doc_id", "job_id"]).select("doc_id", "job_id", F.round("similarity", 6).alias("similarity"))
+    return vectors.cosines(_pair_terms(spark, sf_dir), _pairs(spark, sf_dir), ["doc_id", "job_id"]).select("doc_id", "job_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(rf"""WITH {_PAIR}, c AS (SELECT doc_id, job_id, replace(term, '_', ' ') AS term, round(va.w * vb.w, 5) AS contribution FROM va JOIN vb USING (doc_id, job_id, term))
 SELECT doc_id, job_id, rank, term, contribution FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, job_id ORDER BY contribution DESC, term) AS rank FROM c) WHERE rank <= 12""")
 def overlap_terms(spark, sf_dir):
-    va, vb = _pair_vectors(spark, sf_dir)
-    return vectors.overlapping_terms(va, vb, ["doc_id", "job_id"]).select("doc_id", "job_id", F.col("rank").cast("long").alias("rank"), "term", "contribution")
+    return vectors.overlapping_terms(_pair_terms(spark, sf_dir), ["doc_id", "job_id"]).select("doc_id", "job_id", F.col("rank").cast("long").alias("rank"), "term", "contribution")
 
 
 @query(rf"""WITH {_PAIR}, m AS (SELECT doc_id, job_id, term, round(w, 6) AS weight FROM vb WHERE NOT contains(term, '_') AND len(term) > 2
   AND NOT EXISTS (SELECT 1 FROM va WHERE va.doc_id = vb.doc_id AND va.job_id = vb.job_id AND va.term = vb.term))
 SELECT doc_id, job_id, rank, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, job_id ORDER BY weight DESC, term) AS rank FROM m) WHERE rank <= 15""")
 def missing_terms(spark, sf_dir):
-    va, vb = _pair_vectors(spark, sf_dir)
-    return vectors.missing_terms(va, vb, ["doc_id", "job_id"]).withColumn("rank", F.col("rank").cast("long"))
+    return vectors.missing_terms(_pair_terms(spark, sf_dir), ["doc_id", "job_id"]).withColumn("rank", F.col("rank").cast("long"))
 
 
 # ---------------------------------------------------------------- postings and matching
@@ -295,21 +288,16 @@ def keyword_coverage(spark, sf_dir):
     return joined.select("doc_id", "job_id", F.size("keywords").cast("long").alias("n_keywords"), F.size(matching.missing_keywords(F.col("keywords"), F.col("stems"))).cast("long").alias("n_missing"))
 
 
-#: The driver's texts name no skills, so frequent content words stand for an ontology: the 60 with the highest document frequency.
-_ONTO = rf"""tok AS (SELECT doc_id, unnest({_CONTENT('text')}) AS name FROM d), o AS (SELECT name FROM tok GROUP BY name ORDER BY count(DISTINCT doc_id) DESC, name LIMIT 60)"""
-
-
-def _ontology(spark, sf_dir):
-    tokens = _docs(spark, sf_dir).select(F.explode_outer(F.array_distinct(T.content_tokens(F.col("text")))).alias("name")).filter("name is not null")
-    return tokens.groupBy("name").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "name").limit(60).select("name")
+#: The driver's texts name no skills, so every content word stands for one; queries over composed résumés scan the ontology.
+_ONTO = rf"""tok AS (SELECT doc_id, unnest({_CONTENT('text')}) AS name FROM d)"""
 
 
 def _mentions(spark, sf_dir):
     tokens = _docs(spark, sf_dir).select("doc_id", F.explode_outer(T.content_tokens(F.col("text"))).alias("name")).filter("name is not null")
-    return tokens.join(_ontology(spark, sf_dir), "name").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+    return tokens.groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 
-@query(rf"""WITH {_D}, {_ONTO}, m AS (SELECT doc_id, name, count(*) AS n FROM tok WHERE name IN (SELECT name FROM o) GROUP BY ALL)
+@query(rf"""WITH {_D}, {_ONTO}, m AS (SELECT doc_id, name, count(*) AS n FROM tok GROUP BY ALL)
 SELECT doc_id, name, n, round(least(1.0::DOUBLE, 0.5::DOUBLE + least(0.15::DOUBLE, 0.05::DOUBLE * (n - 1))), 3) AS confidence FROM m""")
 def skill_mentions(spark, sf_dir):
     from quillspark.operators.skills import confidence
@@ -319,13 +307,13 @@ def skill_mentions(spark, sf_dir):
 
 def _asked(spark, sf_dir):
     tokens = _benchmark(spark, sf_dir).select("job_id", F.explode_outer(T.content_tokens(F.col("text"))).alias("skill")).filter("skill is not null")
-    asked = tokens.join(_ontology(spark, sf_dir).withColumnRenamed("name", "skill"), "skill").groupBy("job_id", "skill").agg(F.count("*").alias("mentions"))
+    asked = tokens.groupBy("job_id", "skill").agg(F.count("*").alias("mentions"))
     return asked.withColumn("required", F.col("mentions") >= 2).withColumn("category", F.lit("term")).withColumn(
         "weight", F.round(F.least(F.lit(1.0), F.lit(0.7) + F.lit(0.15) * (F.col("mentions") - 1)), 3))
 
 
-_ASKED = rf"""{_D}, {_PAIR_SQL}, {_ONTO}, m AS (SELECT DISTINCT doc_id, name FROM tok WHERE name IN (SELECT name FROM o)),
-q AS (SELECT job_id, skill, count(*) AS mentions FROM (SELECT item_id AS job_id, unnest({_CONTENT("coalesce(text, '')")}) AS skill FROM benchmark) WHERE skill IN (SELECT name FROM o) GROUP BY ALL),
+_ASKED = rf"""{_D}, {_PAIR_SQL}, {_ONTO}, m AS (SELECT DISTINCT doc_id, name FROM tok),
+q AS (SELECT job_id, skill, count(*) AS mentions FROM (SELECT item_id AS job_id, unnest({_CONTENT("coalesce(text, '')")}) AS skill FROM benchmark) GROUP BY ALL),
 j AS (SELECT p.doc_id, p.job_id, q.skill, q.mentions >= 2 AS required, round(least(1.0::DOUBLE, 0.7::DOUBLE + 0.15::DOUBLE * (mentions - 1)), 3) AS weight, m.name IS NOT NULL AS hit
   FROM p JOIN q ON q.job_id = p.job_id LEFT JOIN m ON m.doc_id = p.doc_id AND m.name = q.skill)"""
 
@@ -394,15 +382,20 @@ def tenure_months(spark, sf_dir):
 
 # ---------------------------------------------------------------- guards
 
-@query(rf"""WITH {_D} SELECT doc_id, regexp_extract(text, '{L.EMAIL}') AS email FROM d WHERE regexp_matches(text, '{L.EMAIL}')""")
+@query(rf"""WITH {_D} SELECT doc_id, unnest(regexp_extract_all(text, '{L.EMAIL}')) AS email FROM d""")
 def pii_emails(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.regexp_extract("text", L.EMAIL, 0).alias("email")).filter("email <> ''")
+    return _docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({L.EMAIL})"), F.lit(1))).alias("email"))
 
 
-@query(rf"""WITH {_D} SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{L.EMAIL}', '[EMAIL]', 'g'), 'https?://[^ \t\n\x0B\f\r]+|(?:www\.)[^ \t\n\x0B\f\r]+', '[LINK]', 'g')) AS redacted_sha256 FROM d""")
+_BLANKS = lambda p: p.replace(r"\S", r"[^ \t\n\x0B\f\r]").replace(r"[\s.", r"[ \t\n\x0B\f\r.").replace(r"\s", r"[ \t\n\x0B\f\r]")
+_MASKED = "text"
+for _pattern, _mark in ((L.EMAIL, "[EMAIL]"), (L.LINK, "[LINK]"), (L.STREET, "[ADDRESS]"), (L.PHONE, "[PHONE]")):
+    _MASKED = f"regexp_replace({_MASKED}, '{_BLANKS(_pattern)}', '{_mark}', 'g')"
+
+
+@query(f"""WITH {_D} SELECT doc_id, sha256({_MASKED}) AS redacted_sha256 FROM d""")
 def redact_text(spark, sf_dir):
-    text = F.regexp_replace(F.regexp_replace("text", L.EMAIL, "[EMAIL]"), L.LINK, "[LINK]")
-    return _docs(spark, sf_dir).select("doc_id", F.sha2(text, 256).alias("redacted_sha256"))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(guards.redact(F.col("text")), 256).alias("redacted_sha256"))
 
 
 @query("""SELECT page_id, CAST(len(html) AS BIGINT) AS n_chars, CAST(len(html) - len(replace(replace(html, '<', ''), '>', '')) AS BIGINT) AS n_brackets,
@@ -436,12 +429,10 @@ def fabricated_numbers(spark, sf_dir):
     """Numbers of assistant turns that no user turn of the conversation has; a made-up number ends each text, as the tables hold few."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(
         F.coalesce("text", F.lit("")), F.lit(" "), (F.col("conv_id") * 37 + F.col("turn") * 11).cast("string"), F.lit(" 12")).alias("text"))
-    said = rows.filter("role = 'user'").select("conv_id", F.explode(guards.numbers_of(F.col("text"))).alias("x")).select("conv_id", T.canonical_number(F.col("x")).alias("n")).distinct()
-    claimed = rows.filter("role = 'assistant'").select("conv_id", "turn", F.explode(guards.numbers_of(F.col("text"))).alias("x")).select(
-        "conv_id", "turn", T.strip(F.col("x")).alias("raw"), T.canonical_number(F.col("x")).alias("n"))
-    digits = F.regexp_replace("n", r"\D", "")
-    open_ = claimed.filter((F.length(digits) > 1) & ~digits.rlike(r"^(?:19|20)\d{2}$")).join(said, ["conv_id", "n"], "left_anti")
-    return open_.groupBy("conv_id", "turn").agg(F.array_join(F.array_sort(F.collect_set("raw")), ",").alias("fabricated"))
+    said = rows.filter("role = 'user'").groupBy("conv_id").agg(F.array_join(F.collect_list("text"), " ; ").alias("said"))
+    claimed = rows.filter("role = 'assistant'").join(said, "conv_id", "left")
+    found = claimed.select("conv_id", "turn", guards.fabricated_numbers(F.col("text"), F.coalesce("said", F.lit(""))).alias("f"))
+    return found.filter(F.size("f") > 0).select("conv_id", "turn", F.array_join("f", ",").alias("fabricated"))
 
 
 # ---------------------------------------------------------------- history and metrics
@@ -476,14 +467,27 @@ def attempted_hits_window(spark, sf_dir):
     return stateful.attempted_hits(_table(spark, sf_dir, "events"), "user_id", 86_400).select("event_id", "user_id", "n_attempts")
 
 
-@query()
+_EVENTS = "e AS (SELECT event_id, user_id, ts, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_EVENTS}, r AS (
+  SELECT user_id, i, event_id, ts, [sec] AS times, true AS allowed, 0 AS retry FROM e WHERE i = 1
+  UNION ALL SELECT user_id, i, event_id, ts, CASE WHEN len(kept) < 5 THEN list_append(kept, sec) ELSE kept END, len(kept) < 5, CASE WHEN len(kept) < 5 THEN 0 ELSE greatest(1, trunc(kept[1] + 86400.0 - sec)::INT) END
+  FROM (SELECT e.*, list_filter(r.times, lambda t: t >= e.sec - 86400.0) AS kept FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.i = r.i + 1))
+SELECT event_id, user_id AS key, ts, allowed, retry AS retry_after_s FROM r""")
 def rate_limited_events(spark, sf_dir):
-    """Limit 5 a day for each user. Each decision depends on the earlier ones, so there is no SQL; tests hold it against a plain loop."""
+    """Limit 5 a day for each user."""
     rows = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), "ts")
     return stateful.rate_limited(rows, 5, 86_400.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EVENTS}, r AS (
+  SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, false AS blocked, 0 AS failures, NULL::DOUBLE AS opened FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT user_id, i, event_id, ts, blocked, CASE WHEN blocked THEN failures WHEN ok THEN 0 ELSE failures + 1 END,
+    CASE WHEN blocked THEN opened WHEN ok THEN NULL WHEN failures + 1 >= 2 THEN sec ELSE opened END
+  FROM (SELECT user_id, i, event_id, ts, sec, ok, was AND NOT cooled AS blocked, CASE WHEN was AND cooled THEN 1 ELSE failures END AS failures, CASE WHEN was AND cooled THEN NULL ELSE opened END AS opened
+    FROM (SELECT e.*, e.event_id % 2 = 0 AS ok, r.failures, r.opened, r.opened IS NOT NULL AS was, coalesce(e.sec - r.opened >= 3600.0, false) AS cooled FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.i = r.i + 1)))
+SELECT event_id, user_id AS key, ts, blocked, failures FROM r WHERE i > 0""")
 def breaker_trace(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), "ts", (F.col("event_id") % 2 == 0).alias("ok"))
     return stateful.breaker_trace(rows, 2, 3_600.0)

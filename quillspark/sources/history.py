@@ -1,8 +1,9 @@
-"""Analyses kept as Parquet, partitioned by day: append, page, look up, delete, spot repeats."""
+"""Analyses kept as Parquet, partitioned by day: append, page, look up, delete by tombstones, spot repeats."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +27,15 @@ class History:
         self.spark, self.path, self.redacted = spark, path, redacted
 
     def rows(self) -> DataFrame:
+        """All analyses but those deleted since."""
+        kept, gone = self._read("analyses", SCHEMA + ", day date"), self._read("deleted", "id string, deleted_at timestamp")
+        return kept.join(gone.select("id"), "id", "left_anti").select(kept.columns)
+
+    def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(SCHEMA + ", day date").parquet(self.path)
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         except AnalysisException:
-            return self.spark.createDataFrame([], SCHEMA + ", day date")
+            return self.spark.createDataFrame([], schema)
 
     def save(self, analyses: DataFrame) -> None:
         """Appends; resume_text is redacted unless the store was opened otherwise."""
@@ -38,7 +44,7 @@ class History:
         if self.redacted:
             analyses = analyses.withColumn("resume_text", redact(F.col("resume_text")))
         ordered = analyses.select(*[f.split()[0] for f in SCHEMA.replace("\n", " ").split(", ")])
-        ordered.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(self.path)
+        ordered.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(f"{self.path}/analyses")
 
     def list(self, limit: int = 25, offset: int = 0) -> tuple[int, DataFrame]:
         return self.rows().count(), page(self.rows(), "created_at", "id", limit, offset)
@@ -46,15 +52,20 @@ class History:
     def get(self, analysis_id: str) -> DataFrame:
         return self.rows().filter(F.col("id") == analysis_id)
 
+    def save_if_possible(self, analyses: DataFrame) -> str | None:
+        """`save`, for callers whose results matter more than their record: what went wrong, or null."""
+        try:
+            self.save(analyses)
+        except (AnalysisException, SparkRuntimeException, Py4JJavaError) as e:
+            return f"{type(e).__name__}: {e}"[:300]
+        return None
+
     def delete(self, analysis_id: str) -> bool:
-        """False if there is no such row. Only the row's own day is written anew."""
-        days = [r.day for r in self.get(analysis_id).select("day").distinct().limit(2).collect()]
-        for day in days:
-            left = self.rows().filter((F.col("day") == day) & (F.col("id") != analysis_id)).drop("day")
-            folder = f"{self.path}/day={day}"
-            left.write.mode("overwrite").parquet(f"{self.path}/_rewrite")
-            self.spark.read.schema(left.schema).parquet(f"{self.path}/_rewrite").write.mode("overwrite").parquet(folder)
-        return bool(days)
+        """False if there is no such row. Appends a tombstone that readers leave the row out by; no file is rewritten, so callers don't meet."""
+        if self.get(analysis_id).isEmpty():
+            return False
+        self.spark.range(1).select(F.lit(analysis_id).alias("id"), F.current_timestamp().alias("deleted_at")).write.mode("append").parquet(f"{self.path}/deleted")
+        return True
 
     def repeats(self) -> DataFrame:
         return self.rows().groupBy("content_hash").agg(F.count("*").alias("n")).filter("n > 1")

@@ -95,20 +95,25 @@ def breaker_trace(events: DataFrame, most: int = 4, cooldown_s: float = 60.0, ke
 
 
 def _walked(events: DataFrame, key: str, start, columns: str) -> DataFrame:
-    """A key's events in order past a state that `start` makes; rows stream by in Arrow batches, so a large key needs no more memory than a small one."""
+    """A key's events in order past a state that `start` makes; rows stream by in Arrow batches, so a large key needs no more memory than a small one.
+
+    Keys travel as text, "k" before the value and "n" for null, so that a null key is one key like any other and no number loses digits.
+    """
     kind = events.schema[key].dataType.simpleString()
-    rows = events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    schema = f"event_id long, {key} {kind}, ts {events.schema['ts'].dataType.simpleString()}, {columns}"
+    named = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))
+    rows = events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn(key, named)
+    schema = f"event_id long, {key} string, ts {events.schema['ts'].dataType.simpleString()}, {columns}"
 
     def partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         feed, last = None, None
         for pdf in batches:
-            for k, part in pdf.groupby(key, sort=False, dropna=False):
-                if feed is None or k != last:
+            for k, part in pdf.groupby(key, sort=False):
+                if k != last:
                     feed, last = start(), k
                 yield feed(part)
 
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, "ts", "event_id").mapInPandas(partition, schema)
+    walked = rows.repartition(F.col(key)).sortWithinPartitions(key, "ts", "event_id").mapInPandas(partition, schema)
+    return walked.withColumn(key, F.when(F.col(key) != "n", F.substr(key, F.lit(2))).cast(kind))
 
 
 class LimiterProcessor(StatefulProcessor):

@@ -94,6 +94,49 @@ def test_limiter_and_breaker_against_loops(spark):
     assert got == want and trace == blocked and not all(want.values()) and any(blocked.values())
 
 
+def test_null_key_is_one_key(spark):
+    """Whatever the Arrow batches: 200 events of a null key, of which 5 may pass, and the same for a large number."""
+    base, big = datetime(2024, 1, 1), 2**62 + 1
+    rows = [(i, None if i % 2 else big, base + timedelta(milliseconds=i), False) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, key long, ts timestamp, ok boolean")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        allowed = [r.key for r in stateful.rate_limited(df, 5, 60.0).filter("allowed").collect()]
+        passed = [r.key for r in stateful.breaker_trace(df, 3, 60.0).filter("not blocked").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert allowed.count(None) == allowed.count(big) == 5 and passed.count(None) == passed.count(big) == 3
+
+
+def test_batch_job(spark, tmp_path):
+    import json
+    from pathlib import Path
+
+    from quillspark.plans import batch
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Mira Solano\nmira@example.com\n\nEXPERIENCE\nEngineer | Pine Labs | Jan 2016 - Apr 2020\n- Rebuilt the ledger in Go for 24 teams of the firm\n\nSKILLS\nGo, SQL")
+    (tmp_path / "in" / "b.txt").write_text("  ")
+    (tmp_path / "job.txt").write_text("Backend Engineer\n\nRequirements\n- 3+ years of experience\n- Go and Kafka")
+    out = tmp_path / "out"
+    assert batch.run(spark, str(tmp_path / "in"), str(out), str(tmp_path / "job.txt")) == 1
+    lines = lambda name: [x for p in sorted(Path(out, name).glob("part-*")) for x in p.read_text().splitlines()]
+    found = [json.loads(x) for x in lines("results")]
+    assert len(found) == 1 and found[0]["path"].endswith("a.txt") and set(found[0]["dimensions"]) == {"match", "ats", "content", "structure"}
+    assert any(r["signal_id"] == "match.required_skills" and r["evidence"] == ["Kafka"] for r in found[0]["recommendations"])
+    text = lines("report")
+    assert text[1].startswith("Overall ") and sum(x.startswith(tuple(f"{i}. [" for i in range(1, 9))) for x in text) == 6
+    assert [json.loads(x)["code"] for x in lines("errors")] == ["empty_document"]
+
+
+def test_save_if_possible(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    store = History(spark, str(tmp_path / "file" / "h"))
+    empty = spark.createDataFrame([], History(spark, str(tmp_path / "none")).rows().drop("day").schema)
+    assert "Exception" in store.save_if_possible(empty.unionByName(spark.createDataFrame([("i", datetime(2024, 1, 1), *[None] * 15)], empty.schema)))
+
+
 def test_stream_equals_table(spark, tmp_path):
     rows, df = events(spark, 120)
     src = str(tmp_path / "in")
