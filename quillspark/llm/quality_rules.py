@@ -3,9 +3,12 @@
 A first pass measures every whole text. Each measure then goes into a deterministic log-linear
 histogram sketch (32 buckets a power of two, so a quantile is off by at most 1/32 of its value):
 the sketch of a group is a count for each bucket, and sketches merge by adding counts, within a
-task, between tasks and between runs. Limits are fences around the quartiles of the group; a group
-of fewer than `least_rows` documents takes those of its language, and that of all documents
-after it. The limits are joined back to the documents, and a document outside any of them goes.
+task, between tasks and between runs. From a group's sketch come the first and last tenth and the
+median of each measure. They count as much as the group has documents: n of them weigh n to
+HALF_WEIGHT against those of the language, which are weighed the same way against those of all
+documents. A limit lies REACH times the distance between median and last (first) tenth beyond the last (first) tenth,
+and a text may exceed it by what chance does in a text of its length (`Rule.allowance`: some items and a
+multiple of the root of the length, no fixed share). The limits are joined back, and a document outside any of them goes.
 
 Defined results: null text has no words and fails the base rule; null lang or source are groups of
 their own; a text of any length is measured whole; repeated rows are judged separately; an empty
@@ -22,31 +25,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialized, table
+from quillspark.llm.common import materialized, small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\v\f\r"
 _MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
+#: Documents of a group at which its own quantiles count half, and how far beyond the tenths a limit lies, in their distance from the median.
+HALF_WEIGHT, REACH = 200, 2
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A ratio in thousandths, its fence in interquartile ranges, and the least spread that counts."""
+    """A ratio in thousandths; allowance: what a text of its length may exceed a limit by (SQL over the measures)."""
 
     name: str
     over: str
     per: str
-    fences: float
-    least_spread: int
+    allowance: str
     both_sides: bool = False
 
 
 RULES = (
-    Rule("word_length", "word_chars", "n_words", 4, 500, both_sides=True),
-    Rule("symbols", "n_symbols", "n_words", 4, 50),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 4, 150),
-    Rule("repeats", "n_repeat_words", "n_words", 4, 75),
+    Rule("word_length", "word_chars", "n_words", "1e4 / sqrt(n_words)", both_sides=True),
+    Rule("symbols", "n_symbols", "n_words", "(5e0 + 2e0 * sqrt(n_words)) * 1e3 / n_words"),
+    Rule("dup_lines", "n_dup_lines", "n_lines", "(2e0 + sqrt(n_lines)) * 1e3 / n_lines"),
+    Rule("repeats", "n_repeat_words", "n_words", "(5e0 + 2e0 * sqrt(n_words)) * 1e3 / n_words"),
 )
+_TENTHS = {"q1": 1, "q5": 5, "q9": 9}
 
 
 def measure_text(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -81,7 +88,7 @@ def measure(documents: DataFrame) -> DataFrame:
             got = pd.DataFrame([measure_text(t) for t in pdf["text"]], columns=[c.split()[0] for c in _MEASURED.split(", ")], dtype="int64")
             yield pd.concat([pdf[["doc_id", "lang", "source"]].reset_index(drop=True), got], axis=1)
 
-    return documents.select("doc_id", "lang", "source", "text").mapInPandas(scan, f"doc_id long, lang string, source string, {_MEASURED}")
+    return small_batches(documents.select("doc_id", "lang", "source", "text")).mapInPandas(scan, f"doc_id long, lang string, source string, {_MEASURED}")
 
 
 def _bucket(value: Column) -> Column:
@@ -112,50 +119,44 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
 
 
-def limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_docs and low/high limits by rule, from the quartiles of each group's merged sketch."""
+def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, and by rule a struct of n (documents) and the first tenth, the median and the last tenth of each group's merged sketch."""
     w = Window.partitionBy(*keys, "rule").orderBy("bucket")
     whole = Window.partitionBy(*keys, "rule")
     ranked = merge_sketches(sketches, keys).select(
         *keys, "rule", "bucket", F.sum("n").over(w).alias("upto"), F.sum("n").over(whole).alias("total"))
+    tenths = [_edge(F.min(F.when(F.col("upto") * 10 >= F.col("total") * t, F.col("bucket")))).cast("double").alias(q) for q, t in _TENTHS.items()]
+    found = ranked.groupBy(*keys, "rule").agg(F.max("total").alias("n"), *tenths)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("rule") == r.name, F.struct("n", *_TENTHS))).alias(r.name) for r in RULES])
 
-    def quartile(q: int) -> Column:
-        return _edge(F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket"))))
 
-    quartiles = ranked.groupBy(*keys, "rule").agg(F.max("total").alias("total"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    columns = [F.max("total").alias("n_docs")]
-    for r in RULES:
-        reach = F.lit(r.fences) * F.greatest(F.col("q3") - F.col("q1"), F.lit(r.least_spread))
-        mine = F.col("rule") == r.name
-        columns.append(F.max(F.when(mine, F.col("q3") + reach)).alias(f"high_{r.name}"))
-        if r.both_sides:
-            columns.append(F.max(F.when(mine, F.col("q1") - reach)).alias(f"low_{r.name}"))
-    return quartiles.groupBy(*keys).agg(*columns)
+def weighed(own: Column, wider: Column) -> Column:
+    """A group's quantiles drawn to the wider group's, the more the fewer documents it has."""
+    w = own["n"] / (own["n"] + F.lit(float(HALF_WEIGHT)))
+    return F.struct(*[(w * own[q] + (F.lit(1.0) - w) * wider[q]).alias(q) for q in _TENTHS])
 
 
-def judge(measured: DataFrame, least_rows: int = 200) -> DataFrame:
+def judge(measured: DataFrame) -> DataFrame:
     """The measures plus base_failed, kept and `broken` (names of the rules a document breaks)."""
     groups = materialized(sketch(measured), "quality-sketch")
-    names = [c for r in RULES for c in ([f"high_{r.name}", f"low_{r.name}"] if r.both_sides else [f"high_{r.name}"])]
+    names = [r.name for r in RULES]
 
     def level(keys: list[str], suffix: str) -> DataFrame:
-        return limits(groups, keys).select(
-            *[F.col(k).alias(f"__{k}{suffix}") for k in keys], F.struct("n_docs", *names).alias(f"__limits{suffix}"))
+        return quantiles(groups, keys).select(*[F.col(k).alias(f"__{k}{suffix}") for k in keys], F.struct(*names).alias(f"__q{suffix}"))
 
     both, lang, every = level(["lang", "source"], "0"), level(["lang"], "1"), level([], "2")
     # all limits of a (lang, source) pair in one row, so that the documents are joined once
-    chosen = (
-        both.join(lang, F.col("__lang0").eqNullSafe(F.col("__lang1")), "left").crossJoin(every)
-        .select("__lang0", "__source0", F.when(F.col("__limits0.n_docs") >= least_rows, F.col("__limits0"))
-                .when(F.col("__limits1.n_docs") >= least_rows, F.col("__limits1")).otherwise(F.col("__limits2")).alias("__l"))
-    )
+    chosen = both.join(lang, F.col("__lang0").eqNullSafe(F.col("__lang1"))).crossJoin(every)  # `every` is one row
+    chosen = chosen.select("__lang0", "__source0", *[weighed(F.col(f"__q1.{r}"), F.col(f"__q2.{r}")).alias(f"__w_{r}") for r in names], "__q0")
+    chosen = chosen.select("__lang0", "__source0", F.struct(*[weighed(F.col(f"__q0.{r}"), F.col(f"__w_{r}")).alias(r) for r in names]).alias("__l"))
     joined = measured.join(chosen, F.col("lang").eqNullSafe(F.col("__lang0")) & F.col("source").eqNullSafe(F.col("__source0")), "left")
     broken = []
     for r in RULES:
-        value = F.expr(f"{r.over} * 1000 div nullif({r.per}, 0)")
-        out = value > F.col(f"__l.high_{r.name}")
+        value, allowed = F.expr(f"{r.over} * 1000 div nullif({r.per}, 0)"), F.expr(f"CASE WHEN {r.per} > 0 THEN {r.allowance} END")
+        first, mid, last = (F.col(f"__l.{r.name}.{q}") for q in _TENTHS)
+        out = value > last + REACH * (last - mid) + allowed
         if r.both_sides:
-            out = out | (value < F.col(f"__l.low_{r.name}"))
+            out = out | (value < first - REACH * (mid - first) - allowed)
         broken.append(F.when(out, F.lit(r.name)))
     base_failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return joined.withColumn("base_failed", base_failed).withColumn("broken", F.concat_ws(",", *broken)).withColumn(
@@ -163,9 +164,9 @@ def judge(measured: DataFrame, least_rows: int = 200) -> DataFrame:
     ).drop("__lang0", "__source0", "__l")
 
 
-def filter_quality(documents: DataFrame, least_rows: int = 200) -> DataFrame:
-    """The documents that pass, with all their columns; doc_id has to be unique."""
-    passed = judge(materialized(measure(documents), "quality-measures"), least_rows).filter("kept").select("doc_id")
+def filter_quality(documents: DataFrame) -> DataFrame:
+    """The documents that pass, with all their columns; of a doc_id that comes several times all rows stay if one of them passes."""
+    passed = judge(materialized(measure(documents), "quality-measures")).filter("kept").select("doc_id")
     return documents.join(passed, "doc_id", "left_semi")
 
 
@@ -181,13 +182,17 @@ def _sql_ratio(r: Rule, per: str) -> str:
 
 def _sql_level(keys: str, name: str) -> str:
     by = f"{keys}, " if keys else ""
+    tenths = ", ".join(f"(min(edge) FILTER (WHERE upto * 10 >= total * {t}))::DOUBLE AS {q}" for q, t in _TENTHS.items())
     return f"""{name} AS (
-  SELECT {by}rule, max(total) AS total,
-    min(edge) FILTER (WHERE upto * 4 >= total) AS q1, min(edge) FILTER (WHERE upto * 4 >= total * 3) AS q3
-  FROM (SELECT {by}rule, edge, sum(n) OVER (PARTITION BY {by}rule ORDER BY edge) AS upto, sum(n) OVER (PARTITION BY {by}rule) AS total
+  SELECT {by}rule, max(total) AS n, max(total) / (max(total) + {HALF_WEIGHT}e0) AS w, {tenths}
+  FROM (SELECT {by}rule, edge, sum(n) OVER (PARTITION BY {by}rule ORDER BY edge) AS upto, sum(n) OVER (PARTITION BY {by}rule)::DOUBLE AS total
     FROM (SELECT {by}rule, edge, count(*) AS n FROM ratios GROUP BY ALL)) GROUP BY ALL)"""
 
 
+def _sql_weighed(q: str) -> str:
+    return f"l0.w * l0.{q} + (1e0 - l0.w) * (l1.w * l1.{q} + (1e0 - l1.w) * l2.{q}) AS {q}"
+
+
 #: DuckDB SQL for op3. A bucket's least value stands for the bucket.
 OP3_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -212,12 +217,10 @@ m AS (
     f"SELECT lang, source, '{r.name}' AS rule, {_sql_ratio(r, r.per)} AS v FROM m WHERE n_words > 0" for r in RULES) + r"""
   )), """ + ",\n".join((_sql_level("lang, source", "l0"), _sql_level("lang", "l1"), _sql_level("", "l2"))) + r""",
 judged AS (
-  SELECT m.rid, r.rule, r.v,
-    CASE WHEN l0.total >= 200 THEN l0.q1 WHEN l1.total >= 200 THEN l1.q1 ELSE l2.q1 END AS q1,
-    CASE WHEN l0.total >= 200 THEN l0.q3 WHEN l1.total >= 200 THEN l1.q3 ELSE l2.q3 END AS q3
+  SELECT m.rid, r.rule, r.v, r.allowed, """ + ", ".join(map(_sql_weighed, _TENTHS)) + r"""
   FROM m JOIN (
     """ + "\n    UNION ALL ".join(
-    f"SELECT rid, '{r.name}' AS rule, {_sql_ratio(r, r.per)} AS v FROM m WHERE n_words > 0" for r in RULES) + r"""
+    f"SELECT rid, '{r.name}' AS rule, {_sql_ratio(r, r.per)} AS v, {r.allowance} AS allowed FROM m WHERE n_words > 0" for r in RULES) + r"""
   ) r ON m.rid = r.rid
   JOIN l0 ON l0.rule = r.rule AND l0.lang IS NOT DISTINCT FROM m.lang AND l0.source IS NOT DISTINCT FROM m.source
   JOIN l1 ON l1.rule = r.rule AND l1.lang IS NOT DISTINCT FROM m.lang
@@ -226,8 +229,7 @@ judged AS (
   SELECT rid, string_agg(rule, ',' ORDER BY CASE rule """ + " ".join(f"WHEN '{r.name}' THEN {i}" for i, r in enumerate(RULES)) + r""" END) AS rules
   FROM judged WHERE CASE rule
     """ + "\n    ".join(
-    f"WHEN '{r.name}' THEN v > q3 + {r.fences} * greatest(q3 - q1, {r.least_spread})"
-    + (f" OR v < q1 - {r.fences} * greatest(q3 - q1, {r.least_spread})" if r.both_sides else "") for r in RULES) + r""" END
+    f"WHEN '{r.name}' THEN v > q9 + {REACH} * (q9 - q5) + allowed" + (f" OR v < q1 - {REACH} * (q5 - q1) - allowed" if r.both_sides else "") for r in RULES) + r""" END
   GROUP BY rid
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
