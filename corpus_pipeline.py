@@ -3,6 +3,11 @@
 Part of the quillspark.llm subpackage. Every stage takes (spark, docs, sf_dir); all but the last
 return the columns of `documents`. SQL can express neither the language models nor the redaction,
 so there is no SQL for the whole; tests/llm holds the stages against brute force on a small table.
+
+Defined results: null, empty and letterless texts go in the first stage, as do texts of no known language and, if no row has a language, all;
+texts of any length are read whole; of texts that tie as near duplicates the smallest doc_id stays, and of a doc_id that comes several times
+all rows stay or go together in that stage; rows with null lang or source are kept like others; an empty table gives no rows; other columns are kept up to the
+last stage, but for those whose names an operator's result has.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import LOWER_TO_SPACE, materialized, table
+from quillspark.llm.common import LOWER_TO_SPACE, materialized, small_batches, table
 
 WINDOW = 13
 _RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -47,7 +47,7 @@ def word_frequencies(documents: DataFrame, vocabulary: set[bytes]) -> Counter:
                 found.update(vocabulary.intersection(words_of(text)))
         yield pd.DataFrame({"word": list(found), "n": list(found.values())}).astype({"word": object, "n": "int64"})
 
-    rows = documents.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = small_batches(documents.select("text")).mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return Counter({bytes(r.word): r.n for r in rows.toLocalIterator()})
 
 
@@ -109,7 +109,7 @@ def _by_broadcast(documents: DataFrame, benchmark: DataFrame, window: int) -> Da
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    return documents.select("doc_id", "text").mapInPandas(judge, _RESULT)
+    return small_batches(documents.select("doc_id", "text")).mapInPandas(judge, _RESULT)
 
 
 def _word_array(text: Column) -> Column:

@@ -8,7 +8,8 @@ Atoms far from any digit or at-sign can only be "none", so leaving them out chan
 The weights maximise the conditional likelihood of generated, labelled sentences.
 
 Defined results: null text is empty text and has no span; offsets are code points, end
-exclusive; texts of any length are read whole; repeated rows are separate; an empty table gives
+exclusive; spans that start together stand in the order of the kinds, secrets last, and of equally good segmentations the one with
+fewer spans is taken; texts of any length are read whole; repeated rows are separate; an empty table gives
 no rows; other columns are dropped by `find_pii` and kept by `redact_pii`.
 """
 
@@ -26,10 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import small_batches, table
 
+#: Kinds with a base pattern; the model also finds secrets (keys and tokens that a text assigns to a name).
 KINDS = ("email", "ip", "card", "phone")
-_RANK = {k: i for i, k in enumerate(KINDS)}
+_RANK = {k: i for i, k in enumerate((*KINDS, "secret"))}
 MAX_ATOMS = 24
 
 # ---------------------------------------------------------------- base patterns
@@ -90,8 +92,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # ---------------------------------------------------------------- semi-Markov model
 
-#: An atom: letters, digits, or one other visible character. Runs are cut so that an entity stays bounded.
-_ATOM = re.compile(r"[^\W\d_]{1,64}|[0-9]{1,24}|[^\w\s]|_")
+#: 20 to 64 letters and digits, both among them.
+_KEY = r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,63}[0-9])(?=[0-9]{0,63}[A-Za-z])[A-Za-z0-9]{20,64}(?![A-Za-z0-9])"
+#: An atom: what may be a key, letters, digits, or one other visible character. Runs are cut so that an entity stays bounded.
+_ATOM = re.compile(_KEY + r"|[^\W\d_]{1,64}|[0-9]{1,24}|[^\w\s]|_")
 #: Stretches of text that can hold an entity: what surrounds a digit or an at-sign (also a written one).
 _ANCHOR = re.compile(r"[0-9]|@|[\[(]\s?at\s?[\])]", re.IGNORECASE)
 _NEAR = 60
@@ -101,6 +105,7 @@ _OUTLINE = {
     "ip": re.compile(r"[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9](?:[ .-]?[0-9]){13,18}"),
     "phone": re.compile(r"(?:\+|00)?\(?[0-9](?:[ ().-]{0,2}[0-9]){8,14}"),
+    "secret": re.compile(_KEY),
 }
 
 
@@ -125,6 +130,9 @@ def _features(text: str, start: int, end: int, kind: str) -> list[str]:
         f.append("lead=" + ("+" if span[0] == "+" else "(" if span[0] == "(" else "00" if span[:2] == "00" else "digit"))
         f.append("groups=" + (",".join(map(str, groups[:6]))))
         f.append("balanced=" + str(span.count("(") == span.count(")")))
+    elif kind == "secret":
+        f.append("hex=" + str(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", span) is not None))
+        f.append("assigned=" + str(re.search(r"[=:]\s*[\"']?$", before) is not None))
     elif kind == "ip":
         f.append("bytes=" + str(all(g.isdigit() and int(g) <= 255 for g in re.findall(r"[0-9]+", span))))
     else:
@@ -134,7 +142,7 @@ def _features(text: str, start: int, end: int, kind: str) -> list[str]:
     return [f"{kind}|{x}" for x in f]
 
 
-_CUES = frozenset("phone tel call mobile fax contact card visa mastercard credit debit ip address host server mail email version order ref invoice id no number isbn serial part code".split())
+_CUES = frozenset("phone tel call mobile fax contact card visa mastercard credit debit ip address host server mail email version order ref invoice id no number isbn serial part code token secret key password apikey auth commit hash sha".split())
 
 
 def _stretches(text: str) -> list[tuple[int, int]]:
@@ -155,7 +163,7 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list
     found = []
     for i, (s, _) in enumerate(atoms):
         for kind, outline in _OUTLINE.items():
-            if kind != "email" and text[s] not in "+(0123456789" or not (m := outline.match(text, s, hi)):
+            if kind in ("ip", "card", "phone") and text[s] not in "+(0123456789" or not (m := outline.match(text, s, hi)):
                 continue
             # the match is the longest; every shorter reading that ends with an atom is proposed too
             for j in range(i + 1, min(i + MAX_ATOMS, len(atoms)) + 1):
@@ -262,6 +270,10 @@ def training_sentences(count: int = 900, seed: int = 7) -> list[tuple[str, list[
     def ip() -> str:
         return rnd.choice((".", ".", "[.]")).join(str(rnd.randrange(256)) for _ in range(4))
 
+    def key() -> str:
+        letters = rnd.choice(("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"))
+        return "a1" + "".join(rnd.choice(letters) for _ in range(rnd.choice((22, 30, 38, 38, 46)))) if letters[-1] == "Z" else "".join(rnd.choice(letters) for _ in range(rnd.choice((32, 40, 40, 64))))
+
     lookalike = [
         lambda: f"{digit(4)}-{digit(2)}-{digit(2)}", lambda: f"{digit(2)}:{digit(2)}", lambda: card(False),
         lambda: ".".join(str(rnd.randrange(300, 999)) for _ in range(4)), lambda: digit(rnd.randrange(1, 13)),
@@ -273,11 +285,13 @@ def training_sentences(count: int = 900, seed: int = 7) -> list[tuple[str, list[
     for _ in range(count):
         text, gold = " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 6))), []
         for _ in range(rnd.randrange(1, 4)):
-            kind = rnd.choice((*KINDS, None, None))
-            cue = rnd.choice(("", "", "", "call ", "tel: ", "card ", "host ", "mail ")) if kind else rnd.choice(("", "", "order ", "version ", "id ", "isbn ", "ref "))
+            kind = rnd.choice((*_RANK, None, None))
+            cue = rnd.choice(("", "", "", "call ", "tel: ", "card ", "host ", "mail ")) if kind else rnd.choice(("", "", "order ", "version ", "id ", "isbn ", "ref ", "commit ", "hash "))
+            if kind == "secret":
+                cue = rnd.choice(("token", "secret", "api_key", "key", "password", "auth")) + rnd.choice((" = \"", "=", ": ", "='", " "))
             text += " " + cue
             if kind:
-                value = {"email": mail, "ip": ip, "card": lambda: card(True), "phone": phone}[kind]()
+                value = {"email": mail, "ip": ip, "card": lambda: card(True), "phone": phone, "secret": key}[kind]()
                 gold.append((len(text), len(text) + len(value), kind))
             else:
                 value = rnd.choice(lookalike)()
@@ -308,7 +322,7 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def find_pii(documents: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, counts and digest of the base spans, and all spans as kind:start:end."""
+    """doc_id, counts and digest of the base spans, and all spans as kind:start:end with their number."""
     weights = weights or default_model().weights
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,15 +332,15 @@ def find_pii(documents: DataFrame, weights: dict[str, float] | None = None) -> D
             for text in pdf["text"]:
                 base, spans = all_spans(text or "", model)
                 kinds = [k for _, _, k in base]
-                rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans)))
+            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
     # Only texts with a digit or an at-sign, or a written one, can hold a span; Python sees those alone.
     held = F.col("text").rlike(r"(?i)[0-9@]|[\[(]\s?at\s?[\])]")
-    rows = documents.select("doc_id", F.when(held, F.col("text")).alias("text"))
-    return rows.mapInPandas(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    rows = small_batches(documents.select("doc_id", F.when(held, F.col("text")).alias("text")))
+    return rows.mapInPandas(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(text: str, model: SemiMarkovCRF) -> str:
@@ -350,7 +364,7 @@ def redact_pii(documents: DataFrame, weights: dict[str, float] | None = None) ->
         for series in texts:
             yield series.map(lambda t: None if t is None else redact(t, model))
 
-    done = documents.withColumn("text", clean("text"))
+    done = small_batches(documents).withColumn("text", clean("text"))
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return done.select(*names)

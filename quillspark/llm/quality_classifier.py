@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_sample, labelled_fold, table
+from quillspark.llm.common import bounded_sample, labelled_fold, small_batches, table
 
 PIECE = 1_024
 LEVEL = 3
@@ -131,7 +131,7 @@ def score_quality(documents: DataFrame, model: CompressionModel, good_from: floa
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score, "predicted": (score >= good_from).astype(np.int32),
                                 "bytes": sizes[:, 0], "bytes_good": sizes[:, 1], "bytes_bad": sizes[:, 2]})
 
-    return documents.select("doc_id", "text").mapInPandas(
+    return small_batches(documents.select("doc_id", "text")).mapInPandas(
         scan, "doc_id long, score double, predicted int, bytes long, bytes_good long, bytes_bad long")
 
 

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_sample, labelled_fold, table
+from quillspark.llm.common import bounded_sample, labelled_fold, small_batches, table
 
 SIZES = (3, 4, 5, 6)
 _EDGE_OPEN, _EDGE_CLOSE = 2, 3
@@ -299,7 +299,7 @@ def score_toxicity(documents: DataFrame, model: SubwordModel | None, toxic_from:
             score = scorer.scores(list(pdf["text"]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score, "predicted": (score >= toxic_from).astype(np.int32)})
 
-    return documents.select("doc_id", "text").mapInPandas(scan, "doc_id long, score double, predicted int")
+    return small_batches(documents.select("doc_id", "text")).mapInPandas(scan, "doc_id long, score double, predicted int")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,20 +54,14 @@ def validity_intervals(events: DataFrame) -> DataFrame:
 
 def judge_hosts(visits: DataFrame, intervals: DataFrame) -> DataFrame:
     """host, fetched_on, n_active, lists, blocked of those (host, fetched_on) that an entry was active for."""
-    by_domain = intervals.groupBy("domain").agg(F.collect_set(
-        F.struct("list", "action", "valid_from", "valid_to")).alias("spans"))
-    looked_up = (
-        visits.filter(F.col("host").isNotNull() & F.col("fetched_on").isNotNull()).select("host", "fetched_on").distinct()
-        .select("host", "fetched_on", F.posexplode(domains_of(F.col("host"))).alias("depth", "domain"))
-        .join(by_domain, "domain")
-        .select("host", "fetched_on", "depth", F.filter("spans", lambda s: (s["valid_from"] <= F.col("fetched_on")) & (
-            s["valid_to"].isNull() | (F.col("fetched_on") < s["valid_to"]))).alias("on"))
-        .filter(F.size("on") > 0)
-    )
-    return looked_up.groupBy("host", "fetched_on").agg(
-        F.sum(F.size("on")).cast("long").alias("n_active"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("on", lambda s: s["list"]))))), ",").alias("lists"),
-        (~F.min_by(F.exists("on", lambda s: s["action"] == "allow"), "depth")).alias("blocked"))
+    looked_up = visits.filter(F.col("host").isNotNull() & F.col("fetched_on").isNotNull()).select("host", "fetched_on").distinct().select(
+        "host", "fetched_on", F.posexplode(domains_of(F.col("host"))).alias("depth", "domain"))
+    active = looked_up.join(intervals.distinct(), "domain").filter(
+        (F.col("valid_from") <= F.col("fetched_on")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to"))))
+    first = F.min(F.struct("depth", (F.col("action") != "allow").alias("blocked")))  # the most specific; of those, allow
+    return active.groupBy("host", "fetched_on").agg(
+        F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), first.alias("first")
+    ).select("host", "fetched_on", "n_active", "lists", "first.blocked")
 
 
 def filter_captures(captures: DataFrame, intervals: DataFrame) -> DataFrame:

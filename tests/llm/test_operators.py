@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -131,6 +132,35 @@ def test_pii_beside_other_digits(text, want):
     assert [text[s:e] for s, e, _ in pii.all_spans(text, pii.default_model())[1]] == want
 
 
+def test_pii_secrets():
+    m = pii.default_model()
+    spans = lambda t: [(t[s:e], k) for s, e, k in pii.all_spans(t, m)[1]]
+    key = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    for text in (f'le token = "{key}" la', f"api_key: {key.upper()}!!", f"secret={key[:32]}"):
+        assert [k for _, k in spans(text)] == ["secret"] and spans(text)[0][0].lower() in key
+    assert spans(f"commit {key} fixed it") == [] and spans("donaudampfschifffahrtsgesellschaft") == []
+
+
+def test_pii_segmentation_against_enumeration():
+    """The program's segmentation scores as high as the best of all sets of disjoint candidates."""
+    m, tried = pii.default_model(), 0
+    for text, _ in pii.training_sentences(400, seed=77):
+        for lo, hi in pii._stretches(text):
+            atoms, segs = pii.candidates(text, lo, hi)
+            if not 0 < len(segs) <= 14:
+                continue
+            tried += 1
+            scored = [(m.score(text, g), g) for g in segs]
+            best = 0.0
+            for bits in range(1 << len(segs)):
+                chosen = sorted((scored[i][1][0], scored[i][1][1], scored[i][0]) for i in range(len(segs)) if bits >> i & 1)
+                if all(a[1] <= b[0] for a, b in zip(chosen, chosen[1:])):
+                    best = max(best, sum(c[2] for c in chosen))
+            got = {s for s in m.decode(text) if lo <= s[0] < hi}
+            assert abs(sum(x for x, g in scored if (g[3], g[4], g[2]) in got) - best) < 1e-9
+    assert tried > 30
+
+
 def test_pii_proposes_every_reading():
     rnd = random.Random(4)
     for _ in range(300):
@@ -151,7 +181,7 @@ def test_pii_long_runs_are_linear():
 def test_quality_sketch_merges_and_odd_rows(spark, odd):
     m = quality_rules.measure(odd)
     assert m.count() == 9
-    out = quality_rules.judge(m, least_rows=1).collect()
+    out = quality_rules.judge(m).collect()
     assert len(out) == 9 and not any(r.kept for r in out if r.n_words < 50)
     whole = quality_rules.sketch(m)
     parts = quality_rules.sketch(m.filter("doc_id < 5")).unionByName(quality_rules.sketch(m.filter("doc_id >= 5")))
@@ -162,6 +192,22 @@ def test_quality_sketch_merges_and_odd_rows(spark, odd):
     assert quality_rules.filter_quality(odd.filter("doc_id = 2")).count() == 0
 
 
+def test_quality_limits_adapt_without_a_jump(spark):
+    """The same texts, among many with symbols and among few; and a group of 199, then 200 and 201 documents."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8)))
+    text = lambda symbols: " ".join([word() for _ in range(400)] + ["#"] * symbols)
+    rows = [(i, text(rnd.randrange(60, 140)), "en", "code") for i in range(200)] + [(1_000 + i, text(0), "en", "news") for i in range(200)]
+    rows += [(5_001, text(250), "en", "code"), (5_002, text(250), "en", "news")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: (r.kept, r.broken) for r in quality_rules.judge(quality_rules.measure(df)).collect()}
+    assert kept[5_001][0] and kept[5_002] == (False, "symbols") and all(k for i, (k, _) in kept.items() if i < 5_000)
+    for n in (199, 200, 201):
+        some = df.filter(f"doc_id < {n} or doc_id >= 1000")
+        again = {r.doc_id: r.kept for r in quality_rules.judge(quality_rules.measure(some)).collect()}
+        assert all(again[i] == kept[i][0] for i in again)
+
+
 def test_quality_edges_are_exact(spark):
     df = spark.range(0, 5000).select(F.col("id").alias("v"), quality_rules._edge(quality_rules._bucket(F.col("id"))).alias("e"))
     assert df.filter("e > v or (v - e) * 32 > v").count() == 0
@@ -170,8 +216,13 @@ def test_quality_edges_are_exact(spark):
 # ---------------------------------------------------------------- 4, 6
 
 def held_out(spark, sf_dir, found, label):
+    """Share of right predictions on held-out rows; it has to beat the commoner class, and scores have to be calibrated."""
     rows = found.filter("held_out").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").select("score", "predicted", label).collect()
-    return sum(r.predicted == r[label] for r in rows) / len(rows)
+    right, share = sum(r.predicted == r[label] for r in rows) / len(rows), sum(r[label] for r in rows) / len(rows)
+    loss = -sum(math.log(min(1 - 1e-6, max(1e-6, r.score if r[label] else 1 - r.score))) for r in rows) / len(rows)
+    base = -share * math.log(share) - (1 - share) * math.log(1 - share)
+    assert right > max(share, 1 - share) and loss < 0.7 * base and abs(sum(r.score for r in rows) / len(rows) - share) < 0.06, (right, share, loss, base)
+    return right
 
 
 def test_quality_classifier(spark, odd):
@@ -183,6 +234,48 @@ def test_quality_classifier(spark, odd):
     assert quality_classifier.fit_quality(odd, labels.limit(0)).prior == 0.5
 
 
+def test_quality_scores_against_scalars():
+    import numpy as np
+    import zstandard
+
+    rnd = random.Random(2)
+    text = lambda words, n: " ".join(rnd.choice(words) for _ in range(n))
+    good, bad = [text("alpha beta gamma delta".split(), 200) for _ in range(40)], [text("xx yy zz qq".split(), 200) for _ in range(40)]
+    dictionaries = [zstandard.train_dictionary(2_048, [x.encode()[i:i + 200] for x in texts for i in range(0, 1_000, 200)]).as_bytes() for texts in (good, bad)]
+    model = quality_classifier.CompressionModel(*dictionaries, np.array([0.1, 2.0, -0.3, 0.4, -0.2]), 0.5)
+    for t in (good[0], bad[0], "short", "é" * 3_000):
+        data, size = t.encode(), []
+        for d in dictionaries:
+            c = zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size.append(sum(len(c.compress(data[i:i + 1024])) - len(c.compress(b"")) for i in range(0, len(data), 1024)))
+        assert quality_classifier.compressed_sizes(t, model.compressors()) == (len(data), max(0, size[0]), max(0, size[1]))
+        sure = len(data) / (len(data) + 100)
+        d = 10 * (size[1] - size[0]) / max(*size, 1) * sure
+        r = 4 * (min(size) / len(data) - 0.4) * sure
+        z = sum(w * x for w, x in zip(model.weights, (1, d, d * r, r, r * r)))
+        got = float(quality_classifier._features(np.array([[len(data), *size]]))[0] @ model.weights)
+        assert abs(got - z) < 1e-9
+
+
+def test_toxicity_logits_against_a_loop_over_ngrams():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    model = toxicity.SubwordModel(rnd.normal(size=1 << 10), 0.25)
+    wrap = (1 << 64) - 1
+    prime, mix = int(toxicity._PRIME), int(toxicity._MIX)
+    for word in ("a", "dimwit", "blöd日本", "x" * 90):
+        marked = [2, *map(ord, word), 3]
+        ids = []
+        for n in toxicity.SIZES:
+            for end in range(n - 1, len(marked)):
+                h = sum((marked[end - k + 1] + k) * pow(prime, k, 1 << 64) for k in range(1, n + 1)) & wrap
+                ids.append((h * mix + n) & wrap)
+        ids.append(sum((c + 7) * pow(prime, i % 61, 1 << 64) for i, c in enumerate(marked)) * mix & wrap)
+        want = sum(float(model.margin[(i >> 20) % len(model.margin)]) for i in ids) / len(ids) + model.bias
+        assert abs(model.logits([word])[0] - want) < 1e-9
+
+
 def test_toxicity_reads_unspaced_runs_whole():
     rnd = random.Random(1)
     words = ["".join(rnd.choice("abcdeghilmnrstuw") for _ in range(rnd.randrange(3, 9))) for _ in range(400)]
@@ -477,6 +570,21 @@ def test_bounded_sample(spark):
 
 # ---------------------------------------------------------------- pipeline
 
+def test_stages_take_odd_and_empty_tables(spark, sf_dir, odd):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, clashing columns; and no rows at all."""
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    for rows in (odd.withColumn("source", F.when(F.col("doc_id") != 7, F.col("source"))), odd.limit(0)):
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, sf_dir)
+            assert set(names) <= set(docs.columns), name
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+        ids = sorted(r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect())
+        assert not {1, 2, 3, 7} & set(ids) and len(ids) <= 5
+
+
 def test_pipeline_against_brute_force(spark, sf_dir, docs):
     import corpus_pipeline
 
