@@ -201,7 +201,7 @@ def test_quality_limits_adapt_without_a_jump(spark):
     rows += [(5_001, text(250), "en", "code"), (5_002, text(250), "en", "news")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id: (r.kept, r.broken) for r in quality_rules.judge(quality_rules.measure(df)).collect()}
-    assert kept[5_001][0] and kept[5_002] == (False, "symbols") and all(k for i, (k, _) in kept.items() if i < 5_000)
+    assert kept[5_001][0] and not kept[5_002][0] and "symbols" in kept[5_002][1] and all(k for i, (k, _) in kept.items() if i < 5_000)
     for n in (199, 200, 201):
         some = df.filter(f"doc_id < {n} or doc_id >= 1000")
         again = {r.doc_id: r.kept for r in quality_rules.judge(quality_rules.measure(some)).collect()}
