@@ -95,7 +95,7 @@ class Analysis:
 
     @cached_property
     def mentions(self) -> DataFrame:
-        return skills.extract_skills(skills.contexts_of(self.documents), self.forms, fuzzy=self.config.fuzzy)
+        return skills.extract_skills(skills.contexts_of(self.documents), self.forms, fuzzy=self.config.fuzzy).persist()
 
     @cached_property
     def similarity(self) -> DataFrame:
@@ -128,9 +128,9 @@ class Analysis:
         own = [*signals.ats_signals(), *signals.structure_signals(), *signals.content_signals(self.config.action_verbs)]
         alone = signals.signal_table(signals.with_measures(self.documents), ["doc_id"], own)
         if not self.with_job:
-            return alone
+            return alone.persist()  # all scores and lists below read it
         matched = signals.signal_table(self.match_rows, self.keys, signals.match_signals())
-        return alone.join(self.pairs.select("doc_id", "job_id"), "doc_id").select(*matched.columns).unionByName(matched)
+        return alone.join(self.pairs.select("doc_id", "job_id"), "doc_id").select(*matched.columns).unionByName(matched).persist()
 
     @cached_property
     def dimensions(self) -> DataFrame:
@@ -146,7 +146,8 @@ class Analysis:
 
     def close(self) -> None:
         """Gives back what is kept."""
-        for kept in (self.forms, self.documents, *([self.jobs] if self.with_job else [])):
+        made = [self.__dict__[x] for x in ("signals", "mentions") if x in self.__dict__]
+        for kept in (*made, self.forms, self.documents, *([self.jobs] if self.with_job else [])):
             kept.unpersist()
 
     def results(self) -> DataFrame:
