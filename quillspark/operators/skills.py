@@ -1,4 +1,4 @@
-"""Skill ontology and mentions: token n-grams joined with surface forms, longest claims first."""
+"""Skill ontology and mentions: surface forms found exactly, longest claims first, rolled up by skill."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as L
+from quillspark.functions import surface
 from quillspark.functions import text as T
 
 ONTOLOGY = str(Path(__file__).parent.parent / "sources" / "ontology.json")
@@ -27,14 +28,11 @@ def load_ontology(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def surface_forms(ontology: DataFrame) -> DataFrame:
-    """surface_key, name, category, n_tokens: the first skill that declares a form keeps it."""
+    """surface_key, name, category, position: the first skill that declares a form keeps it; position: declared order."""
     forms = ontology.select("name", "category", "declared_order", F.posexplode(F.concat(F.array("name"), "aliases")).alias("k", "form"))
     forms = forms.withColumn("surface_key", T.normalise_surface(F.col("form"))).filter("surface_key <> ''")
-    first = Window.partitionBy("surface_key").orderBy("declared_order", "k")
-    return (
-        forms.withColumn("r", F.row_number().over(first)).filter("r = 1")
-        .select("surface_key", "name", "category", F.size(F.split("surface_key", r"[ \-]+")).alias("n_tokens"))
-    )
+    place = F.struct("declared_order", "k")
+    return forms.groupBy("surface_key").agg(F.min_by("name", place).alias("name"), F.min_by("category", place).alias("category"), F.min(place).alias("position"))
 
 
 def skill_edges(ontology: DataFrame) -> DataFrame:
@@ -52,53 +50,30 @@ def contexts_of(sectioned: DataFrame, key: str = "doc_id", raw: str = "clean") -
 
 
 def scan(contexts: DataFrame, forms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, context, name, category, n, snippets: forms found in each context; no token counts for two forms.
+    """key, context, name, category, n, snippets: forms found in each text; no character counts for two forms. No shuffle.
 
-    Token n-grams are joined with the forms (Spark broadcasts them while they are small). Claims are
-    made longest first inside a context's own array of hits, not over a shuffled group of all rows.
+    The forms are a dictionary (`surface.MOST_FORMS` at most, else an error), which every task gets.
     """
-    longest = F.lit(forms.agg(F.max("n_tokens")).first()[0] or 1)  # of a small table
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9+#.][a-z0-9+#./]*)"), F.lit(1))
-    tokens = F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, r"[./]+$", "")), lambda t: t != "")
-    rows = contexts.select(key, "context", "text", tokens.alias("t")).filter(F.size("t") > 0)
-    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(longest, F.size("t") - i)),
-        lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("t", i + 1, n), " ").alias("gram")))))
-    keyed = forms.select(F.regexp_replace("surface_key", "-", " ").alias("gram"), "name", "category")
-    hits = (
-        rows.select(key, "context", F.explode(grams).alias("g")).select(key, "context", "g.*").join(keyed, "gram")
-        .groupBy(key, "context").agg(F.array_sort(F.collect_list(F.struct(
-            (-F.length("gram")).alias("rank"), "at", "n", "gram", "name", "category"))).alias("hits"))
-    )
-    none = F.filter("hits", lambda h: F.lit(False))
-    kept = F.aggregate("hits", none, lambda acc, h: F.when(
-        F.exists(acc, lambda k: (h["at"] < k["at"] + k["n"]) & (k["at"] < h["at"] + h["n"])), acc).otherwise(F.concat(acc, F.array(h))))
-    claimed = hits.select(key, "context", F.explode(kept).alias("h")).select(key, "context", "h.name", "h.category", "h.gram")
-    counted = claimed.groupBy(key, "context", "name", "category").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("gram")).alias("forms"))
-    return counted.join(contexts, [key, "context"]).withColumn("snippets", F.transform(F.slice("forms", 1, 3), lambda g: snippet(F.col("text"), g))).drop("text", "forms")
-
-
-def snippet(text: Column, found: Column) -> Column:
-    """Text around the first occurrence, 45 characters to either side, on one line."""
-    at = F.greatest(F.instr(F.lower(text), found), F.lit(1))
-    start = F.greatest(at - 45, F.lit(1))
-    end = at + F.length(found) + 45
-    inner = T.strip(F.regexp_replace(F.substring(text, start, end - start), r"\s+", " "))
-    return F.concat(F.when(start > 1, F.lit("...")).otherwise(F.lit("")), inner, F.when(end <= F.length(text), F.lit("...")).otherwise(F.lit("")))
+    rows = forms.select("surface_key", "name", "category", "position").limit(surface.MOST_FORMS + 1).collect()
+    declared = [(r.surface_key, r.name, r.category) for r in sorted(rows, key=lambda r: tuple(r.position))]
+    return contexts.select(key, "context", F.explode(surface.claimed(F.col("text"), declared)).alias("c")).select(key, "context", "c.*")
 
 
 def roll_up(found: DataFrame, key: str = "doc_id", fuzzy: Column | None = None) -> DataFrame:
-    """key, name, category, count, contexts, evidence, fuzzy, confidence, is_demonstrated: one row a skill."""
+    """key, name, category, count, contexts, evidence, fuzzy, confidence, is_demonstrated: one row a skill. A typo doesn't count beside an exact mention."""
     order = F.create_map(*[x for i, c in enumerate(L.CONTEXT_WEIGHTS) for x in (F.lit(c), F.lit(i))])
     weight = F.create_map(*[x for c, w in L.CONTEXT_WEIGHTS.items() for x in (F.lit(c), F.lit(w))])
-    rows = found.withColumn("fuzzy", fuzzy if fuzzy is not None else F.lit(False))
-    out = rows.groupBy(key, "name", "category").agg(
-        F.sum("n").alias("count"), F.array_sort(F.collect_set("context")).alias("contexts"),
-        F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(
-            F.coalesce(order[F.col("context")], F.lit(9)).alias("o"), "snippets"))), lambda x: x["snippets"]))), 1, 3).alias("evidence"),
-        F.bool_and("fuzzy").alias("fuzzy"),
-        F.max(F.coalesce(weight[F.col("context")], F.lit(0.5))).alias("w"),
-        F.bool_or(~F.col("context").isin("skills", "other")).alias("is_demonstrated"))
+    row = F.struct(F.coalesce(order[F.col("context")], F.lit(9)).alias("o"), "context", "n", "snippets", (fuzzy if fuzzy is not None else F.lit(False)).alias("fuzzy"),
+                   F.coalesce(weight[F.col("context")], F.lit(0.5)).alias("w"))
+    rows = found.groupBy(key, "name", "category").agg(F.array_sort(F.collect_list(row)).alias("all"))  # a row a context
+    exact = F.filter("all", lambda m: ~m["fuzzy"])
+    rows = rows.withColumn("m", F.when(F.size(exact) > 0, exact).otherwise(F.slice("all", 1, 1)))
+    out = rows.select(
+        key, "name", "category", F.aggregate("m", F.lit(0).cast("long"), lambda acc, m: acc + m["n"]).alias("count"),
+        F.array_sort(F.array_distinct(F.transform("m", lambda m: m["context"]))).alias("contexts"),
+        F.slice(F.array_distinct(F.flatten(F.transform("m", lambda m: m["snippets"]))), 1, 3).alias("evidence"),
+        F.col("m")[0]["fuzzy"].alias("fuzzy"), F.array_max(F.transform("m", lambda m: m["w"])).alias("w"),
+        F.exists("m", lambda m: ~m["context"].isin("skills", "other")).alias("is_demonstrated"))
     return out.withColumn("confidence", confidence(F.col("w"), F.col("count"), F.col("fuzzy"))).drop("w")
 
 
@@ -114,7 +89,7 @@ def typo_candidates(contexts: DataFrame, key: str = "doc_id") -> DataFrame:
     return contexts.filter(F.col("context").isin("skills", "summary")).select(key, "context", F.explode_outer(F.array_distinct(ok)).alias("candidate")).filter("candidate is not null")
 
 
-def recover_typos(candidates: DataFrame, forms: DataFrame, known: DataFrame, key: str = "doc_id", least: float = 0.88) -> DataFrame:
+def recover_typos(candidates: DataFrame, forms: DataFrame, key: str = "doc_id", least: float = 0.88) -> DataFrame:
     """Candidates that are no form but close to one: joined on the first character and three lengths, then compared."""
     from quillspark.functions.udfs import ratcliff
 
@@ -123,10 +98,9 @@ def recover_typos(candidates: DataFrame, forms: DataFrame, known: DataFrame, key
                          F.explode(F.sequence(F.length("surface_key") - 2, F.length("surface_key") + 2)).alias("len"))
     pairs = fresh.withColumn("c0", F.substring("candidate", 1, 1)).withColumn("len", F.length("candidate")).join(keyed, ["c0", "len"])
     near = pairs.withColumn("ratio", ratcliff("candidate", "surface_key")).filter(F.col("ratio") >= least)
-    best = near.groupBy(key, "context", "candidate").agg(F.max(F.struct("ratio", "surface_key", "name", "category")).alias("b")).select(
-        key, "context", "candidate", "b.name", "b.category")
-    return best.join(known.select(key, "name"), [key, "name"], "left_anti").groupBy(key, "context", "name", "category").agg(
-        F.lit(1).cast("long").alias("n"), F.array(F.min("candidate")).alias("snippets"))
+    best = near.groupBy(key, "candidate").agg(F.max(F.struct("ratio", "surface_key", "name", "category")).alias("b")).select(key, "candidate", "b.name", "b.category")
+    return best.groupBy(key, "name", "category").agg(
+        F.lit(1).cast("long").alias("n"), F.array(F.format_string('Matched from "%s" (possible misspelling)', F.min("candidate"))).alias("snippets"), F.lit("skills").alias("context"))
 
 
 def extract_skills(contexts: DataFrame, forms: DataFrame, key: str = "doc_id", fuzzy: bool = True) -> DataFrame:
@@ -134,7 +108,7 @@ def extract_skills(contexts: DataFrame, forms: DataFrame, key: str = "doc_id", f
     exact = scan(contexts, forms, key)
     if not fuzzy:
         return roll_up(exact, key)
-    typos = recover_typos(typo_candidates(contexts, key), forms, exact, key)
+    typos = recover_typos(typo_candidates(contexts, key), forms, key)
     every = exact.withColumn("f", F.lit(False)).unionByName(typos.withColumn("f", F.lit(True)))
     return roll_up(every, key, F.col("f"))
 

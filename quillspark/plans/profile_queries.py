@@ -107,10 +107,11 @@ def profile_sentences(spark, sf_dir):
 
 # ---------------------------------------------------------------- skills
 
-_MENTIONS = f"""f AS (SELECT k, skill AS name, 'experience' AS context FROM b WHERE rich UNION ALL SELECT k, {P.SUMMARY_SKILL}, 'summary' FROM p WHERE ({P.HAS_SUMMARY}) UNION ALL """ + _union(
+_MENTIONS = f"""f AS (SELECT k, skill AS name, 'experience' AS context FROM b WHERE rich UNION ALL SELECT k, {P.SUMMARY_SKILL}, 'summary' FROM p WHERE ({P.HAS_SUMMARY})
+  UNION ALL SELECT k, 'GitHub', 'other' FROM p WHERE {P.GITHUB} IS NOT NULL UNION ALL """ + _union(
     f"SELECT k, {P.listed(i)}, 'skills' FROM p WHERE ({P.HAS_SKILLS}) AND {P.LISTED} > {i}" for i in range(6)) + f"""),
-own AS (SELECT k, name, count(*) AS n, list_sort(list_distinct(list(context))) AS contexts, max(CASE context WHEN 'experience' THEN 1.0 WHEN 'summary' THEN 0.8 ELSE 0.7 END)::DOUBLE AS w,
-    bool_or(context <> 'skills') AS is_demonstrated, 1.0::DOUBLE AS sure FROM f GROUP BY k, name
+own AS (SELECT k, name, count(*) AS n, list_sort(list_distinct(list(context))) AS contexts, max(CASE context WHEN 'experience' THEN 1.0 WHEN 'summary' THEN 0.8 WHEN 'skills' THEN 0.7 ELSE 0.5 END)::DOUBLE AS w,
+    bool_or(context NOT IN ('skills', 'other')) AS is_demonstrated, 1.0::DOUBLE AS sure FROM f GROUP BY k, name
   UNION ALL SELECT k, 'Kubernetes', 1, ['skills'], 0.7::DOUBLE, false, 0.85::DOUBLE FROM p WHERE ({P.HAS_SKILLS}) AND {P.TYPO} AND NOT EXISTS (SELECT 1 FROM f WHERE f.k = p.k AND f.name = 'Kubernetes')),
 ms AS (SELECT k, name, n, contexts, is_demonstrated, round(least(1.0::DOUBLE, w + least(0.15::DOUBLE, 0.05::DOUBLE * (n - 1))) * sure, 3) AS confidence, sure < 1 AS fuzzy FROM own)"""
 
@@ -138,12 +139,26 @@ def profile_top_skills(spark, sf_dir):
 def profile_typos(spark, sf_dir):
     """Close forms of listed words, whatever else the document has."""
     contexts, forms = skills.contexts_of(_parsed(spark, sf_dir)), _forms(spark)
-    found = skills.recover_typos(skills.typo_candidates(contexts), forms, spark.createDataFrame([], "doc_id long, name string"))
-    return found.select("doc_id", F.get("snippets", F.lit(0)).alias("candidate"), "name")
+    found = skills.recover_typos(skills.typo_candidates(contexts), forms)
+    return found.select("doc_id", F.regexp_extract(F.get("snippets", F.lit(0)), '"(.*)"', 1).alias("candidate"), "name")
+
+
+_SEGMENT = lambda i: f"(k + {4 * i}) % {len(P.LIST_SEGMENTS)}"
+
+
+@query(f"""WITH {_P}, f AS (""" + _union(
+    f"SELECT k, '{name}' AS name, {n} AS n, '{'other' if i == 2 else 'skills'}' AS context FROM p WHERE {_SEGMENT(i)} = {at}"
+    for i in range(3) for at, (_, found) in enumerate(P.LIST_SEGMENTS) for name, n in found) + """)
+SELECT k AS doc_id, name, sum(n)::BIGINT AS n, array_to_string(list_sort(list_distinct(list(context))), ',') AS contexts,
+  round(least(1.0::DOUBLE, max(CASE context WHEN 'skills' THEN 0.7 ELSE 0.5 END)::DOUBLE + least(0.15::DOUBLE, 0.05::DOUBLE * (sum(n) - 1))), 3) AS confidence FROM f GROUP BY k, name""")
+def profile_list_forms(spark, sf_dir):
+    """Skills in lists cut by slashes, with forms inside longer forms, gaps of any white space, and look-alikes inside other words; the third list is under no section of skills."""
+    contexts = skills.contexts_of(parse_documents(from_text(P.list_resumes(spark, sf_dir)), parts=()))
+    return skills.extract_skills(contexts, _forms(spark)).select("doc_id", "name", F.col("count").alias("n"), F.array_join("contexts", ",").alias("contexts"), "confidence")
 
 
 _CATEGORIES = {s["name"]: s["category"] for s in json.loads(Path(skills.ONTOLOGY).read_text())["skills"]}
-_CATEGORY = "(CASE name " + " ".join(f"WHEN '{s}' THEN '{_CATEGORIES[s]}'" for s in P.SKILLS) + " END)"
+_CATEGORY = "(CASE name " + " ".join(f"WHEN '{s}' THEN '{_CATEGORIES[s]}'" for s in (*P.SKILLS, "GitHub")) + " END)"
 _RELATED = [(s["name"], r) for s in json.loads(Path(skills.ONTOLOGY).read_text())["skills"] for r in s["related"] if s["name"] in P.SKILLS and r in P.SKILLS]
 _EDGES = "edge(name, related) AS (" + ("VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _RELATED) if _RELATED else "SELECT '', '' WHERE false") + ")"
 

@@ -136,6 +136,22 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed(k.select(F.col("k").alias("doc_id"), F.expr(RESUME).alias("text")))
 
 
+#: Lists as people write them, and the skills in them.
+LIST_SEGMENTS = (
+    ("Python/Go", (("Python", 1), ("Go", 1))), ("react  native, React", (("React Native", 1), ("React", 1))), ("my_python_x", ()),
+    ("C++/C#", (("C++", 1), ("C#", 1))), ("node.js/TypeScript", (("Node.js", 1), ("TypeScript", 1))), ("CI/CD & Docker/Kubernetes", (("CI/CD", 1), ("Docker", 1), ("Kubernetes", 1))),
+    ("Docker (docker)", (("Docker", 2),)), ("asp.net core", (("ASP.NET", 1),)), ("scikit-learn;pythonic", (("scikit-learn", 1),)),
+)
+
+
+def list_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: a name, two lists of skills, and one of interests."""
+    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    lists = [pick([x for x, _ in LIST_SEGMENTS], f"(k + {4 * i}) % {len(LIST_SEGMENTS)}") for i in range(3)]
+    text = _lines(NAME, "''", "'SKILLS'", f"concat({lists[0]}, ', ', {lists[1]})", "''", "'INTERESTS'", lists[2])
+    return fixed(k.select(F.col("k").alias("doc_id"), F.expr(text).alias("text")))
+
+
 # ---------------------------------------------------------------- postings, over j
 
 POST, POST_LEVEL = pick([t for t, _ in POSTS], "j % 4"), pick([x for _, x in POSTS], "j % 4")
