@@ -19,11 +19,6 @@ def asked_and_owned(pairs: DataFrame, asked: DataFrame, owned: DataFrame, a: str
     return rows.withColumn("credit", credit)
 
 
-def sharing_a_skill(owned: DataFrame, asked: DataFrame, a: str, b: str) -> DataFrame:
-    """a, b: pairs of a document and a posting that asks for one of its skills or more."""
-    return owned.select(a, F.col("name").alias("skill")).join(asked.select(b, "skill"), "skill").select(a, b).distinct()
-
-
 def coverage(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, counts, required_share (weighted), required_coverage (unweighted, 3 digits), matched skills."""
     need, hit = F.col("required"), F.col("credit") > 0

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import entities, jobs, matching, scoring, signals, skills, vectors
+from quillspark.operators import entities, jobs, matching, pairing, scoring, signals, skills, vectors
 from quillspark.operators.sections import section_body, with_sections
 
 
@@ -22,6 +22,7 @@ class EngineConfig:
     max_chars: int = 60_000
     max_posting_chars: int = 30_000
     fuzzy: bool = True
+    postings_a_document: int = 20
     action_verbs: tuple[str, ...] | None = None
 
 
@@ -89,8 +90,8 @@ class Analysis:
         if self.with_job:
             self.jobs, self.job_skills = jobs.parse_jobs(postings, self.forms)
             self.jobs = self.jobs.persist()
-            # a stated set of pairs, or each document with the postings that ask for a skill it has
-            self.pairs = pairs if pairs is not None else matching.sharing_a_skill(self.mentions, self.job_skills, "doc_id", "job_id")
+            # a stated set of pairs, or each document with the postings that suit its skills best
+            self.pairs = pairs if pairs is not None else pairing.best_pairs(self.mentions, self.job_skills, "doc_id", "job_id", config.postings_a_document).persist()
         self.keys = ["doc_id", "job_id"] if self.with_job else ["doc_id"]
 
     @cached_property

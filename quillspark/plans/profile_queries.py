@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as L
 from quillspark.functions import text as T
-from quillspark.operators import guards, matching, scoring, signals, skills
+from quillspark.operators import guards, matching, pairing, scoring, signals, skills
 from quillspark.operators import jobs as J
 from quillspark.operators.sections import explode_lines, section_table, with_buckets
 from quillspark.plans import profiles as P
@@ -229,6 +229,15 @@ def profile_gaps(spark, sf_dir):
     return out.select("doc_id", "job_id", F.col("rank").cast("long").alias("rank"), "skill", F.array_join("adjacent_owned", ",").alias("adjacent_owned"), "priority")
 
 
+@query(f"""WITH {_P}, {_J}, {_BULLETS}, {_MENTIONS}, {_ASKED}, sc AS (SELECT k, j, sum(CASE WHEN required THEN 1400 ELSE 700 END * CASE WHEN is_demonstrated THEN 4 ELSE 3 END)::BIGINT AS score
+  FROM ms JOIN asked ON asked.skill = ms.name GROUP BY k, j)
+SELECT k AS doc_id, j AS job_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, j) AS rank FROM sc) WHERE rank <= 5""")
+def profile_best_postings(spark, sf_dir):
+    """The five postings that suit each résumé's skills best, of all."""
+    _, asked = J.parse_jobs(P.postings(spark, sf_dir), _forms(spark))
+    return pairing.best_pairs(_mentions(spark, sf_dir), asked, "doc_id", "job_id", 5).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"""WITH {_MATCH} SELECT pr.k AS doc_id, pr.j AS job_id, string_agg(ms.name, ',' ORDER BY ms.name) AS surplus FROM pr JOIN ms ON ms.k = pr.k
   WHERE NOT EXISTS (SELECT 1 FROM asked WHERE asked.j = pr.j AND asked.skill = ms.name) GROUP BY ALL""")
 def profile_surplus(spark, sf_dir):
