@@ -116,32 +116,128 @@ def _walked(events: DataFrame, key: str, start, columns: str) -> DataFrame:
     return walked.withColumn(key, F.when(F.col(key) != "n", F.substr(key, F.lit(2))).cast(kind))
 
 
-class LimiterProcessor(StatefulProcessor):
-    """The limiter over a stream: accepted times of a key in list state."""
+class OrderedProcessor(StatefulProcessor):
+    """Events of a key in the order of their times, however the batches brought them: each waits until the watermark has passed it.
 
-    def __init__(self, limit: int, window_s: float):
-        self.limit, self.window_s = limit, window_s
+    A timer at the earliest waiting event wakes the key. `walk` takes the due events past the key's state; `rest_until` says when what is left of the
+    state has no effect any more, and a timer then forgets it, so that idle keys hold nothing.
+    """
+
+    PENDING = "event_id long, at double, ok boolean"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "at double")
+        self.handle = handle
+        self.pending = handle.getListState("pending", self.PENDING)
+        self.memory = handle.getListState("memory", "x double")
+
+    def walk(self, memory: list[float], due: list[tuple]) -> tuple[list[float], list[tuple]]:
+        """The new memory, and the answers to the due events (event_id, at, ok)."""
+        raise NotImplementedError
+
+    def rest_until(self, memory: list[float]) -> float | None:
+        """The time from which an idle key's memory has no effect; null: never."""
+        raise NotImplementedError
+
+    def _wake(self, at: float | None) -> None:
+        """One timer a key, at this time or, if that is null, none."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if at is not None:
+            self.handle.registerTimer(int(at * 1000) + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        window = SlidingWindow(self.limit, self.window_s, [t[0] for t in self.times.get()] if self.times.exists() else ())
-        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        at = pdf["ts"].astype("int64") / (1e9 if str(pdf["ts"].dtype).endswith("ns]") else 1e6)
-        answers = [window.check(t) for t in at]
-        self.times.put([(float(t),) for t in window.times]) if window.times else self.times.clear()
-        yield pdf[["event_id", "ts"]].assign(key=key[0], allowed=[a for a, _ in answers])[["event_id", "key", "ts", "allowed"]]
+        pdf = pd.concat(list(rows))
+        ok = pdf["ok"].astype(bool) if "ok" in pdf else pd.Series(True, index=pdf.index)
+        new = list(zip(pdf["event_id"].tolist(), (pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist(), ok.tolist()))
+        first = min(at for _, at, _ in new)
+        if self.pending.exists():
+            first = min(first, min(at for _, at, _ in self.pending.get()))
+            self.pending.appendList(new)
+        else:
+            self.pending.put(new)
+        self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        waiting = sorted((tuple(r) for r in self.pending.get()), key=lambda r: (r[1], r[0])) if self.pending.exists() else []
+        due, later = [r for r in waiting if r[1] < now], [r for r in waiting if r[1] >= now]
+        memory, answers = self.walk([r[0] for r in self.memory.get()] if self.memory.exists() else [], due)
+        self.pending.put(later) if later else self.pending.clear()
+        rest = self.rest_until(memory) if memory else None
+        if rest is not None and rest < now:
+            memory, rest = [], None
+        self.memory.put([(float(x),) for x in memory]) if memory else self.memory.clear()
+        self._wake(later[0][1] if later else rest)
+        if due:
+            ids, at = [r[0] for r in due], pd.to_datetime(pd.Series([round(r[1] * 1e6) for r in due]), unit="us")
+            yield pd.DataFrame({"event_id": ids, "key": [key[0]] * len(due), "ts": at, **dict(zip(self.COLUMNS, zip(*answers)))})
 
     def close(self) -> None:
         pass
 
 
-def rate_limited_stream(events: DataFrame, limit: int, window_s: float, key: str = "key") -> DataFrame:
-    """event_id, key, ts, allowed of a stream (event_id, key, ts); needs the RocksDB state store."""
+class LimiterProcessor(OrderedProcessor):
+    """The limiter over a stream: a key's memory are its accepted times of the last window."""
+
+    COLUMNS = ("allowed", "retry_after_s")
+
+    def __init__(self, limit: int, window_s: float):
+        self.limit, self.window_s = limit, window_s
+
+    def walk(self, memory, due):
+        window = SlidingWindow(self.limit, self.window_s, memory)
+        answers = [window.check(at) for _, at, _ in due]
+        return list(window.times), answers
+
+    def rest_until(self, memory):
+        return memory[-1] + self.window_s
+
+
+class BreakerProcessor(OrderedProcessor):
+    """The breaker over a stream: failures in a row, and when it opened (-1: closed). A timer after the cooldown makes it half-open.
+
+    A closed breaker without failures is forgotten at once; one with failures `forget_s` after its last event, if that is given.
+    """
+
+    COLUMNS = ("blocked", "failures")
+
+    def __init__(self, most: int, cooldown_s: float, forget_s: float | None):
+        self.most, self.cooldown_s, self.forget_s = most, cooldown_s, forget_s
+
+    def walk(self, memory, due):
+        failures, opened, last = memory or (0, -1, 0)
+        breaker, answers = Breaker(self.most, self.cooldown_s, int(failures), None if opened < 0 else opened), []
+        for _, at, ok in due:
+            blocked = breaker.is_open(at)
+            if not blocked:
+                breaker.record(ok, at)
+            answers.append((blocked, breaker.failures))
+            last = at
+        return ([breaker.failures, -1 if breaker.opened is None else breaker.opened, last] if breaker.failures else []), answers
+
+    def rest_until(self, memory):
+        return None if self.forget_s is None else memory[2] + max(self.forget_s, self.cooldown_s)
+
+
+def _stream(events: DataFrame, key: str, late_s: float, processor: OrderedProcessor, columns: str) -> DataFrame:
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).transformWithStateInPandas(
-        LimiterProcessor(limit, window_s), f"event_id long, key {kind}, ts timestamp, allowed boolean", "append", "none")
+    rows = events.select(key, "event_id", F.col("ts").cast("timestamp").alias("ts"), *[c for c in ("ok",) if c in events.columns])
+    return rows.withWatermark("ts", f"{late_s} seconds").groupBy(key).transformWithStateInPandas(
+        processor, f"event_id long, key {kind}, ts timestamp, {columns}", "append", "eventTime")
+
+
+def rate_limited_stream(events: DataFrame, limit: int, window_s: float, key: str = "key", late_s: float = 0) -> DataFrame:
+    """event_id, key, ts, allowed, retry_after_s of a stream (event_id, key, ts), as `rate_limited` gives them for a table.
+
+    Events may come in any order within `late_s`; answers come when the watermark has passed them, later events are dropped by it. Needs the RocksDB state store.
+    """
+    return _stream(events, key, late_s, LimiterProcessor(limit, window_s), "allowed boolean, retry_after_s int")
+
+
+def breaker_stream(events: DataFrame, most: int = 4, cooldown_s: float = 60.0, key: str = "key", late_s: float = 0, forget_s: float | None = None) -> DataFrame:
+    """event_id, key, ts, blocked, failures of a stream (event_id, key, ts, ok), as `breaker_trace` gives them for a table."""
+    return _stream(events, key, late_s, BreakerProcessor(most, cooldown_s, forget_s), "blocked boolean, failures int")
 
 
 def attempted_hits(events: DataFrame, key: str, window_s: int = 60) -> DataFrame:

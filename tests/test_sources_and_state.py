@@ -137,16 +137,33 @@ def test_save_if_possible(spark, tmp_path):
     assert "Exception" in store.save_if_possible(empty.unionByName(spark.createDataFrame([("i", datetime(2024, 1, 1), *[None] * 15)], empty.schema)))
 
 
-def test_stream_equals_table(spark, tmp_path):
-    rows, df = events(spark, 120)
-    src = str(tmp_path / "in")
-    df.orderBy("ts", "event_id").coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema(df.schema).parquet(src)
-    q = (stateful.rate_limited_stream(stream, 5, 60.0).writeStream.format("memory").queryName("limited")
-         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    got = {r.event_id: r.allowed for r in spark.table("limited").collect()}
-    assert got == {r.event_id: r.allowed for r in stateful.rate_limited(df, 5, 60.0).collect()}
+def streamed(spark, tmp_path, name, df, made, batches=4):
+    """The answers to the events of a table that comes in shuffled micro-batches, then late markers; and the state rows left at the end."""
+    src, rows = str(tmp_path / "in"), sorted(df.collect(), key=lambda r: hash((r.event_id * 7919) % 101))
+    for i in range(batches):
+        spark.createDataFrame(rows[i::batches], df.schema).coalesce(1).write.mode("append").parquet(src)
+    for i in range(3):  # the watermark passes all events, then all that their keys remember
+        spark.createDataFrame([(10**6 + i, -1, datetime(2024, 2, 1 + i), True)], df.schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = made(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    left = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    return spark.table(name).filter("key >= 0").collect(), left
+
+
+def test_limiter_stream_equals_table(spark, tmp_path):
+    _, df = events(spark, 120)
+    got, left = streamed(spark, tmp_path, "limited", df, lambda s: stateful.rate_limited_stream(s, 5, 60.0, late_s=600))
+    assert {r.event_id: (r.allowed, r.retry_after_s) for r in got} == {r.event_id: (r.allowed, r.retry_after_s) for r in stateful.rate_limited(df, 5, 60.0).collect()}
+    assert max(left) >= 3 and left[-1] <= 1  # what is left is the marker's
+
+
+def test_breaker_stream_equals_table(spark, tmp_path):
+    _, df = events(spark, 120)
+    got, left = streamed(spark, tmp_path, "broken", df, lambda s: stateful.breaker_stream(s, 2, 30.0, late_s=600, forget_s=3_600))
+    want = {r.event_id: (r.blocked, r.failures) for r in stateful.breaker_trace(df, 2, 30.0).collect()}
+    assert {r.event_id: (r.blocked, r.failures) for r in got} == want and any(b for b, _ in want.values())
+    assert max(left) >= 3 and left[-1] <= 1
 
 
 def test_histogram_is_cumulative(spark):
