@@ -36,10 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read back: short lineage, survives lost executors."""
+    """`df` written as Parquet in the shared folder and read back: short lineage, survives lost executors. The table goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"quillspark-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

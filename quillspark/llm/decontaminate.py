@@ -117,9 +117,14 @@ def _word_array(text: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
 
 
-def _by_shuffle(documents: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    docs = documents.select(F.monotonically_increasing_id().alias("__row"), "doc_id", F.coalesce(_word_array(F.col("text")), F.array().cast("array<string>")).alias("words"))
-    docs = materialized(docs, "decontaminate-words")
+def _keyed(documents: DataFrame) -> DataFrame:
+    """A key for each row, whatever its doc_id, that stays when the rows are read again."""
+    return materialized(documents.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-rows")
+
+
+def _by_shuffle(keyed: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """__row and the result of each row of `_keyed`."""
+    docs = materialized(keyed.select("__row", "doc_id", F.coalesce(_word_array(F.col("text")), F.array().cast("array<string>")).alias("words")), "decontaminate-words")
     placed = docs.select("__row", F.size("words").alias("n"), F.posexplode("words").alias("p", "word"))
     size = F.least(F.lit(window), F.size("w"))
     windows = (
@@ -148,7 +153,7 @@ def _by_shuffle(documents: DataFrame, benchmark: DataFrame, window: int) -> Data
         F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("ids"))
     n_words, n_hit = F.size("words").cast("long"), F.coalesce("n_hit", F.lit(0))
     return docs.join(hits, "__row", "left").join(found, "__row", "left").select(
-        "doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        "__row", "doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 20 >= n_words)).alias("contaminated"))
 
 
@@ -158,14 +163,17 @@ def _fits_broadcast(benchmark: DataFrame, broadcast_chars: int) -> bool:
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_chars: int = 4_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row a document."""
-    return (_by_broadcast if _fits_broadcast(benchmark, broadcast_chars) else _by_shuffle)(documents, benchmark, window)
+    if _fits_broadcast(benchmark, broadcast_chars):
+        return _by_broadcast(documents, benchmark, window)
+    return _by_shuffle(_keyed(documents.select("doc_id", "text")), benchmark, window).drop("__row")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_chars: int = 4_000_000) -> DataFrame:
-    """The documents that are not contaminated, with all their columns; a larger benchmark needs unique doc_ids."""
+    """The rows that are not contaminated, with all their columns; each is judged by its own text, whatever its doc_id."""
     if not _fits_broadcast(benchmark, broadcast_chars):
-        bad = _by_shuffle(documents, benchmark, window).filter("contaminated").select("doc_id")
-        return documents.join(bad, "doc_id", "left_anti")
+        keyed = _keyed(documents)
+        bad = _by_shuffle(keyed, benchmark, window).filter("contaminated").select("__row")
+        return keyed.join(bad, "__row", "left_anti").drop("__row")
     held = _broadcast_index(documents, benchmark, window)
 
     @F.pandas_udf("boolean")

@@ -22,8 +22,8 @@ of the shared folder; nothing of them is collected.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; texts of
 fewer than five words are one shingle; texts of any length are read whole; a doc_id that comes
-several times is one node (rows are kept, each with its own n_shingles; if its texts differ, it links
-as each of them does); an empty table gives no rows; other columns are ignored
+several times is one node of one component (rows are kept, each with its own n_shingles; if its texts differ, it links
+as each of them does, and its rows without words follow those with words); an empty table gives no rows; other columns are ignored
 by `near_duplicates` and kept by `drop_near_duplicates`.
 """
 
@@ -410,7 +410,8 @@ def near_duplicates(documents: DataFrame, slack: float = SLACK) -> DataFrame:
         signed.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "class_id"), "digest", "left")
         .select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("class_id")), "doc_id").alias("class_id")), "dedup-placed")
     repeated = materialized(
-        placed.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("class_id").alias("b")).filter("rows > 1").drop("rows"), "dedup-repeated")
+        placed.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.when(F.col("n_shingles") > 0, F.col("class_id"))).alias("b"))
+        .filter("rows > 1 AND b IS NOT NULL").drop("rows"), "dedup-repeated")
     # a doc_id with several texts ties their classes
     ties = placed.filter("n_shingles > 0").join(repeated, "doc_id").select(F.col("class_id").alias("a"), "b").filter("a <> b")
 
@@ -435,12 +436,15 @@ def near_duplicates(documents: DataFrame, slack: float = SLACK) -> DataFrame:
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = components(stars.unionByName(more), "dedup-stars")
     component = F.coalesce("root", "class_id")
+    if not unique:  # rows without words follow their id's others
+        own = repeated.select(F.col("doc_id").alias("__id"), "b")
+        placed = placed.join(own, F.col("doc_id") == F.col("__id"), "left").withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.coalesce("b", "class_id")))
     return placed.join(roots, F.col("class_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", "class_id", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all columns; doc_id has to be unique."""
+    """One document of each group, the one with the smallest id, with all columns; all rows of a doc_id stay or go together."""
     bad = near_duplicates(documents).filter(~F.col("kept")).select("doc_id")
     return documents.join(bad, "doc_id", "left_anti")
 

@@ -459,6 +459,23 @@ def test_repeated_ids_with_different_texts(spark):
     assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 4), (7, 7)]
 
 
+def test_rows_without_words_of_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text), (5, text), (5, ""), (5, None), (7, ""), (7, " "), (8, None)], "doc_id long, text string")
+    found = near_dedup.near_duplicates(df)
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found.collect()) == [(1, 1, True), *[(5, 1, False)] * 3, *[(7, 7, True)] * 2, (8, 8, True)]
+    assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df).collect()) == [1, 7, 7, 8]
+
+
+def test_contaminated_rows_of_repeated_ids_go_alone(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, passage, "a"), (1, "a clean text of its own", "b"), (2, None, "c"), (3, passage + " end", "d")], "doc_id long, text string, n string")
+    bench = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    for chars in (4_000_000, 0):
+        kept = decontaminate.drop_contaminated(docs, bench, broadcast_chars=chars)
+        assert sorted(r.n for r in kept.collect()) == ["b", "c"] and kept.columns == docs.columns
+
+
 def test_odd_sketch_estimates_high_similarity():
     rnd = random.Random(3)
     off = []
