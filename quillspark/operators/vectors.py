@@ -6,8 +6,13 @@ frequencies of the two sides are computed once and added after the join on the t
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from quillspark.functions import text as T
 
@@ -19,23 +24,65 @@ UNITS = ""
 _TF = 1 << 40
 
 
+@F.pandas_udf(StructType().add("terms", ArrayType(StringType())).add("counts", ArrayType(LongType())).add("sums", ArrayType(DoubleType())))
+def counted_terms(lines: pd.Series, filled: pd.Series) -> pd.DataFrame:
+    """Of lines of words, "u" before those that are units: different words and neighbours (joined by _), counts, and four sums.
+
+    The sums are of a^2, a^2 b and a^2 b^2 over the terms that are in a unit, and of a^2 over the others, where the term's weight in a pair of texts with
+    U units together is a * (log(U + 1) + b) if only this text has it (a without b for the others).
+    """
+    rows = []
+    for text, some in zip(lines, filled):
+        words, units = [], []
+        for line in (text or "").split("\n"):
+            mine = line[1:].split(" ") if len(line) > 1 else []
+            words += mine
+            if line.startswith("u"):
+                units.append(mine)
+        if not units and some:
+            units = [words]
+        seen, held = Counter(words), Counter()
+        seen.update(map("_".join, zip(words, words[1:])))
+        for unit in units:
+            held.update({*unit, *map("_".join, zip(unit, unit[1:]))})
+        sums = [0.0] * 4
+        for term, n in seen.items():
+            a, k = (math.log(n) + 1) * (BIGRAM_WEIGHT if "_" in term else 1.0), held[term]
+            if k:
+                b = 1 - math.log(k + 1)
+                sums[0] += a * a
+                sums[1] += a * a * b
+                sums[2] += a * a * b * b
+            else:
+                sums[3] += a * a
+        rows.append(([UNITS, *seen], [len(units), *[n * _TF + held[t] for t, n in seen.items()]], sums))
+    return pd.DataFrame(rows, columns=["terms", "counts", "sums"])
+
+
+def packed_terms(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, p: a text's terms, their counts (see `term_table`) and the sums that `shared_terms` needs; a row a text, no shuffle.
+
+    Lines become their content words here; a row's words are counted where it is, in Arrow batches.
+    """
+    lines = F.transform(T.lines(F.col(text)), lambda x: F.concat(
+        F.when(F.length(F.when(T.is_bullet(x), T.strip_bullet(x)).otherwise(T.strip(x))) >= 15, "u").otherwise("-"), F.array_join(T.content_tokens(x), " ")))
+    return texts.select(key, counted_terms(F.array_join(lines, "\n"), T.strip(F.col(text)) != "").alias("p"))
+
+
 def term_table(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, term, counts: how often a content word or pair of neighbours occurs in a text, and in how many of its units.
+    """key, term, counts: how often a content word or pair of neighbours occurs in a text, and in how many of its units. A key is a row.
 
-    Units are lines of 15 characters or more, or the whole text if there is none. A text is cut into
-    words once. Both counts are in one number (see `tf` and `df`), so that plans that read one or the
-    other share this table's shuffle. The row of term UNITS has the number of units.
+    Units are lines of 15 characters or more, or the whole text if there is none. Both counts are in
+    one number (see `tf` and `df`). The row of term UNITS has the number of units.
     """
-    lines = F.transform(T.lines(F.col(text)), lambda x: F.struct(T.content_tokens(x).alias("t"), (F.length(F.when(T.is_bullet(x), T.strip_bullet(x)).otherwise(T.strip(x))) >= 15).alias("unit")))
-    rows = texts.select(key, lines.alias("__l"), (T.strip(F.col(text)) != "").alias("__filled"))
-    rows = rows.select(key, "__filled", F.flatten(F.transform("__l", lambda x: x["t"])).alias("__all"), F.transform(F.filter("__l", lambda x: x["unit"]), lambda x: x["t"]).alias("__units"))
-    rows = rows.withColumn("__units", F.when(F.size("__units") > 0, F.col("__units")).when(F.col("__filled"), F.array("__all")).otherwise(F.array().cast("array<array<string>>")))
-    seen = F.transform(T.with_bigrams(F.col("__all")), lambda t: F.struct(t.alias("term"), F.lit(_TF).alias("n")))
-    held = F.flatten(F.transform("__units", lambda u: F.transform(F.array_distinct(T.with_bigrams(u)), lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("n")))))
-    units = F.array(F.struct(F.lit(UNITS).alias("term"), F.size("__units").cast("long").alias("n")))
+    return _exploded(packed_terms(texts, key, text), [key]).select(key, "term", "counts")
+
+
+def _exploded(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, term, counts, sums (only beside UNITS)."""
     # explode_outer, as Spark copies explode's expression into an inferred filter and computes it twice
-    every = rows.select(key, F.explode_outer(F.concat(units, seen, held)).alias("x")).select(key, "x.term", "x.n")
-    return every.groupBy(key, "term").agg(F.sum("n").alias("counts"))
+    rows = packed.select(*keys, F.col("p.sums").alias("sums"), F.explode_outer(F.arrays_zip("p.terms", "p.counts")).alias("x")).filter("x is not null")
+    return rows.select(*keys, "x.terms", "x.counts", "sums").toDF(*keys, "term", "counts", "sums").withColumn("sums", F.when(F.col("term") == UNITS, F.col("sums")))
 
 
 def tf(counts: Column | str = "counts") -> Column:
@@ -91,8 +138,30 @@ def pair_terms(left: DataFrame, right: DataFrame, pairs: DataFrame, a: str, b: s
     return raw.select(a, b, "term", *[(F.col(w) / F.sqrt(F.sum(F.col(w) * F.col(w)).over(pair))).alias(w) for w in ("wa", "wb")])
 
 
+def shared_terms(left: DataFrame, right: DataFrame, pairs: DataFrame, a: str, b: str, text: str = "text") -> DataFrame:
+    """a, b, term, wa, wb as `pair_terms` gives them, of the terms that both texts have (and UNITS, without weights, for each pair).
+
+    A term that one side alone has takes its document frequency from that side, so a side's squared length follows from four sums made once
+    a text; only shared terms meet, and put the sums right. The second side's terms are not copied to its pairs.
+    """
+    mine = _exploded(pairs.select(a, b).join(packed_terms(left, a, text), a), [a, b]).select(a, b, "term", F.col("counts").alias("ca"), F.col("sums").alias("sa"))
+    theirs = _exploded(packed_terms(right, b, text), [b]).select(b, "term", F.col("counts").alias("cb"), F.col("sums").alias("sb"))
+    both = mine.join(theirs, [b, "term"]).repartition(a, b)
+    pair, is_units = Window.partitionBy(a, b), F.col("term") == UNITS
+    whole = lambda x: F.max(F.when(is_units, x)).over(pair)
+    rows = both.select(a, b, "term", "ca", "cb", whole(F.col("sa")).alias("sa"), whole(F.col("sb")).alias("sb"), F.log(whole(df("ca") + df("cb")) + 1).alias("log_units"))
+    weight = lambda n, k: (F.log(n) + 1) * F.when(F.contains("term", F.lit("_")), BIGRAM_WEIGHT).otherwise(1.0) * F.when(k > 0, F.col("log_units") + 1 - F.log(k + 1)).otherwise(1.0)
+    out = {}
+    for x in "ab":
+        own, n = F.col(f"s{x}"), F.when(~is_units, tf(f"c{x}"))
+        alone, met, log_units = weight(n, df(f"c{x}")), weight(n, df("ca") + df("cb")), F.col("log_units")
+        squares = own[0] * log_units * log_units + 2 * own[1] * log_units + own[2] + own[3] + F.coalesce(F.sum(met * met - alone * alone).over(pair), F.lit(0.0))
+        out[f"w{x}"] = met / F.sqrt(squares)
+    return rows.select(a, b, "term", *[w.alias(name) for name, w in out.items()])
+
+
 def cosines(terms: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Of `pair_terms`: keys, similarity of every pair."""
+    """Of `pair_terms` or `shared_terms`: keys, similarity of every pair."""
     dots = terms.groupBy(*keys).agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
     return pairs.join(dots, keys, "left").select(*keys, T.clamp(F.coalesce("s", F.lit(0.0))).alias("similarity"))
 

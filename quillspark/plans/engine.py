@@ -104,7 +104,7 @@ class Analysis:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return vectors.pair_terms(self.documents.select("doc_id", F.col("clean").alias("text")), self.jobs.select("job_id", F.col("clean").alias("text")),
+        return vectors.shared_terms(self.documents.select("doc_id", F.col("clean").alias("text")), self.jobs.select("job_id", F.col("clean").alias("text")),
                                   self.pairs.select("doc_id", "job_id"), "doc_id", "job_id")
 
     @cached_property

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.tables import spread
+
 FIRST = ("Mira", "Jonas", "Aiko", "Pedro", "Lena", "Omar", "Ruth")
 LAST = ("Solano", "Berger", "Tanaka", "Silva", "Novak", "Haddad")
 PLACES = ("Lisbon, Portugal", "Austin, TX", "Oslo, Norway")
@@ -132,7 +134,7 @@ RESUME = resume()
 
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: a résumé a customer."""
-    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    k = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k")))
     return fixed(k.select(F.col("k").alias("doc_id"), F.expr(RESUME).alias("text")))
 
 
@@ -146,7 +148,7 @@ LIST_SEGMENTS = (
 
 def list_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: a name, two lists of skills, and one of interests."""
-    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    k = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k")))
     lists = [pick([x for x, _ in LIST_SEGMENTS], f"(k + {4 * i}) % {len(LIST_SEGMENTS)}") for i in range(3)]
     text = _lines(NAME, "''", "'SKILLS'", f"concat({lists[0]}, ', ', {lists[1]})", "''", "'INTERESTS'", lists[2])
     return fixed(k.select(F.col("k").alias("doc_id"), F.expr(text).alias("text")))
@@ -168,7 +170,7 @@ POSTING = _lines(POST, "''", "'Requirements'", REQUIRED, "''", "'Nice to have'",
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """job_id, text: a posting a part."""
-    j = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("j"))
+    j = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("j")))
     return fixed(j.select(F.col("j").alias("job_id"), F.expr(POSTING).alias("text")))
 
 

@@ -10,6 +10,7 @@ from quillspark.functions import text as T
 from quillspark.operators import entities, guards, jobs, matching, scoring, signals, vectors
 from quillspark.operators.sections import forward_fill
 from quillspark.sources.history import content_hash, page
+from quillspark.sources.tables import spread
 from quillspark.streaming import stateful
 
 QUERIES: dict = {}
@@ -31,7 +32,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang"))
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,20 +235,20 @@ _PAIR = rf"""{_D}, b AS (SELECT item_id AS job_id, coalesce(text, '') AS text FR
 {_pair_side('va', 'a', 'doc_id')}, {_pair_side('vb', 'b', 'job_id')}"""
 
 
-def _pair_terms(spark, sf_dir):
-    return vectors.pair_terms(_docs(spark, sf_dir), _benchmark(spark, sf_dir), _pairs(spark, sf_dir), "doc_id", "job_id")
+def _pair_terms(spark, sf_dir, of=vectors.pair_terms):
+    return of(_docs(spark, sf_dir), _benchmark(spark, sf_dir), _pairs(spark, sf_dir), "doc_id", "job_id")
 
 
 @query(rf"""WITH {_PAIR}, s AS (SELECT doc_id, job_id, sum(va.w * vb.w) AS s FROM va JOIN vb USING (doc_id, job_id, term) GROUP BY ALL)
 SELECT p.doc_id, p.job_id, round(least(1.0, greatest(0.0, coalesce(s, 0.0))), 6)::DOUBLE AS similarity FROM p LEFT JOIN s USING (doc_id, job_id)""")
 def doc_job_cosine(spark, sf_dir):
-    return vectors.cosines(_pair_terms(spark, sf_dir), _pairs(spark, sf_dir), ["doc_id", "job_id"]).select("doc_id", "job_id", F.round("similarity", 6).alias("similarity"))
+    return vectors.cosines(_pair_terms(spark, sf_dir, vectors.shared_terms), _pairs(spark, sf_dir), ["doc_id", "job_id"]).select("doc_id", "job_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(rf"""WITH {_PAIR}, c AS (SELECT doc_id, job_id, replace(term, '_', ' ') AS term, round(va.w * vb.w, 5) AS contribution FROM va JOIN vb USING (doc_id, job_id, term))
 SELECT doc_id, job_id, rank, term, contribution FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, job_id ORDER BY contribution DESC, term) AS rank FROM c) WHERE rank <= 12""")
 def overlap_terms(spark, sf_dir):
-    return vectors.overlapping_terms(_pair_terms(spark, sf_dir), ["doc_id", "job_id"]).select("doc_id", "job_id", F.col("rank").cast("long").alias("rank"), "term", "contribution")
+    return vectors.overlapping_terms(_pair_terms(spark, sf_dir, vectors.shared_terms), ["doc_id", "job_id"]).select("doc_id", "job_id", F.col("rank").cast("long").alias("rank"), "term", "contribution")
 
 
 @query(rf"""WITH {_PAIR}, m AS (SELECT doc_id, job_id, term, round(w, 6) AS weight FROM vb WHERE NOT contains(term, '_') AND len(term) > 2
