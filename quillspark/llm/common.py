@@ -16,6 +16,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.tables import spread
+
 ROWS_A_BATCH = 1_000
 #: Bytes that are neither digits, letters nor part of a non-ASCII character, for benchmark words.
 _NOT_WORD = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -112,7 +114,9 @@ def literal_rows(spark: SparkSession, rows: Sequence[tuple], names: str) -> Data
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the tables; `documents`, if it has too few files for all cores, dealt out to them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 __all__ = [
