@@ -33,18 +33,18 @@ def title_case(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else t.title())
 
 
-@F.pandas_udf(StringType())
-def decode_text(content: pd.Series) -> pd.Series:
+def decoded(data: bytes | None) -> str | None:
     """Bytes as UTF-8 (with or without mark), else Windows-1252, else Latin-1."""
-
-    def one(data: bytes | None) -> str | None:
-        if data is None:
-            return None
-        for code in ("utf-8-sig", "cp1252", "latin-1"):
-            try:
-                return bytes(data).decode(code)
-            except UnicodeDecodeError:
-                continue
+    if data is None:
         return None
+    for code in ("utf-8-sig", "cp1252", "latin-1"):
+        try:
+            return bytes(data).decode(code)
+        except UnicodeDecodeError:
+            continue
+    return None
 
-    return content.map(one)
+
+@F.pandas_udf(StringType())
+def decode_text(content: pd.Series) -> pd.Series:
+    return content.map(decoded)

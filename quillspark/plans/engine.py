@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import entities, jobs, matching, pairing, scoring, signals, skills, vectors
 from quillspark.operators.sections import section_body, with_sections
+from quillspark.sources.tables import materialized
 
 
 @dataclass(frozen=True)
@@ -89,14 +90,15 @@ class Analysis:
         self.with_job = postings is not None
         if self.with_job:
             self.jobs, self.job_skills = jobs.parse_jobs(postings, self.forms)
-            self.jobs = self.jobs.persist()
+            self.jobs, self.job_skills = self.jobs.persist(), materialized(self.job_skills, "job-skills")
             # a stated set of pairs, or each document with the postings that suit its skills best
-            self.pairs = pairs if pairs is not None else pairing.best_pairs(self.mentions, self.job_skills, "doc_id", "job_id", config.postings_a_document).persist()
+            self.pairs = pairs if pairs is not None else materialized(
+                pairing.best_pairs(self.mentions, self.job_skills, "doc_id", "job_id", config.postings_a_document), "best-pairs")
         self.keys = ["doc_id", "job_id"] if self.with_job else ["doc_id"]
 
     @cached_property
     def mentions(self) -> DataFrame:
-        return skills.extract_skills(skills.contexts_of(self.documents), self.forms, fuzzy=self.config.fuzzy).persist()
+        return materialized(skills.extract_skills(skills.contexts_of(self.documents), self.forms, fuzzy=self.config.fuzzy), "mentions")
 
     @cached_property
     def similarity(self) -> DataFrame:
@@ -147,7 +149,7 @@ class Analysis:
 
     def close(self) -> None:
         """Gives back what is kept."""
-        made = [self.__dict__[x] for x in ("signals", "mentions") if x in self.__dict__]
+        made = [self.__dict__[x] for x in ("signals",) if x in self.__dict__]
         for kept in (*made, self.forms, self.documents, *([self.jobs] if self.with_job else [])):
             kept.unpersist()
 

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructType
 
 from quillspark.functions import text as T
-from quillspark.functions.udfs import decode_text
+from quillspark.functions.udfs import decoded
 from quillspark.plans.engine import EngineConfig, page_count
 
 SUFFIXES = r"(?i)\.(pdf|docx|txt|md)$"
+#: The same for the listing of files, so that others are not opened.
+_GLOB = "*.{[pP][dD][fF],[dD][oO][cC][xX],[tT][xX][tT],[mM][dD]}"
 EXTRACTED = """path string, text string, source_format string, page_count int,
     pages array<struct<index:int,char_count:int,line_count:int,short_line_ratio:double,has_extractable_text:boolean>>,
     warnings array<string>, has_tables boolean, table_count int, has_images boolean, image_count int,
@@ -24,9 +27,15 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, content, length of all files with a known suffix, subfolders included."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.col("path").rlike(SUFFIXES)).select("path", "content", "length")
+    """path, content, length of all files with a known suffix, subfolders included. A filter on length keeps larger files closed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _GLOB).load(path)
+    return files.select("path", "content", "length")
+
+
+def stream_files(spark: SparkSession, path: str, files_a_batch: int = 1_000) -> DataFrame:
+    """`read_files` as a stream: the checkpoint of its query knows the files read, so that later runs take new ones only."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", _GLOB).option("maxFilesPerTrigger", files_a_batch)
+    return files.load(path).select("path", "content", "length")
 
 
 def looks_like_text(content: Column) -> Column:
@@ -107,55 +116,55 @@ def _text(p: ElementTree.Element) -> str:
     return "".join(e.text or "" if e.tag == f"{_W}t" else "\t" if e.tag == f"{_W}tab" else "\n" if e.tag == f"{_W}br" else "" for e in p.iter())
 
 
-def _docx(files: DataFrame) -> DataFrame:
-    schema = "path string, text string, tables int, images int, edges boolean, error string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    b = docx_blocks(bytes(content))
-                    rows.append((path, b["text"], b["tables"], b["images"], b["edges"], None))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
-                    rows.append((path, None, 0, 0, False, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(rows, columns=["path", "text", "tables", "images", "edges", "error"])
+@F.pandas_udf(StructType().add("text", StringType()).add("tables", IntegerType()).add("images", IntegerType()).add("edges", BooleanType()).add("error", StringType()))
+def parsed_content(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
+    """Text and layout counts of text and DOCX files, or what went wrong."""
+    rows = []
+    for data, k in zip(content, kind):
+        try:
+            if k == "docx":
+                b = docx_blocks(bytes(data))
+                rows.append((b["text"], b["tables"], b["images"], b["edges"], None))
+            else:
+                rows.append((decoded(data) if k == "txt" else None, 0, 0, False, None))
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+            rows.append((None, 0, 0, False, f"{type(e).__name__}: {e}"[:200]))
+    return pd.DataFrame(rows, columns=["text", "tables", "images", "edges", "error"])
 
-    return files.select("path", "content").mapInPandas(run, schema)
 
+def extract_all(files: DataFrame, config: EngineConfig = EngineConfig(), pdf_pages: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row a file: code and message of an error, or the columns of EXTRACTED. Each file is parsed once; also for streams (without `pdf_pages`).
 
-def extract(files: DataFrame, pdf_pages: Callable[[DataFrame], DataFrame] | None = None, config: EngineConfig = EngineConfig()) -> tuple[DataFrame, DataFrame]:
-    """(documents, errors). `pdf_pages` turns files (path, content) into pages (path, index, text); without it PDFs are errors."""
-    known = files.withColumn("format", detect_format(F.col("content"), F.col("path")))
-    big = F.col("length") > config.max_bytes
-    ok = known.filter(~big & F.col("format").isNotNull())
+    Codes: file_too_large, unsupported_format, extraction_failed, empty_document. `pdf_pages` turns files (path, content) into pages (path, index, text).
+    """
     no, none = F.lit(False), F.array().cast("array<string>")
-    txt = ok.filter("format = 'txt'").select("path", T.strip(decode_text("content")).alias("text"))
+    rows = files.withColumn("big", F.col("length") > config.max_bytes).withColumn("format", F.when(~F.col("big"), detect_format(F.col("content"), F.col("path"))))
+    rows = rows.withColumn("p", parsed_content(F.when(F.col("format").isin("txt", "docx"), F.col("content")), "format")).withColumn("text", T.strip(F.col("p.text")))
     one_page = F.array(F.struct(F.lit(0).alias("index"), F.length("text").alias("char_count"), F.size(T.filled_lines(F.col("text"))).alias("line_count"),
                                 F.lit(0.0).alias("short_line_ratio"), (F.length("text") > 0).alias("has_extractable_text")))
-    plain = txt.select("path", "text", F.lit("txt").alias("source_format"), page_count(F.col("text")).alias("page_count"), one_page.alias("pages"),
-                       F.array(F.lit("plain text has no layout")).alias("warnings"), no.alias("has_tables"), F.lit(0).alias("table_count"), no.alias("has_images"),
-                       F.lit(0).alias("image_count"), no.alias("has_multi_column_hint"), no.alias("has_text_in_headers_footers"), no.alias("is_encrypted"))
-    word = _docx(ok.filter("format = 'docx'"))
-    docx = word.filter("error is null").select(
-        "path", "text", F.lit("docx").alias("source_format"), page_count(F.col("text")).alias("page_count"), one_page.alias("pages"),
-        F.when(F.col("edges"), F.array(F.lit("text in header or footer"))).otherwise(none).alias("warnings"), (F.col("tables") > 0).alias("has_tables"),
-        F.col("tables").alias("table_count"), (F.col("images") > 0).alias("has_images"), F.col("images").alias("image_count"), no.alias("has_multi_column_hint"),
-        F.col("edges").alias("has_text_in_headers_footers"), no.alias("is_encrypted"))
-    found = plain.unionByName(docx)
-    pdf = ok.filter("format = 'pdf'")
+    read = rows.select(
+        "path", "length", "big", "format", F.col("p.error").alias("error"), "text", F.col("format").alias("source_format"), page_count(F.col("text")).alias("page_count"), one_page.alias("pages"),
+        F.when(F.col("format") == "txt", F.array(F.lit("plain text has no layout"))).when(F.col("p.edges"), F.array(F.lit("text in header or footer"))).otherwise(none).alias("warnings"),
+        (F.col("p.tables") > 0).alias("has_tables"), F.col("p.tables").alias("table_count"), (F.col("p.images") > 0).alias("has_images"), F.col("p.images").alias("image_count"),
+        no.alias("has_multi_column_hint"), F.col("p.edges").alias("has_text_in_headers_footers"), no.alias("is_encrypted"))
     if pdf_pages is not None:
-        found = found.unionByName(documents_from_pages(pdf_pages(pdf.select("path", "content"))))
+        of_pdf = F.coalesce(F.col("format") == "pdf", no)
+        paged = documents_from_pages(pdf_pages(rows.filter(of_pdf).select("path", "content")))
+        lost = read.filter(of_pdf).select("path", "length", "big", "format").join(paged, "path", "left").withColumn("error", F.when(F.col("text").isNull(), F.lit("no page could be read")))
+        read = read.filter(~of_pdf).unionByName(lost)
+    code = (F.when(F.col("big"), "file_too_large").when(F.col("format").isNull(), "unsupported_format").when(F.col("error").isNotNull() | F.col("text").isNull(), "extraction_failed")
+            .when(F.col("text") == "", "empty_document"))
+    message = (F.when(F.col("big"), F.concat(F.col("length").cast("string"), F.lit(f" bytes, {config.max_bytes} allowed"))).when(F.col("format").isNull(), "not a PDF, DOCX or text file")
+               .when(F.col("error").isNotNull(), F.col("error")).when(F.col("text").isNull(), "no PDF reader given").when(F.col("text") == "", "no text"))
+    cut = F.length("text") > config.max_chars
+    done = read.withColumn("code", code).withColumn("message", message).withColumn("warnings", F.when(cut, F.array_append("warnings", F.lit("truncated"))).otherwise(F.col("warnings")))
+    return done.withColumn("text", F.substring("text", 1, config.max_chars)).drop("length", "big", "format", "error")
 
-    def error(rows: DataFrame, code: str, message: Column) -> DataFrame:
-        return rows.select("path", F.lit(code).alias("code"), message.alias("message"))
 
-    errors = error(known.filter(big), "file_too_large", F.concat(F.col("length").cast("string"), F.lit(f" bytes, {config.max_bytes} allowed")))
-    errors = errors.unionByName(error(known.filter(~big & F.col("format").isNull()), "unsupported_format", F.lit("not a PDF, DOCX or text file")))
-    errors = errors.unionByName(error(word.filter("error is not null"), "extraction_failed", F.col("error")))
-    if pdf_pages is None:
-        errors = errors.unionByName(error(pdf, "extraction_failed", F.lit("no PDF reader given")))
-    errors = errors.unionByName(error(found.filter("text = ''"), "empty_document", F.lit("no text")))
-    cut = F.length("text") > config.max_chars
-    kept = found.filter("text <> ''").withColumn("warnings", F.when(cut, F.array_append("warnings", F.lit("truncated"))).otherwise(F.col("warnings")))
-    return kept.withColumn("text", F.substring("text", 1, config.max_chars)), errors
+def extract(files: DataFrame, pdf_pages: Callable[[DataFrame], DataFrame] | None = None, config: EngineConfig = EngineConfig()) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors) of `extract_all`, for callers that read one of them, or keep the whole themselves."""
+    return split_errors(extract_all(files, config, pdf_pages))
+
+
+def split_errors(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return extracted.filter("code IS NULL").drop("code", "message"), extracted.filter("code IS NOT NULL").select("path", "code", "message")

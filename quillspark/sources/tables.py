@@ -1,8 +1,34 @@
-"""Tables of texts, dealt out where too few files would leave cores idle."""
+"""Tables that are dealt out where too few files would leave cores idle, and tables kept in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine (master local), a new one if that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read back: short lineage, survives lost executors. The table goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), f"quillspark-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -120,7 +120,8 @@ def test_batch_job(spark, tmp_path):
     (tmp_path / "in" / "b.txt").write_text("  ")
     (tmp_path / "job.txt").write_text("Backend Engineer\n\nRequirements\n- 3+ years of experience\n- Go and Kafka")
     out = tmp_path / "out"
-    assert batch.run(spark, str(tmp_path / "in"), str(out), str(tmp_path / "job.txt")) == 1
+    counts = batch.run(spark, str(tmp_path / "in"), str(out), str(tmp_path / "job.txt"))
+    assert counts["read"] == {"files": 2, "documents": 1, "errors": 1, "truncated": 0, "chars": 151} and counts["score"]["results"] == 1 and counts["postings"] == 1
     lines = lambda name: [x for p in sorted(Path(out, name).glob("part-*")) for x in p.read_text().splitlines()]
     found = [json.loads(x) for x in lines("results")]
     assert len(found) == 1 and found[0]["path"].endswith("a.txt") and set(found[0]["dimensions"]) == {"match", "ats", "content", "structure"}
@@ -130,6 +131,32 @@ def test_batch_job(spark, tmp_path):
     assert [json.loads(x)["code"] for x in lines("errors")] == ["empty_document"]
 
 
+def test_documented_command(tmp_path):
+    """The command line of the README, with a folder of postings."""
+    import json
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import pyspark
+
+    root = Path(__file__).resolve().parent.parent
+    (tmp_path / "in").mkdir()
+    (tmp_path / "jobs").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Mira Solano\nmira@example.com\n\nEXPERIENCE\nEngineer | Pine Labs | Jan 2016 - Apr 2020\n- Rebuilt the ledger in Go for 24 teams of the firm\n\nSKILLS\nGo/SQL")
+    for name, asked in (("x", "Go and Kafka"), ("y", "Go and SQL"), ("z", "Rust")):
+        (tmp_path / "jobs" / f"{name}.txt").write_text(f"Backend Engineer\n\nRequirements\n- {asked}")
+    run = subprocess.run([f"{os.path.dirname(pyspark.__file__)}/bin/spark-submit", "--master", "local[2]", "--conf", "spark.ui.enabled=false", "--conf", "spark.sql.shuffle.partitions=2",
+                          str(root / "analyse.py"), str(tmp_path / "in"), str(tmp_path / "out"), "--job", str(tmp_path / "jobs"), "--best", "2"],
+                         capture_output=True, text=True, timeout=280, env=os.environ | {"PYSPARK_PYTHON": sys.executable}, cwd=tmp_path)
+    assert run.returncode == 0, run.stderr[-2_000:]
+    counts = json.loads(run.stdout.strip().splitlines()[-1])
+    assert counts["read"]["documents"] == 1 and counts["postings"] == 3 and counts["score"]["results"] == 2
+    found = [json.loads(x) for p in (tmp_path / "out" / "results").glob("part-*") for x in p.read_text().splitlines()]
+    assert sorted(Path(r["posting"]).name for r in found) == ["x.txt", "y.txt"]
+
+
 def test_save_if_possible(spark, tmp_path):
     (tmp_path / "file").write_text("x")
     store = History(spark, str(tmp_path / "file" / "h"))
@@ -170,3 +197,29 @@ def test_histogram_is_cumulative(spark):
     df = spark.createDataFrame([("a", 0.005), ("a", 0.05), ("a", 99.0)], "k string, v double")
     got = {r.le: r.n for r in stateful.histogram(df, ["k"], "v").collect()}
     assert got["0.01"] == 1 and got["0.05"] == 2 and got["30.0"] == 2 and got["+Inf"] == 3
+
+
+def test_streamed_files_are_read_once(spark, tmp_path):
+    """Documents and errors in one pass; a second run takes new files only."""
+    from quillspark.sources.readers import extract_all, split_errors, stream_files
+
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    (src / "sub").mkdir(parents=True)
+
+    def run():
+        done = extract_all(stream_files(spark, str(src))).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck"))
+        done.trigger(availableNow=True).start().awaitTermination(120)
+        return {r.path.rsplit("/", 1)[1]: (r.code, r.text) for r in spark.read.parquet(out).collect()}
+
+    (src / "a.txt").write_bytes(b"notes of a day")
+    (src / "sub" / "b.DOCX").write_bytes(docx(paragraph("Head")))
+    (src / "skipped.png").write_bytes(b"x")
+    assert run() == {"a.txt": (None, "notes of a day"), "b.DOCX": (None, "Head")}
+    (src / "a.txt").write_bytes(b"changed later")  # the same file
+    (src / "c.docx").write_bytes(b"PK\x03\x04 broken word/document.xml")
+    (src / "d.pdf").write_bytes(b"%PDF-1.4")
+    got = run()
+    assert got["a.txt"][1] == "notes of a day" or len(got) == 5  # a rewritten file may count as new
+    assert got["c.docx"][0] == "extraction_failed" and got["d.pdf"][0] == "extraction_failed" and got["b.DOCX"][1] == "Head"
+    documents, errors = split_errors(spark.read.parquet(out))
+    assert errors.count() == 2 and set(errors.columns) == {"path", "code", "message"} and "code" not in documents.columns
