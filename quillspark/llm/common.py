@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import functools
 import os
-import re
 import shutil
 import tempfile
 import uuid
@@ -16,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.sources.tables import spread
+from quillspark.sources.tables import materialized, shared_dir, spread
 
 ROWS_A_BATCH = 1_000
 #: Bytes that are neither digits, letters nor part of a non-ASCII character, for benchmark words.
@@ -26,27 +25,6 @@ LOWER_TO_SPACE = bytes(
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; on one machine (master local), a new one if that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read back: short lineage, survives lost executors. The table goes when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"quillspark-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @functools.lru_cache(maxsize=1)
 def _staging() -> str:
     """The driver's own folder, from which executors fetch files; it goes when the driver ends."""
