@@ -1,11 +1,12 @@
-"""Guards around a narrative model: steering attempts, fences, redaction, invented numbers, prompt text, answer checks."""
+"""Guards around a narrative model: steering attempts, fences, redaction, invented numbers, prompt text. What comes back is in operators.answers."""
 
 from __future__ import annotations
 
 import secrets
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as L
@@ -13,15 +14,14 @@ from quillspark.functions import text as T
 
 PLACEHOLDERS = {"name": "[CANDIDATE_NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "linkedin": "[LINKEDIN]",
                 "github": "[GITHUB]", "website": "[WEBSITE]", "location": "[LOCATION]"}
-FEEDBACK_SCHEMA = """summary string, strengths array<string>, gaps array<string>, priority_fixes array<struct<title:string,detail:string>>,
-    bullet_rewrites array<struct<original:string,rewrite:string,reason:string>>, interview_angles array<string>, keyword_suggestions array<string>, tone string"""
 
 
 def injection_findings(text: Column, most: int = 10) -> Column:
     """Array of (kind, excerpt) in pattern order, `most` at most; the excerpt has up to 40 characters to either side."""
-    found = [F.transform(
-        F.regexp_extract_all(text, F.lit(rf"(?im)([^\n]{{0,40}}(?:{p})[^\n]{{0,40}})"), F.lit(1)),
-        lambda e, k=kind: F.struct(F.lit(k).alias("kind"), F.substring(T.strip(e), 1, 200).alias("excerpt"))) for kind, p in L.INJECTION_PATTERNS]
+    def of_kind(kind: str) -> Callable[[Column], Column]:
+        return lambda e: F.struct(F.lit(kind).alias("kind"), F.substring(T.strip(e), 1, 200).alias("excerpt"))
+
+    found = [F.transform(F.regexp_extract_all(text, F.lit(rf"(?im)([^\n]{{0,40}}(?:{p})[^\n]{{0,40}})"), F.lit(1)), of_kind(kind)) for kind, p in L.INJECTION_PATTERNS]
     return F.slice(F.concat(*found), 1, most)
 
 
@@ -97,52 +97,5 @@ def user_message(document: Column, posting: Column | None, brief: Column, kinds:
     return F.concat_ws("\n\n", *parts)
 
 
-def parse_feedback(answer: Column) -> Column:
-    """The model's JSON object as a struct, null if it is none or lacks the summary."""
-    body = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(body, FEEDBACK_SCHEMA)
-    return F.when(parsed["summary"].isNotNull(), parsed)
-
-
-def validate_feedback(feedback: Column, source: Column, contact: Column) -> Column:
-    """Caps, no invented numbers, placeholders restored or dropped."""
-
-    def clean(values: Column, most: int) -> Column:
-        fixed = F.transform(values, lambda v: F.substring(strip_placeholders(restore(v, contact)), 1, 1200))
-        return F.slice(F.array_distinct(F.filter(fixed, lambda v: v != "")), 1, most)
-
-    rewrites = F.filter(feedback["bullet_rewrites"], lambda r: F.size(fabricated_numbers(r["rewrite"], source)) == 0)
-    return F.struct(
-        F.substring(strip_placeholders(restore(feedback["summary"], contact)), 1, 1200).alias("summary"),
-        *[clean(feedback[c], n).alias(c) for c, n in (("strengths", 8), ("gaps", 8), ("interview_angles", 8), ("keyword_suggestions", 15))],
-        F.slice(feedback["priority_fixes"], 1, 8).alias("priority_fixes"),
-        F.slice(F.transform(rewrites, lambda r: F.struct(r["original"].alias("original"), restore(r["rewrite"], contact).alias("rewrite"), r["reason"].alias("reason"))), 1, 5).alias("bullet_rewrites"))
-
-
-def skipped_reason(enabled: bool, has_key: bool, breaker_open: Column, refused: Column, error: Column, feedback: Column) -> Column:
-    """Why there is no narrative, or null; never an exception."""
-    if not enabled:
-        return F.lit("disabled")
-    if not has_key:
-        return F.lit("no_api_key")
-    return F.when(breaker_open, "circuit_open").when(refused, "refused").when(error.isNotNull(), error).when(feedback.isNull(), "invalid_schema")
-
-
-def narrate(prompts: DataFrame, call) -> DataFrame:
-    """prompts (doc_id, prompt) through an injected callable, a batch at a time; errors become rows."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for p in pdf["prompt"]:
-                try:
-                    out.append((call(p), None))
-                except Exception as e:  # the reason is the result here
-                    out.append((None, type(e).__name__))
-            yield pdf.assign(answer=[a for a, _ in out], error=[e for _, e in out])[["doc_id", "answer", "error"]]
-
-    return prompts.mapInPandas(run, "doc_id long, answer string, error string")
-
-
 def any_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns, F.lit(False))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as L
 from quillspark.functions import text as T
-from quillspark.operators import guards, matching, pairing, scoring, signals, skills
+from quillspark.operators import answers, guards, matching, pairing, scoring, signals, skills
 from quillspark.operators import jobs as J
 from quillspark.operators.sections import explode_lines, section_table, with_buckets
 from quillspark.plans import profiles as P
@@ -403,21 +403,30 @@ def narrative_prompts(spark, sf_dir):
     return rows.select("doc_id", F.sha2(guards.user_message(F.col("text"), F.col("posting"), brief, kinds, F.lit("n0")), 256).alias("prompt_sha256"))
 
 
-@query(f"""WITH {_P} SELECT k AS doc_id, k % 5 <> 4 AND k % 5 <> 3 AS valid, CASE WHEN k % 5 < 3 THEN {P.NAME} || ' did well.' END AS summary,
-  CAST(CASE WHEN k % 5 >= 3 THEN 0 WHEN k % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n_rewrites, CASE WHEN k % 5 >= 3 THEN 'invalid_schema' END AS skipped FROM p""")
+_FAULTS = ("", "", "", "not_json", "missing:strengths", "type:headline", "extra:tone", "type:bullet_rewrites", "too_long:headline", "type:strengths,extra:tone")
+_FAULT = P.pick([x or "-" for x in _FAULTS], "k % 10")
+
+
+@query(f"""WITH {_P} SELECT k AS doc_id, replace({_FAULT}, '-', '') AS problems, CASE WHEN k % 10 < 3 THEN {P.NAME} || ' did well.' END AS headline,
+  CAST(CASE WHEN k % 10 >= 3 THEN 0 WHEN k % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n_rewrites, CAST(CASE WHEN k % 10 < 3 AND k % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_dropped,
+  CASE WHEN k % 10 >= 3 THEN 'invalid_schema' END AS skipped FROM p""")
 def narrative_answers(spark, sf_dir):
-    """Answers checked against the schema, invented numbers dropped, placeholders restored."""
-    keys = ", ".join(f'"{k}": []' for k in ("strengths", "gaps", "priority_fixes", "interview_angles", "keyword_suggestions"))
-    rewrite = lambda text: f'{{"original": "a", "rewrite": "{text}", "reason": "r"}}'
-    good = F.concat(F.lit('Here: {"summary": "[CANDIDATE_NAME] did well. [ADDRESS]", "tone": "plain", ' + keys + ', "bullet_rewrites": [' + rewrite("Ran 40 jobs") + ", "),
-                    F.when(F.col("doc_id") % 2 == 0, F.lit(rewrite("Ran 99 jobs"))).otherwise(F.lit(rewrite("Ran jobs in 2019"))), F.lit("]}"))
-    answer = F.when(F.col("doc_id") % 5 == 4, F.lit('{"tone": "plain"}')).when(F.col("doc_id") % 5 == 3, F.lit("no object")).otherwise(good)
-    rows = _parsed(spark, sf_dir, "contact").select("doc_id", "contact", guards.parse_feedback(answer).alias("f"))
-    checked = rows.select("doc_id", "f", guards.validate_feedback(F.col("f"), F.lit("It ran 40 jobs"), F.col("contact")).alias("v"))
-    no = F.lit(False)
-    return checked.select("doc_id", F.col("f").isNotNull().alias("valid"), F.when(F.col("f").isNotNull(), F.col("v.summary")).alias("summary"),
-                          F.greatest(F.size(F.coalesce("v.bullet_rewrites", F.array().cast("array<struct<original:string,rewrite:string,reason:string>>"))), F.lit(0)).cast("long").alias("n_rewrites"),
-                          guards.skipped_reason(True, True, no, no, F.lit(None).cast("string"), F.col("f")).alias("skipped"))
+    """Answers checked against the strict form, each way to fail it; invented figures dropped, placeholders restored."""
+    k = F.col("doc_id")
+    record = lambda text: f'{{"original": "a", "improved": "{text}", "rationale": "r"}}'
+    part = lambda name, usual, **faults: F.concat(F.lit(f'"{name}": '), F.coalesce(*[F.when(k % 10 == int(at[1:]), F.lit(v)) for at, v in faults.items()], usual if not isinstance(usual, str) else F.lit(usual)))
+    rewrites = F.concat(F.lit("[" + record("Ran 40 jobs") + ", "), F.when(k % 2 == 0, F.lit(record("Ran 99 jobs"))).otherwise(F.lit(record("Ran jobs in 2019"))), F.lit("]"))
+    parts = [part("headline", '"[CANDIDATE_NAME] did well."', k5="7", k8=f'"{"x" * 401}"'), F.when(k % 10 != 4, part("strengths", "[]", k9='["a", 1]')),
+             *[part(x, "[]") for x in ("priority_fixes", "keyword_guidance", "interview_risks", "integrity_notes")], part("summary_rewrite", '""'),
+             part("bullet_rewrites", rewrites, k7='[{"original": "a", "improved": "b"}]'), F.when((k % 10).isin(6, 9), F.lit('"tone": "plain"'))]
+    answer = F.when(k % 10 == 3, F.lit("no object")).otherwise(F.concat(F.lit("Here: {"), F.concat_ws(", ", *parts), F.lit("}")))
+    rows = _parsed(spark, sf_dir, "contact").select("doc_id", "contact", F.lit("It ran 40 jobs").alias("source"), F.concat(F.lit("p"), k.cast("string")).alias("prompt"), answer.alias("answer"))
+    kept = rows.select(answers.prompt_digest(F.col("prompt"), "m").alias("digest"), "answer", F.lit("answered").alias("status"), F.lit("m").alias("model"), *[
+        F.lit(None).cast(t).alias(c) for c, t in (("input_tokens", "long"), ("output_tokens", "long"), ("cache_read_tokens", "long"), ("latency_ms", "double"), ("request_id", "string"))])
+    out = answers.narratives(rows.drop("answer"), kept, "m")
+    size = lambda c: F.greatest(F.coalesce(F.size(f"feedback.{c}"), F.lit(0)), F.lit(0)).cast("long")
+    return out.select("doc_id", F.array_join("problems", ",").alias("problems"), "feedback.headline", size("bullet_rewrites").alias("n_rewrites"), size("dropped").alias("n_dropped"),
+                      F.col("skipped_reason").alias("skipped"))
 
 
 # ---------------------------------------------------------------- files and history
