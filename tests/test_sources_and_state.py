@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from datetime import datetime, timedelta
 
@@ -52,12 +53,15 @@ def test_pages_to_documents(spark):
     assert r.page_count == 3 and r.warnings == ["1 page(s) without text"] and r.text.startswith("short") and "first page" in r.text
 
 
+def analyses(spark, store, ids, base=datetime(2024, 5, 1)):
+    rows = [(x, base + timedelta(days=i), "f", "txt", "h", 50.0, 1.0, 1.0, 1.0, None, None, None, 10, 1, False, "{}", "me@example.com") for i, x in enumerate(ids)]
+    return spark.createDataFrame(rows, store.rows().schema)
+
+
 def test_history(spark, tmp_path):
-    store = History(spark, str(tmp_path / "h"))
-    base = datetime(2024, 5, 1)
-    rows = [(f"id{i}", base + timedelta(days=i), "f", "txt", "h", 50.0, 1.0, 1.0, 1.0, None, None, None, 10, 1, False, "{}", "me@example.com") for i in range(3)]
-    names = "id created_at filename source_format content_hash overall_score ats_score structure_score content_score match_score job_title company word_count skill_count llm_used payload resume_text".split()
-    store.save(spark.createDataFrame(rows, store.rows().drop("day").schema).toDF(*names))
+    store = History(spark, str(tmp_path / "h"), buckets=4)
+    assert store.list()[0] == 0 and not store.delete("id0")
+    store.save(analyses(spark, store, [f"id{i}" for i in range(3)]))
     total, page = store.list(limit=2)
     assert total == 3 and [r.id for r in page.collect()] == ["id2", "id1"]
     assert store.get("id1").first().resume_text == "[EMAIL]"
@@ -65,6 +69,52 @@ def test_history(spark, tmp_path):
     assert store.repeats().first().n == 2
 
 
+def test_history_saved_again_and_compacted(spark, tmp_path):
+    store = History(spark, str(tmp_path / "h"), buckets=4)
+    store.save(analyses(spark, store, [f"id{i}" for i in range(20)]))
+    for i in (1, 2, 3):
+        assert store.delete(f"id{i}")
+    store.save(analyses(spark, store, ["id1"]))  # an older created_at, saved later
+    assert store.get("id1").count() == 1 and store.get("id2").isEmpty()
+    before = sorted(r.id for r in store.rows().collect())
+    store.compact()
+    assert sorted(r.id for r in store.rows().collect()) == before and len(before) == 18
+    files = list((tmp_path / "h" / "analyses").glob("bucket=*/*.parquet"))
+    assert len(files) <= 4 and store._read("deleted", "id string, deleted_at timestamp, bucket int").isEmpty()
+    assert store.delete("id1") and store.get("id1").isEmpty() and store.list()[0] == 17
+
+
+def test_history_lookup_opens_one_bucket(spark, tmp_path):
+    store = History(spark, str(tmp_path / "h"), buckets=8)
+    store.save(analyses(spark, store, [f"id{i}" for i in range(60)]))
+    found = store.get("id7")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1 and len(list((tmp_path / "h" / "analyses").glob("bucket=*"))) == 8
+    assert re.search(r"PartitionFilters: \[isnotnull\(bucket#\d+\), \(bucket#\d+ = \d\)\]", plan) and "EqualTo(id,id7)" in plan
+
+
+def test_history_does_not_hide_faults(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    (tmp_path / "h" / "analyses").mkdir(parents=True)
+    (tmp_path / "h" / "analyses" / "bucket=0").write_text("no table")
+    with pytest.raises(Exception) as e:  # noqa: PT011  whatever Spark makes of it
+        History(spark, str(tmp_path / "h")).rows().collect()
+    assert not isinstance(e.value, AnalysisException) or e.value.getCondition() != "PATH_NOT_FOUND"
+
+
+def test_json_arrays(spark, tmp_path):
+    import json
+
+    from quillspark.sources.history import write_json_arrays
+
+    df = spark.createDataFrame([(f"f{i}.txt", i * 1.5, ["a", "b"]) for i in range(30)] + [("f1.txt", 0.0, None)] * 2, "file string, overall double, skills array<string>")
+    write_json_arrays(df, str(tmp_path / "out"), "file", 4)
+    found = [json.loads(p.read_text()) for p in (tmp_path / "out").glob("bucket=*/part-*")]
+    assert len(found) == 4 and sum(map(len, found)) == 32 and all([r["file"] for r in x] == sorted(r["file"] for r in x) for x in found)
+
+
 def events(spark, n=300):
     base = datetime(2024, 1, 1)
     rows = [(i, i % 3, base + timedelta(seconds=(i * 7) % 500), i % 4 != 0) for i in range(n)]
@@ -160,7 +210,7 @@ def test_documented_command(tmp_path):
 def test_save_if_possible(spark, tmp_path):
     (tmp_path / "file").write_text("x")
     store = History(spark, str(tmp_path / "file" / "h"))
-    empty = spark.createDataFrame([], History(spark, str(tmp_path / "none")).rows().drop("day").schema)
+    empty = spark.createDataFrame([], History(spark, str(tmp_path / "none")).rows().schema)
     assert "Exception" in store.save_if_possible(empty.unionByName(spark.createDataFrame([("i", datetime(2024, 1, 1), *[None] * 15)], empty.schema)))
 
 
