@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ATOM = re.compile(r"[\s\-]+|\w+|.", re.DOTALL).findall
@@ -126,8 +125,8 @@ def snippet(text: str, start: int, end: int) -> str:
     return ("..." if left else "") + " ".join(text[left:right].split()) + ("..." if right < len(text) else "")
 
 
-def claimed(text: Column, forms: list[tuple[str, str, str]]) -> Column:
-    """array of (name, category, n, snippets) of a text; forms: key, name, category, in declared order."""
+def scanner(forms: list[tuple[str, str, str]]):
+    """A function of texts to arrays of (name, category, n, snippets); forms: key, name, category, in declared order."""
     if len(forms) > MOST_FORMS:
         raise ValueError(f"more than {MOST_FORMS} surface forms")
 
@@ -137,4 +136,4 @@ def claimed(text: Column, forms: list[tuple[str, str, str]]) -> Column:
         for texts in batches:
             yield pd.Series([[dict(zip(("name", "category", "n", "snippets"), c)) for c in trie.claims(t or "")] for t in texts], dtype=object)
 
-    return scan(text)
+    return scan

@@ -140,6 +140,15 @@ def verb_variety_score(verbs: Column) -> Column:
     return F.when((F.size(verbs) < 5) | (F.size(found) == 0), 0.5).otherwise(F.least(F.lit(1.0), ratio / 0.75))
 
 
+def overused_verbs(verbs: Column, most: int = 3, least: int = 3) -> Column:
+    """Of an array of opening verbs the `most` most frequent ones (verb, n), ties by first place, as far as they open `least` bullets or more."""
+    found = F.filter(verbs, lambda v: v != "")
+    counts = F.transform(F.array_distinct(found), lambda v: F.struct(
+        (-F.size(F.filter(found, lambda x: x == v))).alias("rank"), F.array_position(found, v).alias("first"), v.alias("verb")))
+    top = F.filter(F.slice(F.array_sort(counts), 1, most), lambda c: -c["rank"] >= least)
+    return F.transform(top, lambda c: F.struct(c["verb"].alias("verb"), (-c["rank"]).alias("n")))
+
+
 def _some(array: Column, to_text=None, most: int = 4) -> Column:
     """The first elements as evidence."""
     return F.transform(F.slice(array, 1, most), to_text) if to_text else F.slice(array, 1, most)
@@ -222,12 +231,14 @@ def content_signals(action_verbs: tuple[str, ...] | None = None) -> list[Signal]
     past = F.flatten(F.transform(F.filter("experience", lambda e: e["dates"].isNotNull() & ~e["dates"]["is_current"]), lambda e: e["bullets"]))
     tense = F.when(few | (F.size("experience") == 0) | (F.size(past) == 0), 0.5).otherwise(1 - share(past, lambda x: x.rlike(r"(?i)^\w+ing\b")))
     return [
-        Signal("content.action_verbs", action, evidence=_some(F.transform(F.filter(F.arrays_zip(b.alias("b"), verbs.alias("v")), lambda x: ~T.is_strong_verb(x["v"], action_verbs)), lambda x: x["b"]["text"]))),
+        Signal("content.action_verbs", action, evidence=F.when(few, F.array().cast("array<string>")).otherwise(_some(
+            F.filter(F.arrays_zip(b.alias("b"), verbs.alias("v")), lambda x: x["v"].isin(*L.WEAK_OPENERS) | (x["v"] == "")), lambda x: F.format_string('Weak opener: "%s"', F.substring(x["b"]["text"], 1, 110))))),
         Signal("content.quantification", metric, evidence=_some(F.transform(F.filter(b, lambda x: ~T.has_metric(x["text"])), lambda x: x["text"]))),
         Signal("content.bullet_length", bullet_length_score(b), evidence=_some(F.filter(b, lambda x: ~x["size"].between(10, 28)), lambda x: F.concat(x["size"].cast("string"), F.lit(" words: "), F.substring(x["text"], 1, 80)))),
         Signal("content.filler", 1 - filler / F.greatest(n, F.lit(5)), evidence=_some(F.filter(T.strings(L.FILLER_PHRASES), lambda p: F.contains(low, p)))),
         Signal("content.first_person", 1 - spoken / 8, evidence=_said(spoken > 0, F.concat(spoken.cast("string"), F.lit(" first-person word(s)")))),
-        Signal("content.verb_variety", verb_variety_score(verbs)),
+        Signal("content.verb_variety", verb_variety_score(verbs), evidence=F.when(F.size(verbs) < 5, F.array().cast("array<string>")).otherwise(
+            F.transform(overused_verbs(verbs), lambda v: F.format_string('"%s" opens %d bullets', F.initcap(v["verb"]), v["n"])))),
         Signal("content.buzzwords", 1 - F.lit(0.2) * praise, evidence=_some(F.filter(T.strings(L.BUZZWORDS), lambda p: F.contains(low, p)))),
         Signal("content.skills_section", listed, evidence=_said(F.size(items) > 0, F.concat(F.size(items).cast("string"), F.lit(" items")))), Signal("content.tense", tense),
     ]

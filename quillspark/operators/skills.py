@@ -49,14 +49,16 @@ def contexts_of(sectioned: DataFrame, key: str = "doc_id", raw: str = "clean") -
     return sectioned.select(key, F.explode_outer(filled).alias("c")).filter("c is not null").select(key, "c.context", "c.text")
 
 
-def scan(contexts: DataFrame, forms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, context, name, category, n, snippets: forms found in each text; no character counts for two forms. No shuffle.
-
-    The forms are a dictionary (`surface.MOST_FORMS` at most, else an error), which every task gets.
-    """
+def declared(forms: DataFrame) -> list[tuple[str, str, str]]:
+    """The forms' rows in declared order: a dictionary (`surface.MOST_FORMS` at most, else an error), which every task gets."""
     rows = forms.select("surface_key", "name", "category", "position").limit(surface.MOST_FORMS + 1).collect()
-    declared = [(r.surface_key, r.name, r.category) for r in sorted(rows, key=lambda r: tuple(r.position))]
-    return contexts.select(key, "context", F.explode(surface.claimed(F.col("text"), declared)).alias("c")).select(key, "context", "c.*")
+    return [(r.surface_key, r.name, r.category) for r in sorted(rows, key=lambda r: tuple(r.position))]
+
+
+def scan(contexts: DataFrame, forms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, context, name, category, n, snippets: forms found in each text; no character counts for two forms. No shuffle."""
+    find = surface.scanner(declared(forms))
+    return contexts.select(key, "context", F.explode(find("text")).alias("c")).select(key, "context", "c.*")
 
 
 def roll_up(found: DataFrame, key: str = "doc_id", fuzzy: Column | None = None) -> DataFrame:

@@ -162,6 +162,27 @@ class Analysis:
         return out.join(scoring.headline(self.recommendations, self.keys), self.keys, "left")
 
 
+    def responses(self, include_signals: bool = False, bullets: int = 6, evidence: int = 2) -> DataFrame:
+        """What a reader of single analyses gets: `results` with entries of experience of so many bullets, skills with so much evidence, and signals if asked for."""
+        entries = self.documents.select("doc_id", "contact", F.transform("experience", lambda e: e.withField("bullets", F.slice(e["bullets"], 1, bullets))).alias("experience"), "education")
+        best = skills.top_skills(self.mentions).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+            "rank", "name", "category", "confidence", "count", F.slice("evidence", 1, evidence).alias("evidence")))).alias("skills"))
+        out = self.results().join(entries, "doc_id").join(best, "doc_id", "left")
+        if include_signals:
+            every = self.signals.groupBy(*self.keys).agg(F.array_sort(F.collect_list(F.struct("dimension", "signal_id", "score", "weight", "severity", "evidence", "recommendation"))).alias("signals"))
+            out = out.join(every, self.keys, "left")
+        return out
+
+    def publish(self, prefix: str = "") -> list[str]:
+        """Temporary views of the analysis for SQL; their names."""
+        views = {"documents": self.documents, "skills": self.mentions, "signals": self.signals, "dimensions": self.dimensions, "overall": self.overall, "recommendations": self.recommendations}
+        if self.with_job:
+            views |= {"jobs": self.jobs, "job_skills": self.job_skills, "gaps": self.gaps}
+        for name, rows in views.items():
+            rows.createOrReplaceTempView(prefix + name)
+        return [prefix + name for name in views]
+
+
 def readiness(spark: SparkSession, store: str | None = None) -> dict[str, bool]:
     """Whether the ontology is there (needed) and the history can be read (needed if a store is named)."""
     from quillspark.sources.history import History

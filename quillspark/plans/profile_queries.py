@@ -403,6 +403,25 @@ def narrative_prompts(spark, sf_dir):
     return rows.select("doc_id", F.sha2(guards.user_message(F.col("text"), F.col("posting"), brief, kinds, F.lit("n0")), 256).alias("prompt_sha256"))
 
 
+_WEAK = "'Weak opener: \"' || left(text, 110) || '\"'"
+
+
+@query(f"""WITH {_P}, {_BULLETS}, c AS (SELECT k, count(*) AS n FROM b GROUP BY k), o AS (SELECT k, verb, count(*) AS m, min(j * 10 + n) AS first FROM b GROUP BY k, verb),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY m DESC, first) AS rank FROM o),
+e AS (SELECT b.k, 'content.action_verbs' AS signal_id, array_to_string(list_slice(list({_WEAK} ORDER BY j, b.n) FILTER (WHERE verb = 'Helped'), 1, 4), '|') AS evidence FROM b JOIN c ON b.k = c.k WHERE c.n >= 3 GROUP BY b.k
+  UNION ALL SELECT r.k, 'content.verb_variety', array_to_string(list('"' || verb || '" opens ' || m || ' bullets' ORDER BY rank) FILTER (WHERE m >= 3 AND rank <= 3), '|') FROM r JOIN c ON r.k = c.k WHERE c.n >= 5 GROUP BY r.k
+  UNION ALL SELECT k, 'content.filler', CASE WHEN ({P.HAS_SUMMARY}) AND k % 5 = 2 THEN 'team player' END FROM p
+  UNION ALL SELECT k, 'content.buzzwords', CASE WHEN ({P.HAS_SUMMARY}) AND k % 7 = 3 THEN 'dynamic' END FROM p)
+SELECT p.k AS doc_id, s.signal_id, coalesce(e.evidence, '') AS evidence FROM p, (SELECT unnest(['content.action_verbs', 'content.verb_variety', 'content.filler', 'content.buzzwords']) AS signal_id) s
+  LEFT JOIN e ON e.k = p.k AND e.signal_id = s.signal_id""")
+def profile_evidence(spark, sf_dir):
+    """What signals quote: weak openings, overused verbs, filler and praise, each up to its cap."""
+    rows = signals.with_measures(parse_documents(from_text(P.resumes(spark, sf_dir))))
+    found = signals.signal_table(rows, ["doc_id"], signals.content_signals())
+    named = found.filter(F.col("signal_id").isin("content.action_verbs", "content.verb_variety", "content.filler", "content.buzzwords"))
+    return named.select("doc_id", "signal_id", F.array_join("evidence", "|").alias("evidence"))
+
+
 _FAULTS = ("", "", "", "not_json", "missing:strengths", "type:headline", "extra:tone", "type:bullet_rewrites", "too_long:headline", "type:strengths,extra:tone")
 _FAULT = P.pick([x or "-" for x in _FAULTS], "k % 10")
 

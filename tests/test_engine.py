@@ -149,3 +149,32 @@ def test_typo_recovery(spark):
     ctx = spark.createDataFrame([(1, "skills", "Kubernets, Python, postgresq1")], "doc_id long, context string, text string")
     got = {r.name: r.fuzzy for r in skills.extract_skills(ctx, forms).collect()}
     assert got["Kubernetes"] is True and got["Python"] is False
+
+
+def test_same_rows_by_sql(spark):
+    from quillspark.plans.session import register
+
+    docs = spark.createDataFrame([(1, RESUME), (2, "Rust/Go and c++")], "doc_id long, text string")
+    jobs = spark.createDataFrame([(7, POSTING)], "job_id long, text string")
+    analysis = Analysis(register(spark), from_text(docs), jobs)
+    try:
+        views = analysis.publish("t_")
+        assert "t_gaps" in views
+        assert [tuple(r) for r in spark.sql("select doc_id, job_id, overall from t_overall").collect()] == [tuple(r) for r in analysis.overall.select("doc_id", "job_id", "overall").collect()]
+        docs.createOrReplaceTempView("t_texts")
+        found = spark.sql("select s.name, s.n from t_texts lateral view explode(skills_of(text)) as s where doc_id = 2").collect()
+        assert {(r.name, r.n) for r in found} == {("Rust", 1), ("Go", 1), ("C++", 1)}
+        assert spark.sql("select ratio('kubernets', 'kubernetes') > 0.9").first()[0]
+        row = analysis.responses(include_signals=True, bullets=1, evidence=1).filter("doc_id = 1").first()
+        assert all(len(e.bullets) <= 1 for e in row.experience) and all(len(s.evidence) <= 1 for s in row.skills) and len(row.signals) > 20
+        assert "signals" not in analysis.responses().columns
+    finally:
+        analysis.close()
+
+
+def test_overused_verbs(spark):
+    from quillspark.operators.signals import overused_verbs
+
+    verbs = ["led", "", "ran", "ran", "led", "cut", "cut", "led", "cut", "ran", "fed", "fed", "fed"]
+    row = spark.createDataFrame([(verbs,), ([],)], "v array<string>").select(overused_verbs(F.col("v")).alias("o")).collect()
+    assert [tuple(x) for x in row[0].o] == [("led", 3), ("ran", 3), ("cut", 3)] and row[1].o == []
