@@ -24,49 +24,77 @@ UNITS = ""
 _TF = 1 << 40
 
 
-@F.pandas_udf(StructType().add("terms", ArrayType(StringType())).add("counts", ArrayType(LongType())).add("sums", ArrayType(DoubleType())))
+_COUNTED = StructType().add("terms", ArrayType(StringType())).add("counts", ArrayType(LongType())).add("sums", ArrayType(DoubleType()))
+_LOGS = [math.log(max(n, 1)) for n in range(4_096)]
+
+
+def _log(n: int) -> float:
+    return _LOGS[n] if n < len(_LOGS) else math.log(n)
+
+
+def _counted(text: str | None, filled: bool, sums: bool) -> tuple[list[str], list[int], list[float] | None]:
+    words, units = [], []
+    for line in (text or "").split("\n"):
+        mine = line[1:].split(" ") if len(line) > 1 else []
+        words += mine
+        if line.startswith("u"):
+            units.append(mine)
+    if not units and filled:
+        units = [words]
+    seen, held = Counter(words), Counter()
+    seen.update(map("_".join, zip(words, words[1:])))
+    for unit in units:
+        held.update({*unit, *map("_".join, zip(unit, unit[1:]))})
+    get = held.get
+    counts = [n * _TF + get(t, 0) for t, n in seen.items()]
+    return [UNITS, *seen], [len(units), *counts], _sums(seen, held) if sums else None
+
+
+def _sums(seen: Counter, held: Counter) -> list[float]:
+    sums = [0.0] * 4
+    for term, n in seen.items():
+        a, k = (_log(n) + 1) * (BIGRAM_WEIGHT if "_" in term else 1.0), held[term]
+        if k:
+            b = 1 - _log(k + 1)
+            sums[0] += a * a
+            sums[1] += a * a * b
+            sums[2] += a * a * b * b
+        else:
+            sums[3] += a * a
+    return sums
+
+
+@F.pandas_udf(_COUNTED)
 def counted_terms(lines: pd.Series, filled: pd.Series) -> pd.DataFrame:
-    """Of lines of words, "u" before those that are units: different words and neighbours (joined by _), counts, and four sums.
+    """Of lines of words, "u" before those that are units: different words and neighbours (joined by _), and their counts."""
+    return pd.DataFrame([_counted(t, bool(some), False) for t, some in zip(lines, filled)], columns=_COUNTED.names)
 
-    The sums are of a^2, a^2 b and a^2 b^2 over the terms that are in a unit, and of a^2 over the others, where the term's weight in a pair of texts with
-    U units together is a * (log(U + 1) + b) if only this text has it (a without b for the others).
+
+@F.pandas_udf(_COUNTED)
+def counted_terms_and_sums(lines: pd.Series, filled: pd.Series) -> pd.DataFrame:
+    """The same with four sums: of a^2, a^2 b and a^2 b^2 over the terms that are in a unit, and of a^2 over the others, where the term's weight in a pair of
+    texts with U units together is a * (log(U + 1) + b) if only this text has it (a without b for the others).
     """
-    rows = []
-    for text, some in zip(lines, filled):
-        words, units = [], []
-        for line in (text or "").split("\n"):
-            mine = line[1:].split(" ") if len(line) > 1 else []
-            words += mine
-            if line.startswith("u"):
-                units.append(mine)
-        if not units and some:
-            units = [words]
-        seen, held = Counter(words), Counter()
-        seen.update(map("_".join, zip(words, words[1:])))
-        for unit in units:
-            held.update({*unit, *map("_".join, zip(unit, unit[1:]))})
-        sums = [0.0] * 4
-        for term, n in seen.items():
-            a, k = (math.log(n) + 1) * (BIGRAM_WEIGHT if "_" in term else 1.0), held[term]
-            if k:
-                b = 1 - math.log(k + 1)
-                sums[0] += a * a
-                sums[1] += a * a * b
-                sums[2] += a * a * b * b
-            else:
-                sums[3] += a * a
-        rows.append(([UNITS, *seen], [len(units), *[n * _TF + held[t] for t, n in seen.items()]], sums))
-    return pd.DataFrame(rows, columns=["terms", "counts", "sums"])
-
-
-def packed_terms(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, p: a text's terms, their counts (see `term_table`) and the sums that `shared_terms` needs; a row a text, no shuffle.
+    return pd.DataFrame([_counted(t, bool(some), True) for t, some in zip(lines, filled)], columns=_COUNTED.names)
+
+
+def _is_unit(line: Column) -> Column:
+    return F.length(F.when(T.is_bullet(line), T.strip_bullet(line)).otherwise(T.strip(line))) >= 15
+
+
+def packed_terms(texts: DataFrame, key: str, text: str = "text", sums: bool = False) -> DataFrame:
+    """key, p: a text's terms, their counts (see `term_table`) and, if wanted, the sums that `shared_terms` needs; a row a text, no shuffle.
 
     Lines become their content words here; a row's words are counted where it is, in Arrow batches.
     """
-    lines = F.transform(T.lines(F.col(text)), lambda x: F.concat(
-        F.when(F.length(F.when(T.is_bullet(x), T.strip_bullet(x)).otherwise(T.strip(x))) >= 15, "u").otherwise("-"), F.array_join(T.content_tokens(x), " ")))
-    return texts.select(key, counted_terms(F.array_join(lines, "\n"), T.strip(F.col(text)) != "").alias("p"))
+    lines = F.transform(T.lines(F.col(text)), lambda x: F.concat(F.when(_is_unit(x), "u").otherwise("-"), F.array_join(T.content_tokens(x), " ")))
+    return texts.select(key, (counted_terms_and_sums if sums else counted_terms)(F.array_join(lines, "\n"), T.strip(F.col(text)) != "").alias("p"))
+
+
+def unit_total(texts: DataFrame, text: str = "text") -> DataFrame:
+    """total: units of all texts, without counting their terms. One row."""
+    units = F.size(F.filter(T.lines(F.col(text)), _is_unit))
+    return texts.select(F.when(units > 0, units).when(T.strip(F.col(text)) != "", 1).otherwise(0).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
 
 
 def term_table(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -93,11 +121,10 @@ def df(counts: Column | str = "counts") -> Column:
     return (F.col(counts) if isinstance(counts, str) else counts).bitwiseAND(F.lit(_TF - 1))
 
 
-def document_frequencies(terms: DataFrame) -> DataFrame:
-    """term, df, total: in how many units of all texts a term occurs, and how many units there are."""
-    found = terms.groupBy("term").agg(F.sum(df()).alias("df"))
-    total = found.filter(F.col("term") == UNITS).select(F.col("df").alias("total"))
-    return found.filter((F.col("term") != UNITS) & (F.col("df") > 0)).crossJoin(F.broadcast(total))  # one row
+def document_frequencies(terms: DataFrame, total: DataFrame) -> DataFrame:
+    """term, df, total: in how many units of all texts a term occurs, and how many units there are (`unit_total`)."""
+    found = terms.filter(F.col("term") != UNITS).groupBy("term").agg(F.sum(df()).alias("df"))
+    return found.filter("df > 0").crossJoin(F.broadcast(total))  # one row
 
 
 def idf(df: Column, total: Column) -> Column:
@@ -116,7 +143,7 @@ def normalised(weights: DataFrame, keys: list[str], weight: str = "w") -> DataFr
 def tfidf(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, term, w: unit-length vectors, IDF over the units of all texts."""
     terms = term_table(texts, key, text)
-    idfs = document_frequencies(terms).select("term", idf(F.col("df"), F.col("total")).alias("idf"))
+    idfs = document_frequencies(terms, unit_total(texts, text)).select("term", idf(F.col("df"), F.col("total")).alias("idf"))
     rows = terms.filter(F.col("term") != UNITS).join(idfs, "term", "left")
     return normalised(rows.select(key, "term", raw_weight(tf(), F.col("idf"), F.col("term")).alias("w")), [key])
 
@@ -144,8 +171,8 @@ def shared_terms(left: DataFrame, right: DataFrame, pairs: DataFrame, a: str, b:
     A term that one side alone has takes its document frequency from that side, so a side's squared length follows from four sums made once
     a text; only shared terms meet, and put the sums right. The second side's terms are not copied to its pairs.
     """
-    mine = _exploded(pairs.select(a, b).join(packed_terms(left, a, text), a), [a, b]).select(a, b, "term", F.col("counts").alias("ca"), F.col("sums").alias("sa"))
-    theirs = _exploded(packed_terms(right, b, text), [b]).select(b, "term", F.col("counts").alias("cb"), F.col("sums").alias("sb"))
+    mine = _exploded(pairs.select(a, b).join(packed_terms(left, a, text, True), a), [a, b]).select(a, b, "term", F.col("counts").alias("ca"), F.col("sums").alias("sa"))
+    theirs = _exploded(packed_terms(right, b, text, True), [b]).select(b, "term", F.col("counts").alias("cb"), F.col("sums").alias("sb"))
     both = mine.join(theirs, [b, "term"]).repartition(a, b)
     pair, is_units = Window.partitionBy(a, b), F.col("term") == UNITS
     whole = lambda x: F.max(F.when(is_units, x)).over(pair)

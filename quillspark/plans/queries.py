@@ -189,7 +189,8 @@ v AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w
 @query(rf"""WITH {_D}, {_terms_sql('a', 'doc_id', 'd')}, total AS (SELECT sum(n) AS n FROM a_n)
 SELECT term, CAST(df AS BIGINT) AS df, round(ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1, 6) AS idf FROM (SELECT term, sum(df) AS df FROM a_df GROUP BY term), total""")
 def idf_terms(spark, sf_dir):
-    found = vectors.document_frequencies(vectors.term_table(_docs(spark, sf_dir), "doc_id"))
+    docs = _docs(spark, sf_dir)
+    found = vectors.document_frequencies(vectors.term_table(docs, "doc_id"), vectors.unit_total(docs))
     return found.select("term", "df", F.round(vectors.idf(F.col("df"), F.col("total")), 6).alias("idf"))
 
 
