@@ -4,9 +4,9 @@ The corpus is counted once (a mergeable heavy-hitter summary per task, summed by
 frequent words, encoded with the public merge table, are compiled into a minimal acyclic automaton
 whose arcs carry word counts, so that a path's sum is the word's place in one array of ids. Its
 file (bounded by `lexicon_words`) goes to each executor once and is memory-mapped by all Python workers there.
-The different chunks of some texts walk the automaton together, a byte a step; those that it does not
+The different chunks of some texts, if a task has not met them yet, walk the automaton together, a byte a step; those that it does not
 accept are cut by the tokenizer's pattern and their pieces merged pair by pair in rank order, exactly.
-The lexicon changes speed only, never ids.
+The lexicon and a task's bounded table of chunks change speed only, never ids.
 
 Defined results: null text is empty text and has no ids; special tokens' strings in a text become
 their ids, as the tokenizers library does it; repeated rows are separate; texts of any length are
@@ -25,7 +25,7 @@ from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -47,6 +47,8 @@ LONGEST = 40
 _NONE = np.int32(2**31 - 1)
 #: Characters of the texts that are encoded together; their different chunks are looked up and merged in one go.
 _TOGETHER = 1_000_000
+#: Different chunks whose ids a task keeps.
+HELD_CHUNKS = 200_000
 
 
 def default_vocabulary() -> str:
@@ -385,10 +387,19 @@ def frequent_chunks(documents: DataFrame, most: int) -> list[str]:
 # ---------------------------------------------------------------- texts
 
 class Encoder:
-    """Encodes and decodes whole texts, so many together; nothing is kept from one lot to the next."""
+    """Encodes and decodes whole texts, so many together. The ids of up to HELD_CHUNKS different chunks stay for the next lot of the task; then it starts anew."""
 
     def __init__(self, table_: MergeTable, lexicon: Transducer | None):
         self.table, self.lexicon = table_, lexicon
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chunks, self.sizes, self.ids = _numbering(), array("q"), array("i")
+
+    def _learn(self, new: list[str]) -> None:
+        found = self._ids_of(new)
+        self.sizes.frombytes(found.sizes.astype(np.int64).tobytes())
+        self.ids.frombytes(found.values.astype(np.int32).tobytes())
 
     def _ids_of(self, chunks: list[str]) -> Lists:
         """Ids of different chunks: the lexicon's, if it accepts them, else merged from their pieces, all at once."""
@@ -449,12 +460,16 @@ class Encoder:
             while upto < len(texts) and (upto == done or size + len(texts[upto]) <= _TOGETHER):
                 size += len(texts[upto])
                 upto += 1
-            chunks = _numbering()
+            if len(self.chunks) > HELD_CHUNKS:
+                self._forget()
+            known = len(self.chunks)
             cut = list(map(self.cut, texts[done:upto]))
             counts = np.fromiter(map(len, cut), np.int64, len(cut))
-            number = np.fromiter(map(chunks.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+            number = np.fromiter(map(self.chunks.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
             del cut
-            yield self._ids_of(list(chunks)).take(number).joined(counts)
+            if len(self.chunks) > known:
+                self._learn(list(islice(self.chunks, known, None)))
+            yield Lists.of(np.array(self.sizes, np.int64), np.array(self.ids, np.int32)).take(number).joined(counts)
             done = upto
 
 
