@@ -43,6 +43,9 @@ IRREGULAR_PAST = (
     "sold", "ran", "brought", "sought", "troubleshot",
 )
 
+# Past tenses in -ed that assert no achievement.
+IDLE_PAST = ("used", "needed", "wanted", "tried", "liked", "hoped", "seemed", "looked", "asked", "learned", "joined")
+
 # Section headings by kind, in the order that decides ties.
 HEADINGS = {
     "summary": ("professional summary", "career summary", "executive summary", "summary of qualifications",

@@ -138,10 +138,10 @@ def has_metric(line: Column) -> Column:
 
 
 def is_strong_verb(verb: Column, listed: tuple[str, ...] | None = None) -> Column:
-    """One of a caller's list, or by rule: a past tense in -ed or an irregular one, but no weak opening."""
+    """One of a caller's list, or by rule: a past tense in -ed or an irregular one, but no weak opening and none that asserts nothing."""
     if listed is not None:
         return verb.isin(*listed)
-    return (verb.rlike(r"^[a-z]{2,}ed$") | verb.isin(*L.IRREGULAR_PAST)) & ~verb.isin(*L.WEAK_OPENERS)
+    return (verb.rlike(r"^[a-z]{2,}ed$") | verb.isin(*L.IRREGULAR_PAST)) & ~verb.isin(*L.WEAK_OPENERS, *L.IDLE_PAST)
 
 
 def normalise_surface(text: Column) -> Column:
