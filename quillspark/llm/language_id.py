@@ -12,8 +12,8 @@ a worker's memory grows with the number of grams.
 The language of the lowest cross-entropy (bits a letter) is chosen. A text is rejected if it has no
 letter, or if its cross-entropy lies too far above the mean of the chosen language's own texts:
 beyond `reject_at` deviations for its length, or TOP_MARGIN times the deviation that one in a hundred of that language's
-labelled texts exceeds, if that is more. Means, deviations and quantiles are fitted on `calibration_rows` texts a language at most,
-of one half of the documents, in models of the other half. A language without such a text has a limit of about seven bits.
+labelled texts exceeds, if that is more. Means, deviations and quantiles come from all labelled texts, each in models of that half of
+the documents that it isn't in. A language without such a text has a limit of about seven bits.
 
 Defined results: null, empty and letterless texts get `und`, score 0 and are rejected; rows with null
 lang are not learned from; if nothing is labelled, all texts are `und`; ties go to the language
@@ -24,7 +24,7 @@ table gives no rows; other columns are ignored by `identify` and kept by `drop_r
 from __future__ import annotations
 
 import functools
-import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +36,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_sample, labelled_fold, literal_rows, materialized, share_file, small_batches, staged, table
+from quillspark.llm.common import labelled_fold, literal_rows, materialized, share_file, small_batches, staged, table
 
 GRAM, CONTEXT = 0, 1
 #: A language's limit is at least this many times the given quantile of its own texts' deviations.
@@ -44,16 +44,25 @@ TOP_MARGIN, TOP_QUANTILE = 1.25, 0.99
 #: Four symbols of 16 bits make one 64-bit key without collisions; rarer planes share one symbol.
 ORDER = 4
 _START, _END, _BITS = 2, 3, np.uint64(16)
-_WORD = re.compile(r"[^\W\d_]+")
 #: The score is how likely the language is beside the others for so many letters of the text's mean bits (a temperature: all letters count for the mean).
 SCORE_LETTERS = 40
 #: Words that a scorer remembers, scores at once, and takes from texts at once.
 _CACHE, _AT_ONCE, _WORDS_AT_ONCE = 100_000, 20_000, 200_000
 
 
+@functools.lru_cache(maxsize=1)
+def _spaced() -> np.ndarray:
+    """Each code point, or a space in place of those that are no letters: what a word of the pattern [^\\W\\d_]+ is made of."""
+    every = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    return np.where([c.isalnum() and not c.isdecimal() for c in map(chr, range(len(every)))], every, np.uint32(0x20))
+
+
 def letters_of(text: str | None) -> list[str]:
     """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _spaced()[points].tobytes().decode("utf-32-le", "surrogatepass").split()
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +145,7 @@ class LanguageModels:
     def bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each word by language, and the letters and word ends of each word."""
         gram, word = _grams(words)
+        gram, place = np.unique(gram, return_inverse=True)  # words share most of their grams, and each is looked up once
         p = np.broadcast_to(self.floor, (len(gram), len(self.langs))).copy()
         for n in range(1, ORDER + 1):
             key = gram & np.uint64((1 << 16 * n) - 1)
@@ -144,22 +154,28 @@ class LanguageModels:
             on, found = self._find(n, GRAM, key.view(np.int64))
             p[on] += found
         bits = -np.log2(p)
-        out = np.stack([np.bincount(word, bits[:, k], len(words)) for k in range(len(self.langs))], 1)
+        out = np.stack([np.bincount(word, bits[place, k], len(words)) for k in range(len(self.langs))], 1)
         return out, np.bincount(word, minlength=len(words))
 
-    def calibrate(self, scored: list[tuple[str, int, float]]) -> None:
-        """From (lang, letters, cross-entropy in its language) of labelled texts: how far a language's own texts lie from its mean, by length."""
+    def calibrate(self, scored: DataFrame) -> None:
+        """From (lang, n letters, cross-entropy h in its language) of labelled texts: how far a language's own texts lie from its mean, by length.
+
+        All rows count; quantiles are exact on values rounded first, so that a language's state is bounded.
+        """
+        of = lambda values: F.element_at(F.create_map(*[x for lang, v in zip(self.langs, values) for x in (F.lit(lang), F.lit(float(v)))]), F.col("lang"))
+        own = lambda value: scored.withColumn("x", value).groupBy("lang")
+        weighted = F.round(F.sum(F.col("x") * F.col("n")) / F.sum("n"), 9)
         n_langs = len(self.langs)
         self.mean, self.spread, self.top = np.zeros(n_langs), np.ones((n_langs, 2)), np.zeros(n_langs)
-        for k, lang in enumerate(self.langs):
-            got = np.array([(h, n) for x, n, h in scored if x == lang])
-            if len(got):
-                h, n = got.T
-                self.mean[k] = np.average(h, weights=n)
-                off = (h - self.mean[k]) ** 2
-                a_letter = np.median(off * n) * 2.2  # the median of a squared normal deviate is 1/2.2
-                self.spread[k] = np.average(off, weights=n) + 1e-4, a_letter
-                self.top[k] = np.quantile((h - self.mean[k]) / self._deviation(k, n), TOP_QUANTILE)
+        for r in own(F.col("h")).agg(weighted.alias("mean")).collect():
+            self.mean[self.langs.index(r.lang)] = r["mean"]
+        off = F.col("h") - of(self.mean)
+        a_letter = F.round(F.log2(F.greatest(off * off * F.col("n"), F.lit(1e-12))), 3)
+        for r in own(off * off).agg(weighted.alias("a_text"), F.percentile(a_letter, 0.5).alias("median")).collect():
+            self.spread[self.langs.index(r.lang)] = r["a_text"] + 1e-4, 2 ** r["median"] * 2.2  # the median of a squared normal deviate is 1/2.2
+        deviations = off / F.sqrt(of(self.spread[:, 0]) + of(self.spread[:, 1]) / F.col("n"))
+        for r in own(F.round(deviations, 2)).agg(F.percentile("x", TOP_QUANTILE).alias("top")).collect():
+            self.top[self.langs.index(r.lang)] = r["top"]
 
     def _deviation(self, k, letters: np.ndarray) -> np.ndarray:
         return np.sqrt(self.spread[k, 0] + self.spread[k, 1] / np.maximum(letters, 1))
@@ -295,34 +311,36 @@ def _fit(counts: DataFrame) -> dict[int, LanguageModels]:
     return {m: LanguageModels(langs, *files, own, np.array([1.0 / (kinds.get((m, x), 0) + 1) for x in langs])) for m, own in sections.items()}
 
 
-def fit_models(labelled: DataFrame, calibration_rows: int = 2_000) -> LanguageModels | None:
+def fit_models(labelled: DataFrame) -> LanguageModels | None:
     """Models of all languages of `labelled` (doc_id, text, lang); None if there is no labelled text with a letter.
 
-    Limits come from texts of one half in models of the other half, as a text is no measure of models that have learned it.
-    Both sets of models are fitted in one go: counts of the half with `half` 0 go to both.
+    Limits come from all its texts, each in models of the half that it isn't in, as a text is no measure of models that have learned it.
+    The three sets of models (of all, of half 0, of half 1) are fitted in one go.
     """
     counts = materialized(count_grams(labelled), "language-grams")
-    of_both = F.when(F.col("half") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    fitted = _fit(counts.select(F.explode(of_both).alias("model"), "lang", "gram", "n").groupBy("model", "lang", "gram").agg(F.sum("n").alias("n")))
+    both = F.array(F.lit(0), F.col("half") + 1)
+    fitted = _fit(counts.select(F.explode(both).alias("model"), "lang", "gram", "n").groupBy("model", "lang", "gram").agg(F.sum("n").alias("n")))
     if not fitted:
         return None
-    models, other = fitted[0], fitted.get(1)
-    scored: list[tuple] = []
-    if other is not None:
-        known = [r.lang for r in counts.filter("half = 0").select("lang").distinct().collect()]
-        usable = labelled.filter(F.col("lang").isin(known) & F.col("text").isNotNull() & (_half(F.col("doc_id")) == 1))
-        ids = bounded_sample(usable, "doc_id", calibration_rows, "lang").select("doc_id")
-        some = usable.join(F.broadcast(ids), "doc_id", "left_semi")
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            scorer = Scorer(other)
-            for pdf in batches:
-                bits, n = scorer.entropies(list(pdf["text"]))
-                rows = [(lang, n[i], bits[i, other.langs.index(lang)]) for i, lang in enumerate(pdf["lang"]) if n[i]]
-                yield pd.DataFrame(rows, columns=["lang", "n", "h"]).astype({"lang": object, "n": "int64", "h": "float64"})
-
-        scored = [tuple(r) for r in some.select("lang", "text").mapInPandas(score, "lang string, n long, h double").toLocalIterator()]
-    models.calibrate(scored)
+    models = fitted[0]
+    # of each half, the models of the other one and the languages that it knows
+    others = {1 - m: fitted[m + 1] for m in (0, 1) if m + 1 in fitted}
+    known = {half: set() for half in others}
+    for r in counts.select("lang", "half").distinct().collect():
+        known[1 - r.half].add(r.lang)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorers = {half: Scorer(other) for half, other in others.items()}
+        for pdf in batches:
+            for half, part in pdf.groupby("half", sort=False):
+                part = part[part["lang"].isin(known.get(half, ()))]
+                if len(part):
+                    bits, n = scorers[half].entropies(list(part["text"]))
+                    h = bits[np.arange(len(part)), [models.langs.index(x) for x in part["lang"]]]
+                    yield pd.DataFrame({"lang": part["lang"].to_numpy(), "n": n, "h": h})[n > 0]
+
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", _half(F.col("doc_id")).alias("half"), "text")
+    models.calibrate(materialized(small_batches(usable).mapInPandas(score, "lang string, n long, h double"), "language-scored"))
     return models
 
 
