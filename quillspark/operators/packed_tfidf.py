@@ -1,4 +1,4 @@
-"""TF-IDF over the units of all texts without a row a term: best terms of each text.
+"""TF-IDF over the units of all texts without a row a term: best terms of each text, best terms of groups of texts.
 
 Texts are cut into pieces of some megabytes. A piece sends each of its different terms once, in one message a bucket of terms; buckets add up document frequencies and
 answer with numbers in the order of the message. So what is shuffled are packed arrays of a piece's different terms, and terms of one piece alone never leave it again.
@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -31,6 +31,8 @@ BUCKET = 2_000_000
 _PIECES = "piece long, keys array<long>, groups array<string>, words binary, tokens binary, sizes binary, units binary, lines binary, n_units long, n_words long"
 _MESSAGES = "bucket int, piece long, terms binary, df binary"
 _ANSWERS = "bucket int, piece long, extra binary"
+_SUMS = "bucket int, terms binary, w binary, groups array<string>, counts array<long>, rest array<double>"
+_FOUND = "group string, term string, w double, squares double"
 
 
 # ---------------------------------------------------------------- packed arrays
@@ -245,3 +247,71 @@ def best_terms(texts: DataFrame, key: str, most: int, digits: int = 6, text: str
         return rows.loc[rows["rank"] <= most, [key, "rank", "term", "weight"]]
 
     return Packed(texts, key, text).weighed(use, f"{key} long, rank long, term string, weight double")
+
+
+# ---------------------------------------------------------------- best terms of groups
+
+def _least(group: np.ndarray, w: np.ndarray, n: int, most: int) -> np.ndarray:
+    """Of each group the most-th largest weight, 0 if it has fewer."""
+    out, order = np.zeros(n), np.lexsort((-w, group))
+    starts = np.searchsorted(group[order], np.arange(n + 1))
+    has = np.flatnonzero(np.diff(starts) >= most)
+    out[has] = w[order][starts[has] + most - 1]
+    return out
+
+
+def _sums(buckets: int, most: int, share: float):
+    """A piece's sums by group and term. Terms of this piece alone that are below `share` of the group's most-th best here go only as sums of squares."""
+    def use(row, terms: Terms, shared, text, term, w) -> pd.DataFrame:
+        names = list(dict.fromkeys(row["groups"]))
+        at = {g: i for i, g in enumerate(names)}
+        number = np.array([at[g] for g in row["groups"]])
+        keys, place = np.unique(number[text] * len(terms.codes) + term, return_inverse=True)
+        group, term = np.divmod(keys, max(len(terms.codes), 1))
+        w = np.bincount(place, weights=w, minlength=len(keys))
+        goes = shared[term] | (w >= share * _least(group, w, len(names), most)[group])
+        bucket, rows = terms.buckets(buckets)[term], []
+        rest = np.bincount(bucket[~goes] * len(names) + group[~goes], weights=w[~goes] ** 2, minlength=buckets * len(names)).reshape(buckets, -1)
+        for b, mine in _parts(bucket):  # by group and term in each
+            sent = mine[goes[mine]]
+            rows.append((b, _packed_strings(terms.strings(term[sent])), _packed(w[sent]), names, np.bincount(group[sent], minlength=len(names)), rest[b]))
+        return pd.DataFrame(rows, columns=["bucket", "terms", "w", "groups", "counts", "rest"])
+
+    return use
+
+
+def _found(most: int, share: float):
+    """A bucket's best terms of each group and its sums of squares."""
+    def find(messages: pd.DataFrame) -> pd.DataFrame:
+        names = list(dict.fromkeys(g for x in messages["groups"] for g in x))
+        at = {g: i for i, g in enumerate(names)}
+        group = np.concatenate([np.repeat([at[g] for g in x], n) for x, n in zip(messages["groups"], messages["counts"])]).astype(np.int64)
+        coded = pa.concat_arrays([_unpacked_strings(x) for x in messages["terms"]]).dictionary_encode()
+        size = max(len(coded.dictionary), 1)
+        keys, place = np.unique(group * size + coded.indices.to_numpy(), return_inverse=True)
+        w = np.bincount(place, weights=np.concatenate([_unpacked(x, np.float64) for x in messages["w"]]), minlength=len(keys))
+        group, term = np.divmod(keys, size)
+        squares = np.bincount(group, weights=w * w, minlength=len(names))
+        for x, rest in zip(messages["groups"], messages["rest"]):
+            np.add.at(squares, [at[g] for g in x], rest)
+        best = np.flatnonzero(w >= share * _least(group, w, len(names), most)[group])
+        none = [None] * len(names)
+        return pd.DataFrame({"group": [names[g] for g in group[best]] + names, "term": coded.dictionary.take(pa.array(term[best])).to_pylist() + none,
+                             "w": np.append(w[best], squares * 0), "squares": np.append(w[best] * 0, squares)})
+
+    return find
+
+
+def best_group_terms(texts: DataFrame, key: str, group: str, most: int, digits: int = 6, text: str = "text") -> DataFrame:
+    """group, rank, term, weight (rounded): of the sum of each group's vectors at unit length, by weight, then term."""
+    packed = Packed(texts, key, text, group)
+    whole = Window.partitionBy("group")
+    for share in (0.99, 0.0):
+        sums = packed.weighed(_sums(packed.buckets, most, share), _SUMS)
+        found = materialized(sums.groupBy("bucket").applyInPandas(_found(most, share), _FOUND), "best")
+        rows = found.withColumn("w", F.col("w") / F.sqrt(F.sum("squares").over(whole))).filter("term is not null").withColumn("weight", F.round("w", digits))
+        ranked = rows.withColumn("rank", F.row_number().over(whole.orderBy(F.desc("weight"), "term")).cast("long")).filter(F.col("rank") <= most)
+        # what was left out is below `share` of the last one found, so it may tie with it only if both round to the same digits
+        least = ranked.filter(F.col("rank") == most).agg(F.min("w")).first()[0]
+        if share == 0.0 or least is None or least * (1 - share) > 2 * 10.0 ** -digits:
+            return ranked.select(F.col("group").alias(group), "rank", "term", "weight")
